@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, mixing, simhash
+from . import bpe, langid, linededup, mixing, simhash, substrings
 
 QUERIES = {
     "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_line_templates": linededup.op10_line_templates,
 }
