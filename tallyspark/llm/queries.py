@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, mixing, simhash, substrings
+from . import bpe, embeddings, langid, linededup, mixing, simhash, substrings, vafile
 
 QUERIES = {
+    "op1_rp_forest": embeddings.op1_rp_forest,
     "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
+    "op6_vafile_topk": vafile.op6_vafile_topk,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_line_templates": linededup.op10_line_templates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_rp_forest": embeddings.ORACLE,
+    "op6_vafile_topk": vafile.ORACLE,
+}
