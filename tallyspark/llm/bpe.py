@@ -82,6 +82,7 @@ class ByteBPE:
         if None in out:
             if len(known) > REMEMBERED:
                 known.clear()
+                out = [None] * len(parts)
             new = list({p for p, x in zip(parts, out) if x is None})
             raw = [p.encode() for p in new]
             # a pre-token that is itself a token stays whole, whatever merges would lead to

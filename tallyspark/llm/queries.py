@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, linededup, mixing, simhash, substrings, vafile, wrappers
+from . import bpe, embeddings, langid, linededup, mixing, mixlm, simhash, substrings, vafile, wrappers
 
 QUERIES = {
     "op1_rp_forest": embeddings.op1_rp_forest,
     "op2_simhash_bktree": simhash.op2_simhash_bktree,
     "op3_wrapper_induction": wrappers.op3_wrapper_induction,
+    "op4_context_mixing": mixlm.op4_context_mixing,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op6_vafile_topk": vafile.op6_vafile_topk,
     "op7_byte_bpe": bpe.op7_byte_bpe,
