@@ -21,8 +21,8 @@ def hash_bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int
     """
     numbered = rows.select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("i"), F.count("*").over(Window.partitionBy(group)).alias("n"))
     picks = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(group, "draw", hash_pick(seed, F.col("draw"), F.col("i"), F.col("n")).alias("pick"))
-    values = numbered.select(F.col(group).alias("g"), F.col("i").cast("bigint").alias("j"), "v")
-    return picks.join(values, (F.col(group) == F.col("g")) & (F.col("pick") == F.col("j"))).groupBy(group, "draw").agg(F.avg("v").alias("boot_mean"))
+    values = numbered.select(F.col(group).alias("__g"), F.col("i").cast("bigint").alias("j"), "v")
+    return picks.join(values, (F.col(group) == F.col("__g")) & (F.col("pick") == F.col("j"))).groupBy(group, "draw").agg(F.avg("v").alias("boot_mean"))
 
 
 def interval(boot: DataFrame, group: str, alpha: float = 0.05, kind: str = "index") -> DataFrame:
