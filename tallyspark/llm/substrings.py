@@ -55,7 +55,7 @@ def suffixes(text: bytes, window: int = WINDOW) -> list[np.ndarray]:
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of an array by significance, compressed: what is always zero takes no room."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def _unplanes(blob: bytes, dtype) -> np.ndarray:
