@@ -55,7 +55,8 @@ def long_ratings(scenarios: DataFrame) -> DataFrame:
     """(scenario_id, annotator, measure, value) of the annotator maps."""
     part = lambda m, e: scenarios.select(F.col("id").alias("scenario_id"), F.explode(e).alias("annotator", "value")).select("scenario_id", "annotator", F.lit(m).alias("measure"), "value")
     parts = [part("label", "annotator_labels"), part("confidence", "annotator_confidence")]
-    parts += [part(m, F.transform_values("annotator_vad", lambda _, v, m=m: v[m])) for m in ("valence", "arousal", "dominance")]
+    field = lambda m: lambda _, v: v[m]
+    parts += [part(m, F.transform_values("annotator_vad", field(m))) for m in ("valence", "arousal", "dominance")]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -70,7 +71,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def response_files(spark: SparkSession, *folders: str) -> DataFrame:
     """(file, value): whole JSON files, but those named manifest, metadata, checkpoint or config."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(list(folders))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(list(folders), wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), "value").where(~F.lower(F.regexp_extract("file", r"([^/]+)$", 1)).rlike("manifest|metadata|checkpoint|config"))
 
 
