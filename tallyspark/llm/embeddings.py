@@ -12,7 +12,7 @@ from .common import written
 from .components import connected_components, local_roots
 
 #: Trees, rows a leaf should hold, spill as a share of a projection's deviation, rows the splits are fitted on, rows of a block of an oversized leaf.
-TREES, LEAF, SPILL, SAMPLE, BLOCK = 10, 400, 0.16, 40_000, 1000
+TREES, LEAF, SPILL, SAMPLE, BLOCK = 6, 400, 0.16, 40_000, 1000
 
 
 def grow(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
