@@ -179,15 +179,15 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::double) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
-  SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM v
+  SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE a.n > 0 AND b.n > 0
-    AND list_sum(list_transform(list_zip(a.v, b.v), x -> x[1] * x[2])) / (a.n * b.n) >= 0.95
+    AND list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) / (a.n * b.n) >= 0.95
 ), reach(a, b) AS (
   SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 ), low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
