@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_rp_forest": embeddings.ORACLE,
     "op6_vafile_topk": vafile.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
 }

@@ -232,3 +232,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir)).drop("text")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+m AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (s) WHERE low < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (
+  SELECT t.doc_id, count(c.i) AS gone, string_agg(word, ' ' ORDER BY t.i) FILTER (c.i IS NULL) AS s
+  FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.i = c.i GROUP BY t.doc_id
+)
+SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(gone, 0)::bigint AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
