@@ -87,7 +87,15 @@ for _name, _vocabulary in (("power_gold", "gold"), ("power_rsa", "rsa"), ("power
         return B.utterances(s, d).groupBy("speaker_role", "listener_role", L.power_relation("speaker_role", "listener_role", v).alias("power_relation")).agg(F.count("*").alias("n"))
 
 
-@query("parse_response")
+_FIELD = "CASE WHEN ok THEN coalesce(TRY_CAST(json_extract_string(o, '$.{0}') AS double), 0) ELSE 0 END AS {0}"
+_BADNUM = " OR ".join(f"(json_extract_string(o, '$.{f}') IS NOT NULL AND TRY_CAST(json_extract_string(o, '$.{f}') AS double) IS NULL)" for f in ("valence", "arousal", "dominance"))
+
+
+@query("parse_response", r"""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{"emotion": "joy", "valence": ' || round(value, 2)::varchar || '}' || chr(10) || '```'
+  WHEN 1 THEN '{"a": {"emotion": "fear"}}' WHEN 2 THEN props ELSE '{"emotion": "trust", "valence": "high"}' END AS t FROM events),
+f AS (SELECT event_id, t, regexp_extract(t, '(?s)```(?:json)?\s*\n?(.*?)\n?```', 1) AS f FROM t),
+o AS (SELECT event_id, regexp_extract(CASE WHEN f <> '' THEN f ELSE trim(t) END, '(?s)(\{[^{}]*\})', 1) AS o FROM f),
+v AS (SELECT event_id, o, o <> '' AND json_valid(o) AND NOT (""" + _BADNUM + ") AS ok FROM o) SELECT event_id, CASE WHEN ok THEN coalesce(json_extract_string(o, '$.subtype'), json_extract_string(o, '$.emotion'), 'unknown') ELSE 'unknown' END AS subtype, CASE WHEN ok THEN coalesce(json_extract_string(o, '$.emotion'), 'unknown') ELSE 'unknown' END AS emotion, " + ", ".join(_FIELD.format(f) for f in ("valence", "arousal", "dominance")) + ", CASE WHEN ok THEN TRY_CAST(json_extract_string(o, '$.confidence') AS double) END AS confidence FROM v")
 def _(s, d):
     rows = B.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('Sure:\n```json\n{"emotion": "joy", "valence": '), F.round("value", 2).cast("string"), F.lit("}\n```"))).when(F.col("event_id") % 4 == 1, F.lit('{"a": {"emotion": "fear"}}')).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.lit('{"emotion": "trust", "valence": "high"}')).alias("t"))
     return rows.select("event_id", L.parsed_response("t").alias("r")).select("event_id", "r.*")
@@ -141,7 +149,14 @@ def _(s, d):
     return s.range(25).where("id % 4 <> 0").select((F.col("id") / 20.0 - 0.2).alias("k")).withColumn("band", L.kappa_band("k"))
 
 
-@query("bands")
+def _band_sql(x, cuts, names):
+    return "CASE " + " ".join(f"WHEN {x} < {c} THEN '{n}'" for c, n in zip(cuts, names)) + f" ELSE '{names[-1]}' END"
+
+
+_SIZES = ("negligible", "small", "medium", "large")
+
+
+@query("bands", f"SELECT x, {_band_sql('x', (0.1, 0.3, 0.5), _SIZES)} AS v, {_band_sql('x', (0.3, 0.5), _SIZES[1:])} AS v_bias, {_band_sql('abs(x - 0.5)', (0.3, 0.6), ('weak', 'moderate', 'strong'))} || CASE WHEN x > 0.5 THEN ' positive' ELSE ' negative' END AS correlation, {_band_sql('x', (0.001, 0.01, 0.05), ('***', '**', '*', ''))} AS stars, {_band_sql('x', (0.05, 0.15), ('well calibrated', 'moderately calibrated', 'poorly calibrated'))} AS ece, CASE WHEN x > 0.5::double + 0.1 THEN 'literal' WHEN 0.5 > x + 0.1::double THEN 'pragmatic' ELSE 'mixed' END AS listener, {_band_sql('x', (0.147, 0.33, 0.474), _SIZES)} AS delta FROM (SELECT i / 100.0::double AS x FROM range(0, 101) t(i))")
 def _(s, d):
     x = s.range(101).select((F.col("id") / 100.0).alias("x"))
     return x.select("x", L.v_band("x").alias("v"), L.v_band("x", "bias").alias("v_bias"), L.correlation_band(F.col("x") - 0.5).alias("correlation"), L.p_stars("x").alias("stars"), L.ece_band("x").alias("ece"), L.listener_band("x", F.lit(0.5)).alias("listener"), L.effect_band("x", "delta").alias("delta"))
@@ -768,10 +783,12 @@ def _(s, d):
     return worklist.circuit_breaker(B.calls(s, d), 3).withColumn("dropped_at", F.coalesce("dropped_at", F.lit(-1)))
 
 
-@query("qa_unnest")
+@query("qa_unnest", """WITH f AS (SELECT event_id::varchar AS file, CASE event_id % 5 WHEN 0 THEN '[' || props || ',' || props || ']' WHEN 1 THEN '{"predictions": [' || props || ']}' WHEN 2 THEN '{broken' ELSE props END AS value FROM events),
+x AS (SELECT file, NOT json_valid(value) AS parse_failed, CASE WHEN NOT json_valid(value) THEN [NULL::json] WHEN json_type(value) = 'ARRAY' THEN json_extract(value, '$[*]') WHEN json_exists(value, '$.predictions') THEN json_extract(value, '$.predictions[*]') ELSE [value::json] END AS r FROM f)
+SELECT file, (i - 1)::int AS "at", parse_failed, coalesce(json_extract_string(r[i], '$.k')::int, -1) AS k FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM x)""")
 def _(s, d):
     f = B.table(s, d, "events").select(F.col("event_id").cast("string").alias("file"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"predictions": ['), "props", F.lit("]}"))).when(F.col("event_id") % 5 == 2, F.lit("{broken")).otherwise(F.col("props")).alias("value"))
-    return quality.unnest(f).select("file", "at", "parse_failed", F.try_variant_get("response", "$.k", "int").alias("k"))
+    return quality.unnest(f).select("file", "at", "parse_failed", F.coalesce(F.try_variant_get("response", "$.k", "int"), F.lit(-1)).alias("k"))
 
 
 @query("mock_predict")
