@@ -27,10 +27,14 @@ def scored_predictions(predictions: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def accuracy_sets(scored: DataFrame, sets: tuple[str, ...] = ("model_id", "subtype", "power_relation")) -> DataFrame:
-    """Accuracy over everything and by each column, in one pass; ``gset`` tells which column holds."""
-    grouped = scored.groupingSets([[F.col(c)] for c in sets] + [[]], *[F.col(c) for c in sets])
-    out = grouped.agg(F.grouping_id(*sets).alias("gset"), F.count("*").alias("total"), F.sum("correct").alias("n_correct"), F.avg("correct").alias("accuracy"))
-    return out.select("gset", *sets, "total", "n_correct", "accuracy")
+    """Accuracy over everything and by each column, in one pass; ``gset`` tells which column holds.
+
+    Rows are counted by all columns first, so what the grouping sets multiply is the few cells, not the rows.
+    """
+    cells = scored.groupBy(*sets).agg(F.count("*").alias("__n"), F.sum("correct").alias("__k"))
+    grouped = cells.groupingSets([[F.col(c)] for c in sets] + [[]], *[F.col(c) for c in sets])
+    out = grouped.agg(F.grouping_id(*sets).alias("gset"), F.coalesce(F.sum("__n"), F.lit(0)).alias("total"), F.sum("__k").alias("n_correct"))
+    return out.select("gset", *sets, "total", "n_correct", F.try_divide("n_correct", "total").alias("accuracy"))
 
 
 def accuracy_by(scored: DataFrame, *by: str) -> DataFrame:
@@ -61,7 +65,8 @@ def confusion_percent(counts: DataFrame) -> DataFrame:
 
 def label_distribution(scored: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(dimension, value, n) of each column, in one pass."""
-    sets = scored.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.grouping_id(*columns).alias("gid"), F.count("*").alias("n"))
+    cells = scored.groupBy(*columns).agg(F.count("*").alias("__n"))
+    sets = cells.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.grouping_id(*columns).alias("gid"), F.sum("__n").alias("n"))
     full = (1 << len(columns)) - 1
     which = F.coalesce(*[F.when(F.col("gid") == full - (1 << (len(columns) - 1 - i)), F.lit(c)) for i, c in enumerate(columns)])
     return sets.select(which.alias("dimension"), F.coalesce(*columns).alias("value"), "n")

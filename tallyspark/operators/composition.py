@@ -95,6 +95,13 @@ def recombinations(strata: DataFrame, n: int = 100, seed: int = 42) -> DataFrame
     return _resolve(grid, numbered)
 
 
+def _rates(rows: DataFrame, by: str, **of: str) -> DataFrame:
+    """Means of 0/1 columns by a column and overall; rows are summed by it before the overall row is made."""
+    cells = rows.groupBy(by).agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{name}") for name, c in of.items()])
+    g = cells.groupingSets([[by], []], by).agg(F.grouping_id(by).alias("overall"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), *[F.sum(f"__{name}").alias(f"__{name}") for name in of])
+    return g.select("overall", by, "n", *[F.try_divide(f"__{name}", "n").alias(name) for name in of])
+
+
 def compositional(recombined: DataFrame) -> DataFrame:
     """Rates by pair u->c of strata and overall.
 
@@ -103,7 +110,7 @@ def compositional(recombined: DataFrame) -> DataFrame:
     """
     u, c = (F.col("predicted") == F.col("utterance_gold")), (F.col("predicted") == F.col("context_gold"))
     x = recombined.select(F.concat("source_subtype", F.lit("->"), "context_subtype").alias("pair"), "original_correct", u.cast("int").alias("u"), c.cast("int").alias("c"), (u | c).cast("int").alias("e"))
-    g = x.groupingSets([["pair"], []], "pair").agg(F.grouping_id("pair").alias("overall"), F.count("*").alias("n"), F.avg("original_correct").alias("original_accuracy"), F.avg("u").alias("utterance_rate"), F.avg("c").alias("context_rate"), F.avg("e").alias("recombined_accuracy"))
+    g = _rates(x, "pair", original_accuracy="original_correct", utterance_rate="u", context_rate="c", recombined_accuracy="e")
     return g.withColumn("drop", F.col("original_accuracy") - F.col("recombined_accuracy")).withColumn("score", F.coalesce(F.try_divide("recombined_accuracy", "original_accuracy"), F.lit(0.0)))
 
 
@@ -113,7 +120,7 @@ def role_swap_effects(pairs: DataFrame) -> DataFrame:
     ``pairs``: original_power, swapped_power, original, swapped, truth.
     """
     x = pairs.select(F.concat("original_power", F.lit("->"), "swapped_power").alias("transition"), (F.col("original") == F.col("truth")).cast("int").alias("a"), (F.col("swapped") == F.col("truth")).cast("int").alias("b"), (F.col("original") != F.col("swapped")).cast("int").alias("ch"))
-    g = x.groupingSets([["transition"], []], "transition").agg(F.grouping_id("transition").alias("overall"), F.count("*").alias("n"), F.avg("a").alias("original_accuracy"), F.avg("b").alias("swapped_accuracy"), F.avg("ch").alias("change_rate"))
+    g = _rates(x, "transition", original_accuracy="a", swapped_accuracy="b", change_rate="ch")
     return g.withColumn("drop", F.col("original_accuracy") - F.col("swapped_accuracy"))
 
 

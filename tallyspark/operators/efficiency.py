@@ -53,8 +53,10 @@ def expected_calibration_error(scored: DataFrame, n_bins: int = 10) -> DataFrame
 def power_stratified(scored: DataFrame) -> DataFrame:
     """Accuracy overall, by power and by power x subtype, in one pass; rows of unknown power are dropped."""
     known = scored.where(F.col("power_relation").isin("peer", "higher_to_lower", "lower_to_higher"))
-    g = known.groupingSets([["power_relation"], ["power_relation", "subtype"], []], "power_relation", "subtype")
-    return g.agg(F.grouping_id("power_relation", "subtype").alias("gset"), F.count("*").alias("n"), F.avg("correct").alias("accuracy"))
+    cells = known.groupBy("power_relation", "subtype").agg(F.count("*").alias("__n"), F.sum("correct").alias("__k"))
+    g = cells.groupingSets([["power_relation"], ["power_relation", "subtype"], []], "power_relation", "subtype")
+    out = g.agg(F.grouping_id("power_relation", "subtype").alias("gset"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.sum("__k").alias("__k"))
+    return out.select("gset", "power_relation", "subtype", "n", F.try_divide("__k", "n").alias("accuracy"))
 
 
 def power_comparisons(scored: DataFrame) -> DataFrame:
