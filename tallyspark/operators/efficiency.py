@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .effects import power_gap
 from .resampling import binary_bootstrap, difference_bootstrap
 
 
@@ -78,6 +79,16 @@ def relative_layers(layers: DataFrame) -> DataFrame:
     return best.select("model_id", (-F.col("b.l")).alias("peak_layer"), F.col("b.accuracy").alias("accuracy"), F.coalesce(F.try_divide(-F.col("b.l").cast("double"), F.col("b.__last")), F.lit(0.0)).alias("position"))
 
 
+def all_metrics(scored: DataFrame, human: float = 0.82) -> DataFrame:
+    """(metric, value, n): efficiency ratio, calibration error, power gap with d, and accuracy by power and subtype, in one long table."""
+    row = lambda df, metric, value, n="n": df.select(F.lit(metric).alias("metric"), F.col(value).alias("value"), F.col(n).alias("n"))
+    gap = power_gap(scored).withColumn("n", F.col("n_a") + F.col("n_b"))
+    cells = power_stratified(scored)
+    named = cells.select(F.concat_ws("/", F.lit("accuracy"), F.coalesce("power_relation", F.lit("all")), "subtype").alias("metric"), F.col("accuracy").alias("value"), "n")
+    out = row(efficiency_ratio(scored, human), "efficiency_ratio", "ratio").unionByName(row(expected_calibration_error(scored), "ece", "ece"))
+    return out.unionByName(row(gap, "power_gap", "gap")).unionByName(row(gap, "power_gap_d", "d")).unionByName(named)
+
+
 def quadrant(by_subtype_accuracy: DataFrame, classes: DataFrame) -> DataFrame:
     """Human agreement against model accuracy by scenario's subtype, in percent; 50 where a subtype has no accuracy."""
     j = classes.join(by_subtype_accuracy.select("subtype", (F.col("accuracy") * 100).alias("acc")), "subtype", "left")

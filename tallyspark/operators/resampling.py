@@ -14,15 +14,62 @@ def hash_pick(seed, draw, i, n) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
 
 
-def hash_bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int = 100, seed: int = 42) -> DataFrame:
-    """(group, draw, boot_mean): means of literal resamples chosen by hash; for small groups and parity checks.
+STATISTICS = {"mean": F.avg, "median": F.median, "std": F.stddev_pop}
+
+
+def hash_bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int = 100, seed: int = 42, statistic: str = "mean") -> DataFrame:
+    """(group, draw, boot_mean): mean, median or std of literal resamples chosen by hash; for small groups and parity checks.
 
     Rows of a group are numbered by ``key``, which must be unique in it.
     """
     numbered = rows.select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("i"), F.count("*").over(Window.partitionBy(group)).alias("n"))
     picks = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(group, "draw", hash_pick(seed, F.col("draw"), F.col("i"), F.col("n")).alias("pick"))
     values = numbered.select(F.col(group).alias("__g"), F.col("i").cast("bigint").alias("j"), "v")
-    return picks.join(values, (F.col(group) == F.col("__g")) & (F.col("pick") == F.col("j"))).groupBy(group, "draw").agg(F.avg("v").alias("boot_mean"))
+    return picks.join(values, (F.col(group) == F.col("__g")) & (F.col("pick") == F.col("j"))).groupBy(group, "draw").agg(STATISTICS[statistic]("v").alias("boot_mean"))
+
+
+def hash_permutation(rows: DataFrame, group: str, value: str, key: str, a: str, b: str, rounds: int = 100, seed: int = 42, statistic: str = "mean") -> DataFrame:
+    """One row: difference of the two groups' statistic and the share of relabellings that reach it (no +1).
+
+    In each round the rows with the smallest md5 of seed|round|key form the first group, in its size. Rows
+    are multiplied by rounds, so this form is for small tables; 0/1 values have
+    ``hypothesis.permutation_binary``, and means of any numbers ``relabelled_means``.
+    """
+    f = STATISTICS[statistic]
+    x = rows.where(F.col(group).isin(a, b)).select((F.col(group) == a).alias("__a"), F.col(value).cast("double").alias("v"), F.col(key).cast("string").alias("k"))
+    sizes = x.agg(F.sum(F.col("__a").cast("int")).alias("na"), F.count("*").alias("n"))
+    seen = x.agg((f(F.when(F.col("__a"), F.col("v"))) - f(F.when(~F.col("__a"), F.col("v")))).alias("difference"))
+    each = x.join(F.broadcast(sizes)).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    at = F.row_number().over(Window.partitionBy("round").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "round", "k")), "k"))
+    first = at <= F.col("na")
+    perm = each.withColumn("first", first).groupBy("round").agg((f(F.when(F.col("first"), F.col("v"))) - f(F.when(~F.col("first"), F.col("v")))).alias("d"))
+    out = perm.join(F.broadcast(seen)).agg(F.first("difference").alias("difference"), F.avg((F.abs("d") >= F.abs("difference") - 1e-12).cast("int")).alias("p_value"))
+    return out
+
+
+def relabelled_means(rows: DataFrame, group: str, value: str, a: str, b: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: n_a, n_b, difference of means, p by random relabelling at any size.
+
+    Each row joins the first group with chance n_a / n in each round, drawn within tasks; only sums by round are shuffled.
+    """
+    x = rows.where(F.col(group).isin(a, b)).select((F.col(group) == a).alias("a"), F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("h")).where("v is not null")
+    t = x.agg(F.count("*").alias("n"), F.sum(F.col("a").cast("long")).alias("na"), F.avg(F.when(F.col("a"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("a"), F.col("v"))).alias("mb"))
+    share = t.select(F.try_divide(F.col("na").cast("double"), F.col("n")).alias("p"))
+
+    def run(frames):
+        s = np.zeros((4, rounds))
+        for pdf in frames:
+            for i in range(0, len(pdf), 2000):
+                v, h, p = (pdf[c].to_numpy()[i : i + 2000] for c in ("v", "h", "p"))
+                rng = np.random.Generator(np.random.PCG64([seed, int(np.bitwise_xor.reduce(h.view(np.uint64)))]))
+                first = rng.random((rounds, len(v))) < p[0]
+                s += np.stack([first @ v, first.sum(axis=1), ~first @ v, (~first).sum(axis=1)])
+        yield pd.DataFrame({"round": np.arange(rounds), "sa": s[0], "na": s[1], "sb": s[2], "nb": s[3]})
+
+    sums = x.join(F.broadcast(share)).select("v", "h", "p").mapInPandas(run, "round long, sa double, na double, sb double, nb double").groupBy("round").agg(*[F.sum(c).alias(c) for c in ("sa", "na", "sb", "nb")])
+    d = sums.select((F.try_divide("sa", "na") - F.try_divide("sb", "nb")).alias("d"))
+    seen = t.select(F.col("na").alias("n_a"), (F.col("n") - F.col("na")).alias("n_b"), (F.col("ma") - F.col("mb")).alias("difference"))
+    return d.join(F.broadcast(seen)).groupBy("n_a", "n_b", "difference").agg(F.avg((F.abs("d") >= F.abs("difference")).cast("int")).alias("p_value"))
 
 
 def interval(boot: DataFrame, group: str, alpha: float = 0.05, kind: str = "index") -> DataFrame:

@@ -718,6 +718,44 @@ def _(s, d):
     return resampling.interval(resampling.hash_bootstrap(_boot_rows(s, d), "g", "base", "key"), "g", kind="percentile")
 
 
+def _stat_sql(f):
+    return _BOOT.replace("avg(num.v) AS m", f + "(num.v) AS m").replace("base::double AS v", "(key % 97)::double AS v") + "SELECT g, round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper FROM boot GROUP BY g"
+
+
+for _name, _f in (("median", "median"), ("std", "stddev_pop")):
+
+    @query(f"boot_{_name}", _stat_sql(_f))
+    def _(s, d, st=_name):
+        rows = B.pairs(s, d).select((F.col("key") % 4).cast("string").alias("g"), "key", (F.col("key") % 97).alias("v"))
+        return resampling.interval(resampling.hash_bootstrap(rows, "g", "v", "key", statistic=st), "g", kind="percentile")
+
+
+for _name, _f in (("mean", "avg"), ("median", "median")):
+
+    @query(f"permutation_{_name}", PAIRS.rstrip() + f""", x AS (SELECT base = 1 AS a, (key % 97)::double AS v, key::varchar AS k FROM pairs), z AS (SELECT count(*) FILTER (a) AS na FROM x),
+o AS (SELECT {_f}(v) FILTER (a) - {_f}(v) FILTER (NOT a) AS d0 FROM x),
+r AS (SELECT d AS round, v, row_number() OVER (PARTITION BY d ORDER BY md5('42|' || d::varchar || '|' || k), k) <= na AS f FROM x, z, range(0, 100) t(d)),
+p AS (SELECT round, {_f}(v) FILTER (f) - {_f}(v) FILTER (NOT f) AS d FROM r GROUP BY round)
+SELECT round(max(d0), 6) AS difference, round(avg((abs(d) >= abs(d0) - 1e-12)::int), 6) AS p_value FROM p, o""")
+    def _(s, d, st=_name):
+        rows = B.pairs(s, d).select(F.col("base").cast("string").alias("g"), "key", (F.col("key") % 97).alias("v"))
+        return resampling.hash_permutation(rows, "g", "v", "key", "1", "0", statistic=st)
+
+
+@query("relabelled_means")
+def _(s, d):
+    return resampling.relabelled_means(B.predictions(s, d), "power_relation", "latency_ms", "peer", "lower_to_higher", 200)
+
+
+@query("all_metrics", PRED + f""", b AS (SELECT * FROM (VALUES {_EDGES}) t(bin, lo, hi)), g AS (SELECT {_D} AS gap, {_pooled('var_pop')} AS sd, count(*) AS n FROM (SELECT correct AS v, power_relation AS g FROM pred WHERE power_relation IN ('peer', 'lower_to_higher')))
+SELECT 'efficiency_ratio' AS metric, round(avg(correct) / 0.82::double, 6) AS value, count(*) AS n FROM pred
+UNION ALL SELECT 'ece', round(sum(n * abs(a - c)) / (SELECT count(*) FROM pred), 6), (SELECT count(*) FROM pred) FROM (SELECT bin, count(*) AS n, avg(correct) AS a, avg(confidence) AS c FROM pred JOIN b ON confidence > lo AND confidence <= hi GROUP BY bin)
+UNION ALL SELECT 'power_gap', round(gap, 6), n FROM g UNION ALL SELECT 'power_gap_d', round(gap / sd, 6), n FROM g
+UNION ALL SELECT concat_ws('/', 'accuracy', coalesce(power_relation, 'all'), subtype), round(avg(correct), 6), count(*) FROM pred GROUP BY GROUPING SETS ((power_relation), (power_relation, subtype), ()), power_relation, subtype""".replace(" GROUP BY GROUPING SETS ((power_relation), (power_relation, subtype), ()), power_relation, subtype", " GROUP BY GROUPING SETS ((power_relation), (power_relation, subtype), ())"))
+def _(s, d):
+    return efficiency.all_metrics(B.predictions(s, d))
+
+
 @query("boot_binary")
 def _(s, d):
     return resampling.binary_bootstrap(B.predictions(s, d), ["model_id"], "correct")

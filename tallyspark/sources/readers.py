@@ -87,6 +87,19 @@ def write(df: DataFrame, path: str, kind: str = "json", mode: str = "errorifexis
     getattr(writer, kind)(path)
 
 
+def stored_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, value): whole JSON reports of a folder by file name without its ending."""
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("name"), F.try_parse_json("value").alias("value"))
+
+
+def dated(path: str) -> str:
+    """A path beside ``path`` that names the moment, for output that must not replace older output."""
+    from datetime import datetime, timezone
+
+    return f"{path.rstrip('/')}-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+
+
 def markdown(metrics: DataFrame, title: str, most: int = 1000) -> str:
     """A Markdown table of an aggregated frame, of at most ``most`` rows; a longer one is refused."""
     rows = metrics.limit(most + 1).collect()
