@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BITS = 5
-#: Candidates and queries of a block.
-CANDIDATES, QUERIES = 8192, 512
+#: Candidates and queries of a block, and queries whose bounds are in memory at once. A row is copied once for each block
+#: of the other side, so blocks are as large as a task can hold.
+CANDIDATES, QUERIES, AT_ONCE = 8192, 16_384, 256
 
 
 def whole_vector(column: str, scale: int = 1024) -> Column:
@@ -33,6 +34,22 @@ def cells(v: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return code, np.stack([lo, width])
 
 
+def _best(ids, v, other, q, lower, upper, slack: float, need: int) -> list[tuple[int, int]]:
+    """(candidate, score) of the best ``need``: exact vectors are read by falling upper bound until no bound reaches the last score."""
+    sure = np.partition(lower, len(other) - need)[len(other) - need] - slack
+    near = np.flatnonzero(upper + slack >= sure)
+    near = near[np.argsort(-upper[near], kind="stable")]
+    best_s, best_i = np.empty(0, np.int64), np.empty(0, np.int64)
+    for at in range(0, len(near), 4 * need):
+        part = near[at : at + 4 * need]
+        if len(best_s) >= need and upper[part[0]] + slack < best_s[need - 1]:
+            break
+        best_s, best_i = np.r_[best_s, v[other[part]] @ q], np.r_[best_i, other[part]]
+        top = np.lexsort((ids[best_i], -best_s))[:need]
+        best_s, best_i = best_s[top], best_i[top]
+    return [(int(ids[j]), int(s)) for s, j in zip(best_s, best_i)]
+
+
 def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of the k best candidates of this block for each query; ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
@@ -40,29 +57,17 @@ def search_block(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray
     code, (lo, width) = cells(v)
     low = lo + code * width.astype(np.float64)
     high = low + (width - 1)
-    plus, minus = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    lower, upper = plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
-    # doubles may err by the last bits; widen the bounds by that
-    slack = 1 + 1e-12 * np.maximum(np.abs(lower).max(initial=0), np.abs(upper).max(initial=0))
     out = []
-    for i, qid in enumerate(qids):
-        other = np.flatnonzero(ids != qid)
-        if not len(other):
-            continue
-        up, need = upper[i, other], min(k, len(other))
-        sure = np.partition(lower[i, other], len(other) - need)[len(other) - need] - slack
-        near = np.flatnonzero(up + slack >= sure)
-        near = near[np.argsort(-up[near], kind="stable")]
-        best_s, best_i = np.empty(0, np.int64), np.empty(0, np.int64)
-        for at in range(0, len(near), 4 * k):
-            part = near[at : at + 4 * k]
-            if len(best_s) >= need and up[part[0]] + slack < best_s[need - 1]:
-                break
-            s = v[other[part]] @ q[i]  # exact integers
-            best_s, best_i = np.r_[best_s, s], np.r_[best_i, other[part]]
-            top = np.lexsort((ids[best_i], -best_s))[:need]
-            best_s, best_i = best_s[top], best_i[top]
-        out += [(int(qid), int(ids[j]), int(s)) for s, j in zip(best_s, best_i)]
+    for first in range(0, len(qids), AT_ONCE):
+        part = q[first : first + AT_ONCE]
+        plus, minus = np.maximum(part, 0).astype(np.float64), np.minimum(part, 0).astype(np.float64)
+        lower, upper = plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
+        # doubles may err by the last bits; widen the bounds by that
+        slack = 1 + 1e-12 * np.maximum(np.abs(lower).max(initial=0), np.abs(upper).max(initial=0))
+        for i, qid in enumerate(qids[first : first + AT_ONCE]):
+            other = np.flatnonzero(ids != qid)
+            if len(other):
+                out += [(int(qid), *x) for x in _best(ids, v, other, part[i], lower[i, other], upper[i, other], slack, min(k, len(other)))]
     return out
 
 
