@@ -65,6 +65,20 @@ class TestForest:
         for i in (6000, 6001, 6002, 6003, 6004, 6005):
             assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
 
+    def test_dense_group(self, spark):
+        """A tight group of a third of all vectors is neither cut through nor multiplied."""
+        rng = np.random.default_rng(4)
+        v = rng.standard_normal((2400, 24))
+        v[:800] = v[0] + 0.15 * rng.standard_normal((800, 24))
+        u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        for seed in range(3):
+            _, row = embeddings.leaves(u, embeddings.grow(u, 5, seed))
+            assert np.bincount(row).max() <= 16 and len(row) < 4 * len(u)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+        found = sum(r.n_links for r in embeddings.near_duplicates(df, leaf=100).collect())
+        w = v / np.linalg.norm(v, axis=1, keepdims=True)
+        assert found >= 0.98 * ((w @ w.T >= 0.95).sum() - len(w))
+
     def test_empty(self, spark):
         df = spark.createDataFrame([], "vec_id long, embedding array<float>")
         assert embeddings.near_duplicates(df).count() == 0
