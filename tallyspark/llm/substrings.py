@@ -29,7 +29,7 @@ from .common import documents, raw_texts, written
 
 WINDOW = 13
 #: Words of the shorter prefixes, hashed bins in which they are counted, suffixes of a group and of a task's chunk.
-PREFIXES, BINS, GROUP, CHUNK = (1, 2, 4), 1 << 16, 1_000_000, 2_500_000
+PREFIXES, BINS, GROUP, CHUNK = (1, 2, 4), 1 << 16, 1_000_000, 1_200_000
 _ODD = np.random.Generator(np.random.PCG64(13)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
