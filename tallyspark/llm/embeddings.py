@@ -19,7 +19,7 @@ def grow(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL) -> lis
     """One tree as levels of (directions, cuts, half-widths); node i has children 2i and 2i + 1.
 
     A node's direction is random; rows within its half-width of the cut go
-    both ways. The cut lies between the fifths of the rows where fewest are that near,
+    both ways. The cut is the one nearest to the median with at most a fifth of the rows that near,
     so a dense group isn't cut through; where more than a third are
     near any cut, the node stays whole. The rows given here only place the cuts.
     """
@@ -46,7 +46,8 @@ def _cut(x: np.ndarray, spill: float, most: float = 0.35) -> tuple[float, float]
     w = spill * x.std()
     at = np.quantile(x, np.linspace(0.2, 0.8, 25))
     near = (np.searchsorted(x, at + w, "right") - np.searchsorted(x, at - w)) / len(x)
-    best = np.lexsort((np.abs(np.arange(25) - 12), np.round(near, 2)))[0]
+    middle = np.argsort(np.abs(np.arange(25) - 12), kind="stable")
+    best = next((i for i in middle if near[i] <= 0.2), middle[np.argmin(near[middle])])
     return (at[best], w) if near[best] <= most else (np.inf, 0.0)
 
 
