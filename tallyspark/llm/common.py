@@ -46,3 +46,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
         return [b""] * len(column)
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def pieces(batches, rows: int = 1000):
+    """Arrow batches in slices of at most ``rows``, so that what Python holds of texts at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

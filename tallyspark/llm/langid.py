@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts
+from .common import documents, pieces, raw_texts
 
 #: Hashed n-gram bins, n-grams whose likelihoods count as one observation, additive smoothing, EM rounds.
 BINS, RUN, SMOOTH, ROUNDS = 1 << 16, 24, 0.05, 40
@@ -88,35 +88,33 @@ def mixture(loglik: np.ndarray, rounds: int = ROUNDS) -> tuple[list[int], np.nda
     return best, w
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` and lang_pred, score, languages (map of the chosen set's proportions).
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and lang_pred, score, languages (map of the chosen set's proportions).
 
     A text that is null or has no letter, or anything if no language was
     learned, is ``und`` with score 0 and no proportions.
     """
+    sent = keep if text_col in keep else [*keep, text_col]
+    at_text = sent.index(text_col)
+
+    def one(t: bytes):
+        if not langs or next(filter(str.isalpha, t.decode()), None) is None:
+            return "und", 0.0, []
+        parts = []
+        for at in range(0, len(t), 1 << 20):
+            x = table[_bins(t[at : at + (1 << 20)])]
+            parts.append(np.add.reduceat(x, np.arange(0, len(x), RUN), axis=0))
+        own, w = mixture(np.concatenate(parts).astype(np.float64))
+        i = int(np.argmax(w))
+        return langs[own[i]], float(min(1.0, w[i])), [(langs[j], float(p)) for j, p in zip(own, w)]
 
     def run(batches):
-        for batch in batches:
-            pred, score, sets = [], [], []
-            for t in raw_texts(batch.column(batch.num_columns - 1)):
-                if not langs or next(filter(str.isalpha, t.decode()), None) is None:
-                    pred.append("und")
-                    score.append(0.0)
-                    sets.append([])
-                    continue
-                parts = []
-                for at in range(0, len(t), 1 << 20):
-                    x = table[_bins(t[at : at + (1 << 20)])]
-                    parts.append(np.add.reduceat(x, np.arange(0, len(x), RUN), axis=0))
-                own, w = mixture(np.concatenate(parts).astype(np.float64))
-                i = int(np.argmax(w))
-                pred.append(langs[own[i]])
-                score.append(float(min(1.0, w[i])))
-                sets.append([(langs[j], float(p)) for j, p in zip(own, w)])
-            yield pa.record_batch([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], names=[*id_cols, "lang_pred", "score", "languages"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
-    return docs.select(*id_cols, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, languages map<string,double>")
+        for batch in pieces(batches):
+            pred, score, sets = zip(*map(one, raw_texts(batch.column(at_text))))
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], names=[*keep, "lang_pred", "score", "languages"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*sent).mapInArrow(run, f"{kinds}, lang_pred string, score double, languages map<string,double>")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -127,7 +125,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     texts are read in pieces of one MB; an empty table gives no rows.
     """
     langs, table = learn(docs.where(~is_held_out(id_col)), text_col, lang_col)
-    rows = docs.select(F.col(id_col), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("__t"))
+    rows = docs.select(F.col(id_col), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__t"))
     return predict(rows, langs, table, [id_col, "held_out"], "__t")
 
 
@@ -135,8 +133,8 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows whose text is in some learned language: those predicted ``und`` go. Columns unchanged."""
     langs, table = learn(docs.where(~is_held_out(id_col)), text_col, lang_col)
     names = [f"__{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("__copy", F.col(names[docs.columns.index(text_col)]))
-    return predict(plain, langs, table, names, "__copy").where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    kept = predict(docs.toDF(*names), langs, table, names, names[docs.columns.index(text_col)]).where("lang_pred <> 'und'")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts, written
+from .common import documents, pieces, raw_texts, written
 
 #: Leading tokens that lead down the tree, least share of equal tokens within a template, documents that make a template recur.
 LEAD, SIMILAR, MIN_DOCS = 4, 0.8, 10
@@ -42,7 +42,7 @@ def parse(line: bytes, lead: int = LEAD) -> tuple[int, int, int, bytes] | None:
 
 def _templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0)
             rows, tmpl, leaf, size, sigs = [], [], [], [], []
             for i, t in enumerate(raw_texts(batch.column(1))):
@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [n for n in names if n != text]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts, out, lines, lost = batch.column(len(others)), [], [], []
             for t, null, gone in zip(raw_texts(texts), texts.is_null().to_pylist(), batch.column(len(others) + 1).to_pylist()):
                 parts = [] if null else t.split(b"\n")
