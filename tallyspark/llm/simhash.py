@@ -1,7 +1,13 @@
-"""SimHash near-duplicates: 64-bit fingerprints linked within a Hamming radius by sharded BK-trees."""
+"""SimHash near-duplicates: fingerprints linked within a Hamming radius by sharded BK-trees.
+
+64-bit fingerprints within a few bits are linked without loss (``links``);
+256-bit ones within the many bits that similarity 0.8 needs are found in
+shards keyed by several choices of bits (``wide_links``).
+"""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -11,33 +17,68 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts, written
+from .common import documents, pieces, raw_texts, written
 from .components import connected_components, local_roots
 
 SEED = 42
 #: Rows a task's group of shards holds; shards of more fingerprints than BLOCK are cut into pairs of blocks.
 GROUP, BLOCK = 40_000, 512
-
-
-def fingerprint(text: bytes, shingle_words: int = 4) -> int:
-    """The SimHash of one text, as an unsigned number; zero if it has no word."""
+#: Words of a wide fingerprint, and the most bits in which two may differ: texts whose sets of shingles have a similarity of 0.8
+#: differ in 39 of 256 bits, give or take 6; the shingles decide between pairs.
+WIDE, WIDE_RADIUS, WIDE_TYPICAL = 4, 56, 39
+#: Wide fingerprints this near are alike without a look at the shingles.
+WIDE_SURE = 24
+#: Forests of the nearest pairs that a task gives for that look.
+FORESTS = 8
+#: Fingerprints of unrelated texts in a shard, and the share of pairs WIDE_TYPICAL bits apart that no shard may hold.
+SHARD, MISSED = 128, 0.01
+
+
+def _shingle_hashes(text: bytes, shingle_words: int):
+    """Arrays of the hashes of a text's shingles, at most 65,536 at a time; none if it has no word."""
     words = text.lower().split()  # bytes: A-Z only, and exactly the white space 0x09-0x0D and 0x20
     n = len(words)
     if not n:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle_words, n)
     digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(64, np.int64), n - k + 1
+    total = n - k + 1
     a, b = starts[:total].tolist(), ends[k - 1 :].tolist()
     for at in range(0, total, 1 << 16):
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(a[at : at + (1 << 16)], b[at : at + (1 << 16)])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(a[at : at + (1 << 16)], b[at : at + (1 << 16)])], np.uint64)
+
+
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, shingle_words: int = 4) -> int:
+    """The SimHash of one text, repeats included, as an unsigned number; zero if it has no word."""
+    counts, total = np.zeros(64, np.int64), 0
+    for h in _shingle_hashes(text, shingle_words):
+        counts += _bit_counts(h)
+        total += len(h)
     return int(sum(1 << j for j in np.flatnonzero(counts * 2 > total).tolist()))
 
 
+def wide_fingerprint(text: bytes, shingle_words: int = 5) -> np.ndarray:
+    """A SimHash of 64 * WIDE bits of a text's set of shingles, as WIDE unsigned numbers; zeros if it has no word."""
+    parts = list(_shingle_hashes(text, shingle_words))
+    if not parts:
+        return np.zeros(WIDE, np.uint64)
+    h = np.unique(np.concatenate(parts))
+    out = np.empty(WIDE, np.uint64)
+    for i in range(WIDE):
+        mixed = (h ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        counts = _bit_counts(mixed ^ (mixed >> np.uint64(32)))
+        out[i : i + 1] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """(id, fp bigint) of every row; null text counts as empty and gets 0."""
 
@@ -50,6 +91,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ, row by row; one number each, or several in columns."""
+    d = np.bitwise_count(a ^ b)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(axis=1, dtype=np.int64)
+
+
 class BKTrees:
     """One BK-tree for each group of distinct fingerprints, built and searched level by level with NumPy.
 
@@ -59,14 +106,15 @@ class BKTrees:
 
     def __init__(self, group: np.ndarray, fp: np.ndarray):
         self.group, self.fp = group, fp
+        self.bits = 64 if fp.ndim == 1 else 64 * fp.shape[1]
         self.groups, first = np.unique(group, return_index=True)
         self.first = first
         at = first[np.searchsorted(self.groups, group)]
         active = np.flatnonzero(at != np.arange(len(fp)))
         keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(active):
-            d = np.bitwise_count(fp[active] ^ fp[at[active]]).astype(np.int64)
-            key, where, back = np.unique(at[active] * 65 + d, return_index=True, return_inverse=True)
+            d = _distance(fp[active], fp[at[active]])
+            key, where, back = np.unique(at[active] * (self.bits + 1) + d, return_index=True, return_inverse=True)
             child = active[where]
             keys.append(key)
             nodes.append(child)
@@ -85,12 +133,13 @@ class BKTrees:
             q = queries[i : i + chunk]
             node = self.first[known[q]]
             while len(q):
-                d = np.bitwise_count(fp[q] ^ self.fp[node]).astype(np.int64)
+                d = _distance(fp[q], self.fp[node])
                 near = d <= radius
                 if near.any():
                     yield q[near], node[near]
-                lo = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0))
-                hi = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
+                at = node * (self.bits + 1)
+                lo = np.searchsorted(self.key, at + np.maximum(d - radius, 0))
+                hi = np.searchsorted(self.key, at + np.minimum(d + radius, self.bits), "right")
                 n = hi - lo
                 total = int(n.sum())
                 q = np.repeat(q, n)
@@ -125,31 +174,128 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     blocks: a tree of one block, searched with the other.
     """
     n = fps.count()
-    rows = _shards(fps, n, radius)
+    return _linked(_shards(fps, n, radius), "fp", ["fp"], max(1, -(-n * 5 // GROUP)), radius)
+
+
+def _subsets(n: int) -> list[np.ndarray]:
+    """Choices of bits of a wide fingerprint: as many bits as leave SHARD of ``n`` to a shard, as many choices as MISSED asks for."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
+    if not bits:
+        return [np.empty(0, np.int64)]
+    tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - WIDE_TYPICAL / (64 * WIDE)) ** bits)))
+    rng = np.random.default_rng(SEED)
+    return [rng.permutation(64 * WIDE)[:bits] for _ in range(tables)]
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Edges (u, v, d) of numbers ``node`` that join wide fingerprints f0, f1, ... within ``radius`` bits; forests, not all pairs.
+
+    No choice of blocks keeps every pair so many bits apart, so each fingerprint goes to
+    one shard for each of several fixed random choices of bits, whose number
+    follows from how many there are (``_subsets``). The shards' trees are those of ``links``.
+    """
+    n, words = fps.count(), [f"f{i}" for i in range(WIDE)]
+    subsets = _subsets(n)
+
+    def shards(batches):
+        for batch in pieces(batches, 4096):
+            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
+            on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+            for i, chosen in enumerate(subsets):
+                key = np.zeros((len(fp), 8), np.uint8)
+                packed = np.packbits(on[:, chosen], axis=1)
+                key[:, : packed.shape[1]] = packed
+                yield pa.record_batch([*batch.columns, pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64)[:, 0])], names=["node", *words, "i", "key"])
+
+    rows = fps.select("node", *words).mapInArrow(shards, ", ".join(f"{c} bigint" for c in ["node", *words]) + ", i int, key bigint")
+    rows = rows.select("node", *words, F.xxhash64("i", "key").alias("shard"))
+    return _linked(rows, "node", words, max(1, -(-n * len(subsets) // GROUP)), radius, WIDE_SURE)
+
+
+def _nearest_forest(root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs a[i]-b[i] join the groups ``root`` into a forest, nearer pairs first."""
+    order = np.lexsort((b, a, d))
+    ra, rb = root[a[order]], root[b[order]]
+    _, first = np.unique(np.minimum(ra, rb) * len(root) + np.maximum(ra, rb), return_index=True)
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    chosen = []
+    for i in np.sort(first).tolist():
+        x, y = top(int(ra[i])), top(int(rb[i]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            chosen.append(order[i])
+    return np.array(chosen, np.int64)
+
+
+def _nearest_forests(root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Distinct pairs of FORESTS forests, each made of the nearest pairs that those before it left.
+
+    Of fewer than about 2 * FORESTS groups these are all pairs; of more, at most
+    FORESTS a group, and two parts lose touch only if as many nearer pairs between them prove unlike.
+    """
+    _, left = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b), return_index=True)
+    chosen = [np.empty(0, np.int64)]
+    for _ in range(FORESTS):
+        keep = _nearest_forest(root, a[left], b[left], d[left])
+        chosen.append(left[keep])
+        left = np.delete(left, keep)
+        if not len(left):
+            break
+    return np.concatenate(chosen)
+
+
+def _linked(rows: DataFrame, node: str, words: list[str], groups: int, radius: int, sure: int | None = None) -> DataFrame:
+    """Edges between rows of one ``shard`` whose fingerprints (``words``) are within the radius.
+
+    With ``sure``, edges carry d, their bits: 0 for those that join rows over steps of at most ``sure`` bits;
+    the others are real pairs, those of ``_nearest_forests`` between groups so joined.
+    """
+    kept = list(dict.fromkeys([node, *words]))
     large = rows.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("shard", F.ceil(F.col("m") / BLOCK).alias("nb"))
     rows = rows.join(large, "shard", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), "fp", (F.col("own") <= F.col("other")).alias("node"), (F.col("own") >= F.col("other")).alias("query"))
-    groups = max(1, -(-n * 5 // GROUP))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(node, F.lit("block")), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), *kept, (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("asks"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tree", "fp"], kind="stable")
-        tree, fp = pdf["tree"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        is_node, is_query = pdf["node"].to_numpy(bool), pdf["query"].to_numpy(bool)
-        values, ids = np.unique(fp, return_inverse=True)
+        pdf = pdf.sort_values(["tree", node], kind="stable")
+        tree, fp = pdf["tree"].to_numpy(np.int64), np.ascontiguousarray(pdf[words].to_numpy(np.int64)).view(np.uint64)
+        fp = fp[:, 0] if len(words) == 1 else fp
+        is_node, is_query = pdf["in_tree"].to_numpy(bool), pdf["asks"].to_numpy(bool)
+        values, ids = np.unique(pdf[node].to_numpy(np.int64), return_inverse=True)
         nodes, asks = np.flatnonzero(is_node), np.flatnonzero(is_query)
-        root = np.arange(len(values))
+        root, far = np.arange(len(values)), [np.empty((3, 0), np.int64)]
         if len(nodes):
-            for q, v in BKTrees(tree[nodes], fp[nodes]).within(tree[asks], fp[asks], radius):
+            trees = BKTrees(tree[nodes], fp[nodes])
+            for q, v in trees.within(tree[asks], fp[asks], radius if sure is None else sure):
                 a, b = root[ids[asks[q]]], root[ids[nodes[v]]]
                 differ = a != b
                 if differ.any():
                     root = local_roots(len(values), a[differ], b[differ])[root]
+            if sure is not None:
+                for q, v in trees.within(tree[asks], fp[asks], radius):
+                    a, b = ids[asks[q]], ids[nodes[v]]
+                    differ = root[a] != root[b]
+                    if differ.any():
+                        a, b, d = a[differ], b[differ], _distance(fp[asks[q[differ]]], fp[nodes[v[differ]]])
+                        keep = _nearest_forests(root, a, b, d)
+                        far.append(np.stack([a[keep], b[keep], d[keep]]))
         moved = np.flatnonzero(root != np.arange(len(values)))
-        signed = values.view(np.int64)
-        return pd.DataFrame({"u": signed[moved], "v": signed[root[moved]]})
+        found = pd.DataFrame({"u": values[moved], "v": values[root[moved]]})
+        if sure is None:
+            return found
+        a, b, d = np.concatenate(far, axis=1)
+        keep = _nearest_forests(root, a, b, d)
+        pairs = pd.DataFrame({"u": values[a[keep]], "v": values[b[keep]], "d": d[keep]})
+        return pd.concat([found.assign(d=0), pairs]).astype("int64")
 
-    return rows.withColumn("g", F.pmod("tree", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: search(pdf), "u bigint, v bigint")
+    kind = "u bigint, v bigint" + (", d bigint" if sure is not None else "")
+    return rows.withColumn("g", F.pmod("tree", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: search(pdf), kind)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
@@ -161,27 +307,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows. Only id and text are read; other columns never clash.
     """
     own = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    per = own.groupBy("fp").agg(F.min("id").alias("low"))
-    per = written(per, "distinct-fingerprints")
-    roots = connected_components(links(per.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    per = per.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = per.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = per.join(lowest, "root").select("fp", "component_id")
-    out = own.join(named, "fp")
+    per = written(own.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
+    out = _with_component(own, per, "fp", links(per.select("fp"), radius))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_component(own: DataFrame, per: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """``own`` with component_id, the smallest ``low`` of the distinct fingerprints ``per`` that the edges join."""
+    roots = connected_components(edges).select(F.col("node").alias(key), "root")
+    per = per.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+    lowest = per.groupBy("root").agg(F.min("low").alias("component_id"))
+    return own.join(per.join(lowest, "root").select(key, "component_id"), key)
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, sets: bool = False) -> DataFrame:
+    """(id, f0, f1, ..., node) of every row, with the set of its shingles' hashes if asked."""
+    words = [f"f{i}" for i in range(WIDE)]
+
+    def run(batches):
+        for batch in pieces(batches, 200 if sets else 1000):
+            texts = raw_texts(batch.column(1))
+            fps = np.array([wide_fingerprint(t, shingle_words) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            out = [batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE))]
+            if sets:
+                hashes = [np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(t, shingle_words)])).view(np.int64) for t in texts]
+                out.append(pa.array(hashes, pa.list_(pa.int64())))
+            yield pa.record_batch(out, names=["id", *words, *["shingles"] * sets])
+
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words) + ", shingles array<bigint>" * sets
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, kind)
+    return own.withColumn("node", F.xxhash64(*words))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each input row: id, component_id, linking texts whose sets of shingles are 0.8 alike or more.
+
+    Wide fingerprints find the pairs; those beyond WIDE_SURE bits, those of ``_nearest_forests`` in each task, are
+    then held against the sets themselves. Radius and sure bits are those of similarity 0.8;
+    about one in a hundred pairs of just that similarity lie beyond the radius or share no shard.
+    Nulls, empty texts, repeats, empty tables and other columns are as in ``near_duplicates``.
+    """
+    words = [f"f{i}" for i in range(WIDE)]
+    own = written(_wide(docs, id_col, text_col, shingle_words), "wide-fingerprints")
+    per = written(own.groupBy("node", *words).agg(F.min("id").alias("low")), "distinct-wide-fingerprints")
+    edges = written(wide_links(per), "wide-links")
+    pairs = edges.where("d > 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = per.join(nodes, "node", "left_semi").select(F.col("low").alias("__low")).distinct()
+    asked = docs.select(id_col, text_col).join(ids, F.col(id_col).eqNullSafe(F.col("__low")), "left_semi")
+    sets = _wide(asked, id_col, text_col, shingle_words, sets=True).join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("s"))
+    sets = written(sets, "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    both = both.withColumn("i", F.size(F.array_intersect("a", "b"))).where(F.col("i") >= similarity * (F.size("a") + F.size("b") - F.col("i")))
+    alike = edges.where("d = 0").select("u", "v").unionByName(both.select("u", "v"))
+    return _with_component(own.select("id", "node"), per.select("node", "low"), "node", alike).select(F.col("id").alias(id_col), "component_id")
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle_words=4, radius=4)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows that are the first of their group: one row for each component, columns unchanged.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **how) -> DataFrame:
+    """The rows that are the first of their group: one row for each component that ``find`` gives, columns unchanged.
 
     Of rows that repeat the smallest id of a component, one stays (the first by
     text). Rows of a component without any id are one group as well.
     """
-    groups = near_duplicates(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    groups = find(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keep = groups.select(F.col(id_col).alias("__id")).groupBy("__id").agg(F.count("*").alias("__n"))
     kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("__id")))
     single = kept.where("__n = 1").select(*[docs[c] for c in docs.columns])

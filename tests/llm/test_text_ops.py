@@ -136,6 +136,46 @@ class TestSimHash:
         ids = {r.component_id for r in simhash.near_duplicates(docs).collect()}
         assert Counter(r.doc_id for r in kept.collect()) == Counter(ids)
 
+    @pytest.mark.parametrize("shard, block", [(128, 512), (8, 16)])
+    def test_similarity(self, spark, shard, block, monkeypatch):
+        """Groups join nothing that pairs of similarity 0.8 don't, and hold nearly all of those; texts without words form one group."""
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        rng = np.random.default_rng(5)
+        texts = [None, "", " \t ", "one", "One", "one two"]
+        for _ in range(12):
+            words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+            texts += [" ".join(words), " ".join(words)]
+            for changed in (1, 2, 3, 3, 4, 6, 9, 15):
+                copy = list(words)
+                for at in rng.integers(0, len(copy), changed):
+                    copy[at] = f"x{rng.integers(0, 5000)}"
+                texts.append(" ".join(copy))
+
+        def shingles(t):
+            w = words_of(lower(t or ""))
+            k = min(5, len(w))
+            return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+        sets = [shingles(t) for t in texts]
+        label = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if sets[i] == sets[j] or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+        assert len(got) == len(texts) and all(label[i] == label[c] for i, c in got.items())
+        linked = [(i, j) for i in range(len(texts)) for j in range(i) if label[i] == label[j]]
+        assert sum(got[i] == got[j] for i, j in linked) >= 0.95 * len(linked)
+        assert all(got[i] == got[j] for i, j in linked if sets[i] == sets[j])
+        assert {r.doc_id for r in simhash.one_of_each(df, find=simhash.similar_documents).collect()} == set(got.values())
+
+    def test_similarity_of_nothing(self, empty):
+        assert simhash.similar_documents(empty).count() == 0
+
 
 class TestByteBPE:
     def test_like_the_library(self, docs, empty):
