@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,44 +13,103 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components, local_roots
 
-#: Trees, rows a leaf should hold, spill as a share of a projection's deviation, rows the splits are fitted on, rows of a block of an oversized leaf.
+#: Least trees, rows a leaf should hold, least spill as a share of a projection's deviation, rows the splits are fitted on, rows of a block of an oversized leaf.
 TREES, LEAF, SPILL, SAMPLE, BLOCK = 6, 400, 0.16, 40_000, 1000
+#: Directions tried for a node, rows of it whose pairs are looked at, links that tell a cut's loss, and the most of them it may lose.
+TRIES, LOOK, TELLING, LOSS = 4, 512, 30, 0.03
+#: Share of links among a node's pairs from which it stays whole rather than lose more; share of links just at the bound that all trees may miss.
+DENSE, MISSED = 0.01, 0.001
 
 
-def grow(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def grow(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL, least: float = 0.95) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """One tree as levels of (directions, cuts, half-widths); node i has children 2i and 2i + 1.
 
     A node's direction is random; rows within its half-width of the cut go
-    both ways. The cut is the one nearest to the median with at most a fifth of the rows that near,
-    so a dense group isn't cut through; where more than a third are
-    near any cut, the node stays whole. The rows given here only place the cuts.
+    both ways. The cut is the one nearest to the median with at most a fifth of the rows that near
+    that loses at most LOSS of the links (``_cut``). Where no cut of TRIES directions does and
+    the node is dense in links, or more than a third are near any cut, it stays whole, at
+    whatever depth: a dense group is compared in full. The rows given here only place the cuts.
     """
+    return _grown(sample, depth, seed, spill, least)[0]
+
+
+def _grown(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL, least: float = 0.95) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """A tree, and for each row of the sample the chance that a link just at the bound stays in one leaf."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    dim, levels = sample.shape[1], []
+    dim, levels, kept = sample.shape[1], [], np.ones(len(sample))
+    step = float(np.sqrt(max(2 - 2 * least, 1e-12) / dim))  # deviation of a projected difference of such a link
     at, rows = np.zeros(len(sample), np.int64), np.arange(len(sample))
     for level in range(depth):
-        d = rng.standard_normal((1 << level, dim)).astype(np.float32)
-        d /= np.linalg.norm(d, axis=1, keepdims=True)
-        mid, wide = np.zeros(1 << level, np.float32), np.zeros(1 << level, np.float32)
-        x = np.einsum("ij,ij->i", sample[rows], d[at])
+        d = rng.standard_normal((1 << level, TRIES, dim)).astype(np.float32)
+        d /= np.linalg.norm(d, axis=2, keepdims=True)
+        mid, wide, chosen = np.full(1 << level, np.inf, np.float32), np.zeros(1 << level, np.float32), d[:, 0].copy()
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange((1 << level) + 1))
+        x = np.zeros(len(rows), np.float32)
         for node in range(1 << level):
-            own = x[at == node]
-            mid[node], wide[node] = _cut(np.sort(own), spill)
-        levels.append((d, mid, wide))
+            own = order[ends[node] : ends[node + 1]]
+            if len(own) < 2:
+                continue
+            v = sample[rows[own]]
+            look = rng.permutation(len(own))[:LOOK]
+            i, j = np.nonzero(np.triu(v[look] @ v[look].T >= least, 1))
+            share, best = len(i) / (len(look) * (len(look) - 1) / 2), (2.0, np.inf, 0.0, 0)
+            for k in range(TRIES):
+                p = v @ d[node, k]
+                lost, cut, w = _cut(p, spill, step, p[look[i]], p[look[j]])
+                if lost < best[0]:
+                    best = (lost, cut, w, k)
+                if lost <= LOSS:
+                    break
+            lost, cut, w, k = best
+            chosen[node] = d[node, k]
+            if lost <= LOSS or (lost <= 1 and share < DENSE):
+                mid[node], wide[node], x[own] = cut, w, v @ d[node, k]
+                kept[rows[own]] *= 1 - lost
+        levels.append((chosen, mid, wide))
         at, rows = _down(x, at, rows, mid, np.zeros_like(wide))
-    return levels
+    return levels, kept
+
 
+def _cut(x: np.ndarray, spill: float, step: float, a: np.ndarray, b: np.ndarray, most: float = 0.35) -> tuple[float, float, float]:
+    """(lost, cut, half-width) of a node's projections; lost is 2 where more than ``most`` are near any cut.
 
-def _cut(x: np.ndarray, spill: float, most: float = 0.35) -> tuple[float, float]:
-    """(cut, half-width) of sorted projections; an infinite cut leaves the node whole."""
-    if len(x) < 2:
-        return np.inf, 0.0
-    w = spill * x.std()
-    at = np.quantile(x, np.linspace(0.2, 0.8, 25))
-    near = (np.searchsorted(x, at + w, "right") - np.searchsorted(x, at - w)) / len(x)
+    ``lost`` is the share of links that the cut parts: as expected of links just at the bound, whose projected
+    difference has the deviation ``step``, and as seen on the links a-b if these are enough to tell.
+    """
+    w, places = max(spill * float(x.std()), step / 2), np.linspace(0.2, 0.8, 25)
+    x = np.sort(x)
+    at = np.quantile(x, places)
+
+    def share(w):
+        return (np.searchsorted(x, at + w, "right") - np.searchsorted(x, at - w)) / len(x)
+
+    near = share(w)
+    if near.min() > most:
+        w *= 0.95 * most / near.min()
+        near = share(w)
+    t = max(2 * w / step, 1e-9)
+    tail = math.erfc(t / math.sqrt(2)) / 2
+    lost = np.minimum(1.0, near / t * 2 * (math.exp(-t * t / 2) / math.sqrt(2 * math.pi) - t * tail))
+    if len(a) >= TELLING:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        lost = np.maximum(lost, [np.mean((low <= c - w) & (high > c + w)) for c in at])
     middle = np.argsort(np.abs(np.arange(25) - 12), kind="stable")
-    best = next((i for i in middle if near[i] <= 0.2), middle[np.argmin(near[middle])])
-    return (at[best], w) if near[best] <= most else (np.inf, 0.0)
+    best = next((i for i in middle if near[i] <= 0.2 and lost[i] <= LOSS), None)
+    if best is None:
+        allowed = middle[near[middle] <= most]
+        if not len(allowed):
+            return 2.0, np.inf, 0.0
+        best = allowed[np.argmin(lost[allowed])]
+    return float(lost[best]), float(at[best]), w
+
+
+def _forest(sample: np.ndarray, depth: int, trees: int, least: float) -> list:
+    """``trees`` trees, or as many more as leave at most MISSED of the links just at the bound to none."""
+    first, kept = _grown(sample, depth, 97, least=least)
+    while np.mean((1 - kept) ** trees) > MISSED:
+        trees += 1
+    return [first, *(grow(sample, depth, 97 + t, least=least) for t in range(1, trees))]
 
 
 def _down(x, at, rows, mid, wide):
@@ -87,8 +148,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counted in the first leaf that both share, so n_links needs no list of
     pairs: each vector carries its leaves. Leaves of more than BLOCK rows are
     compared as pairs of blocks. Splits are placed on at most ``sample`` vectors
-    chosen by hash; the rows of all trees are indexed. Pairs that no leaf joins
-    are missed (recall is measured in the tests).
+    chosen by hash; the rows of all trees are indexed. There are at least ``trees`` trees, and more as
+    depth asks. Pairs that no leaf joins are missed (recall is measured in the tests).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; vectors link only with vectors of their length; a null id links with
@@ -123,7 +184,7 @@ def _links(own: DataFrame, dim: int, least: float, trees: int, leaf: int, sample
     fitted = own.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * sample).toPandas() if n > leaf else None
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))) if n > leaf else 0
     depth = min(depth, int(np.log2(max(2, len(fitted) / 16)))) if fitted is not None and len(fitted) else 0
-    forest = [grow(_unit(np.stack(fitted["v"].to_list())).astype(np.float32), depth, 97 + t) for t in range(trees)] if depth else [[]]
+    forest = _forest(_unit(np.stack(fitted["v"].to_list())).astype(np.float32), depth, trees, least) if depth else [[]]
     forest_b = own.sparkSession.sparkContext.broadcast(forest)
 
     def place(batches):

@@ -79,6 +79,25 @@ class TestForest:
         w = v / np.linalg.norm(v, axis=1, keepdims=True)
         assert found >= 0.98 * ((w @ w.T >= 0.95).sum() - len(w))
 
+    def test_dense_group_at_depth(self):
+        """Many levels neither lose links of a group of a third of all vectors nor cut it up; more depth asks for more trees."""
+        rng, n = np.random.default_rng(4), 24_000
+        v = rng.standard_normal((n, 64))
+        v[: n // 3] = v[0] + 0.2 * rng.standard_normal((n // 3, 64))
+        u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        order = rng.permutation(n)
+        i, j = rng.integers(0, n // 3, (2, 6000))
+        linked = (i != j) & ((u[i] * u[j]).sum(axis=1) >= 0.95)
+        i, j = i[linked], j[linked]
+        hit = np.zeros(len(i), bool)
+        for t in range(6):
+            leaf, row = embeddings.leaves(u, embeddings.grow(u[order], 8, 97 + t))
+            of = {}
+            for x, r in zip(leaf.tolist(), row.tolist()):
+                of.setdefault(r, set()).add(x)
+            hit |= np.array([bool(of[a] & of[b]) for a, b in zip(i.tolist(), j.tolist())])
+        assert len(i) > 2000 and hit.mean() >= 0.99
+
     def test_empty(self, spark):
         df = spark.createDataFrame([], "vec_id long, embedding array<float>")
         assert embeddings.near_duplicates(df).count() == 0
