@@ -17,26 +17,31 @@ from .common import documents, pieces, raw_texts, written
 LEAD, SIMILAR, MIN_DOCS = 4, 0.8, 10
 #: Templates of one leaf that are compared in one task; a larger leaf is first clustered in parts.
 LEAF = 4000
-_DIGIT = re.compile(rb"[0-9]")
+_DIGIT, _DIGITS = re.compile(rb"[0-9]"), re.compile(rb"[0-9]+")
 _VARIABLE = b"<*>"
 
 
 def parse(line: bytes, lead: int = LEAD) -> tuple[int, int, int, bytes] | None:
     """(template, leaf, tokens, signature) of a line, or None if it has no word.
 
-    Tokens with a digit are variable. The leaf is the token count and the
-    leading tokens; the signature holds 16 bits of each token.
+    Runs of digits are variable, the other characters of their token are not. A line
+    without a token free of digits (numeric rows, paragraphs without spaces) has
+    nothing constant to go by: its template is the line itself, and it has no
+    signature. The leaf is the token count and the leading tokens; the signature holds 15
+    bits of each token, and whether it had a digit in its lowest bit.
     """
     tokens = line.split()
     if not tokens:
         return None
-    if _DIGIT.search(line):
-        tokens = [_VARIABLE if _DIGIT.search(t) else t for t in tokens]
     h, n = xxhash.xxh64_intdigest, len(tokens)
+    variable = [bool(_DIGIT.search(t)) for t in tokens] if _DIGIT.search(line) else [False] * n
+    exact = all(variable)
+    if not exact and any(variable):
+        tokens = [_DIGITS.sub(_VARIABLE, t) if v else t for t, v in zip(tokens, variable)]
     whole = h(b" ".join(tokens))
     leaf = h(b" ".join(tokens[:lead]), n)
     # with so few tokens no second line can be similar enough and still differ
-    sig = b"" if (n - 1) / n < SIMILAR else np.array([h(t) & 0xFFFF for t in tokens], np.uint16).tobytes()
+    sig = b"" if exact or (n - 1) / n < SIMILAR else np.array([h(t) & 0xFFFE | v for t, v in zip(tokens, variable)], np.uint16).tobytes()
     return whole - (1 << 64) if whole >> 63 else whole, leaf - (1 << 64) if leaf >> 63 else leaf, n, sig
 
 
@@ -69,7 +74,7 @@ def _templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Name each template of some leaves after the first template (by hash) that it is similar to."""
+    """Name each template of some leaves after the first template (by hash) that it is similar to and shares a constant token with."""
     pdf = pdf.sort_values(["leaf", "tmpl"], kind="stable").reset_index(drop=True)
     name = pdf["tmpl"].to_numpy(np.int64).copy()
     leaf = pdf["leaf"].to_numpy(np.int64)
@@ -80,7 +85,8 @@ def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"].iloc[lo:hi]), np.uint16).reshape(hi - lo, -1)
         left = np.arange(hi - lo)
         while len(left) > 1:
-            same = (sig[left[1:]] == sig[left[0]]).mean(axis=1) >= SIMILAR
+            equal = sig[left[1:]] == sig[left[0]]
+            same = (equal.mean(axis=1) >= SIMILAR) & equal[:, sig[left[0]] & 1 == 0].any(axis=1)
             name[lo + left[1:][same]] = name[lo + left[0]]
             left = left[1:][~same]
     return pd.DataFrame({"tmpl": pdf["tmpl"], "name": name})

@@ -367,6 +367,17 @@ class TestLines:
         for i, t in rows:
             assert out[i].text == (t if i == 0 else t.replace("common line that returns\n", ""))
 
+    def test_lines_without_a_constant_token(self, spark):
+        """Unspaced script with a digit, numeric rows and URLs go only as the same line; digits inside a token are variable."""
+        numerals = "一二三四五六七八九十甲乙"
+        rows = []
+        for i, c in enumerate(numerals):
+            own = [f"这是第{i}篇{c}的文章，内容各不相同。", f"{i} {i * 7} {i * 13}", f"2024-01-{i + 10}", f"https://example.org/{c}/{i}", f"{i} {i} {i} {i} {c}", "3 5 8"]
+            rows.append((i, "\n".join([*own, f"Page-{i}/12 of this book"])))
+        out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for i, t in rows:
+            assert out[i].text == (t if i == 0 else "\n".join(t.split("\n")[:5]))
+
     def test_similar_lines_in_large_leaves(self, spark, monkeypatch):
         monkeypatch.setattr(linededup, "LEAF", 5)
         rows = [(i, f"seen the old gate near river mark{chr(97 + i)} at dawn again today") for i in range(26)]
