@@ -15,6 +15,8 @@ from .common import documents, pieces, raw_texts, written
 
 #: Leading tokens that lead down the tree, least share of equal tokens within a template, documents that make a template recur.
 LEAD, SIMILAR, MIN_DOCS = 4, 0.8, 10
+#: Words of a line from which its exact repeats go from the second document on.
+LONG = 50
 #: Templates of one leaf that are compared in one task; a larger leaf is first clustered in parts.
 LEAF = 4000
 _DIGIT, _DIGITS = re.compile(rb"[0-9]"), re.compile(rb"[0-9]+")
@@ -45,32 +47,45 @@ def parse(line: bytes, lead: int = LEAD) -> tuple[int, int, int, bytes] | None:
     return whole - (1 << 64) if whole >> 63 else whole, leaf - (1 << 64) if leaf >> 63 else leaf, n, sig
 
 
+def keys(line: bytes) -> list[tuple[int, int, int, bytes, bool]]:
+    """What a line is counted by: its template as ``parse`` gives it, and of a long line the line itself; the last field tells which."""
+    x = parse(line)
+    if x is None:
+        return []
+    if x[2] < LONG:
+        return [(*x, False)]
+    exact = xxhash.xxh64_intdigest(b" ".join(line.split()), LONG)
+    exact = exact - (1 << 64) if exact >> 63 else exact
+    return [(*x, False), (exact, exact, x[2], b"", True)]
+
+
 def _templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in pieces(batches):
             ids = batch.column(0)
-            rows, tmpl, leaf, size, sigs = [], [], [], [], []
+            rows, tmpl, leaf, size, sigs, exact = [], [], [], [], [], []
             for i, t in enumerate(raw_texts(batch.column(1))):
                 seen = set()
                 for line in t.split(b"\n"):
-                    x = parse(line)
-                    if x and x[0] not in seen:
-                        seen.add(x[0])
-                        rows.append(i)
-                        tmpl.append(x[0])
-                        leaf.append(x[1])
-                        size.append(x[2])
-                        sigs.append(x[3])
+                    for x in keys(line):
+                        if x[0] not in seen:
+                            seen.add(x[0])
+                            rows.append(i)
+                            tmpl.append(x[0])
+                            leaf.append(x[1])
+                            size.append(x[2])
+                            sigs.append(x[3])
+                            exact.append(x[4])
                 if len(rows) > 20_000:
-                    yield out(ids, rows, tmpl, leaf, size, sigs)
-                    rows, tmpl, leaf, size, sigs = [], [], [], [], []
-            yield out(ids, rows, tmpl, leaf, size, sigs)
+                    yield out(ids, rows, tmpl, leaf, size, sigs, exact)
+                    rows, tmpl, leaf, size, sigs, exact = [], [], [], [], [], []
+            yield out(ids, rows, tmpl, leaf, size, sigs, exact)
 
-    def out(ids, rows, tmpl, leaf, size, sigs):
-        return pa.record_batch([ids.take(pa.array(rows, pa.int64())), pa.array(tmpl, pa.int64()), pa.array(leaf, pa.int64()), pa.array(size, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "tmpl", "leaf", "n", "sig"])
+    def out(ids, rows, tmpl, leaf, size, sigs, exact):
+        return pa.record_batch([ids.take(pa.array(rows, pa.int64())), pa.array(tmpl, pa.int64()), pa.array(leaf, pa.int64()), pa.array(size, pa.int32()), pa.array(sigs, pa.binary()), pa.array(exact, pa.bool_())], names=["id", "tmpl", "leaf", "n", "sig", "exact"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, tmpl bigint, leaf bigint, n int, sig binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, tmpl bigint, leaf bigint, n int, sig binary, exact boolean")
 
 
 def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,12 +108,13 @@ def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(rows, dropped): the distinct templates of every document, and (tmpl, first) of recurring ones.
+    """(id, tmpl, first) of every document and each of its templates that recurs.
 
+    A cluster recurs in ``min_docs`` different ids, a long line itself in two.
     ``first`` is the smallest id that holds the cluster; its lines stay.
     """
     rows = written(_templates(docs, id_col, text_col), "line-templates")
-    per = rows.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.first("leaf").alias("leaf"), F.first("sig").alias("sig"))
+    per = rows.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.first("leaf").alias("leaf"), F.first("sig").alias("sig"), F.first("exact").alias("exact"))
     per = written(per, "templates")
     # only leaves that hold several templates can generalise
     shared = per.where(F.length("sig") > 0).groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1")
@@ -118,22 +134,26 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         twice = clustered(heads.withColumn("g", F.pmod("leaf", F.lit(groups)))).select(F.col("tmpl").alias("name"), F.col("name").alias("name2"))
         named = once.join(twice, "name", "left").select("tmpl", F.coalesce("name2", "name").alias("name"))
     merged = named.where("tmpl <> name")
-    per = per.select("tmpl", "docs", "first").join(merged, "tmpl", "left").withColumn("name", F.coalesce("name", "tmpl"))
-    total = per.groupBy("name").agg(F.sum("docs").alias("all_docs"), F.min("first").alias("first")).where(F.col("all_docs") >= min_docs)
-    return rows, per.select("tmpl", "name").join(total, "name").select("tmpl", "first")
+    per = per.select("tmpl", "docs", "first", "exact").join(merged, "tmpl", "left").withColumn("name", F.coalesce("name", "tmpl"))
+    need = F.when(F.col("exact"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
+    # a document may hold several templates of a cluster, or rows share an id: the sum only rules clusters out
+    total = per.groupBy("name").agg(F.sum("docs").alias("most"), F.min("first").alias("first"), F.first(need).alias("need")).where("most >= need")
+    hits = written(rows.select("id", "tmpl").join(per.select("tmpl", "name").join(total.drop("most"), "name"), "tmpl"), "recurring-lines")
+    held = hits.select("name", "need", "id").distinct().groupBy("name", "need").agg(F.count("*").alias("ids")).where("ids >= need").select("name")
+    return hits.join(held, "name").select("id", "tmpl", "first")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Every input row, columns unchanged but the text, which loses its recurring lines; and n_lines, n_dropped.
 
-    A line goes if its template is in at least ``min_docs`` documents and this
-    is not the smallest id among them. Lines without a word stay. Null text
-    stays null, with 0 lines. Rows that share an id are one document here: a line
-    that recurs in them is counted for each. A null id is never the first. An
+    A line goes if its template is in at least ``min_docs`` different documents and this
+    is not the smallest id among them; a line of LONG words or more goes as well if two
+    documents hold just that line (up to white space). Lines without a word stay. Null text
+    stays null, with 0 lines. Rows that share an id are one document here and count
+    once, as do those with a null id. A null id is never the first. An
     empty table gives no rows. Other columns keep their names whatever they are.
     """
-    rows, dropped = recurring(docs, id_col, text_col, min_docs)
-    gone = rows.select("id", "tmpl").join(dropped, "tmpl").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("tmpl").alias("__gone"))
+    gone = recurring(docs, id_col, text_col, min_docs).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("tmpl").alias("__gone"))
     names = [f"__{i}" for i in range(len(docs.columns))]
     id_, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     wide = docs.toDF(*names).join(gone, F.col(id_).eqNullSafe(F.col("__id")), "left").drop("__id")
@@ -147,7 +167,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept = parts
                 if gone:
                     gone = set(gone)
-                    kept = [p for p in parts if (x := parse(p)) is None or x[0] not in gone]
+                    kept = [p for p in parts if not any(x[0] in gone for x in keys(p))]
                 out.append(None if null else b"\n".join(kept).decode())
                 lines.append(len(parts))
                 lost.append(len(parts) - len(kept))

@@ -378,6 +378,24 @@ class TestLines:
         for i, t in rows:
             assert out[i].text == (t if i == 0 else "\n".join(t.split("\n")[:5]))
 
+    def test_documents_are_counted_once(self, spark):
+        """Several templates of a cluster in one document, or rows that share an id, are one document."""
+        word = "amber birch cedar dune ember frost grove haze iris jade".split()
+        lines = [f"one two three four five six seven eight nine {w}" for w in word]
+        rows = [(1, "\n".join(lines[:5])), (2, "\n".join(lines[5:]))] + [(3, "the same words under one id")] * 12
+        out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.text) for r in out) == sorted(rows)
+        many = [(i, "\n".join(lines[:2])) for i in range(10)]
+        out = linededup.dedup_lines(spark.createDataFrame(many, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.n_dropped for r in out} == {i: 2 * (i > 0) for i in range(10)}
+
+    def test_long_lines(self, spark):
+        """A long line goes from the second document on, with its digits as they are; shorter or varied ones don't."""
+        passage = " ".join(f"word{chr(97 + i % 26)} and" for i in range(30))
+        rows = [(1, passage + " in 1999\nshort line"), (2, "own\n" + passage + "  in 1999\nshort line"), (3, passage + " in 2001"), (4, " ".join(passage.split()[:49])), (5, " ".join(passage.split()[:49]))]
+        out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out == dict(rows) | {2: "own\nshort line"}
+
     def test_similar_lines_in_large_leaves(self, spark, monkeypatch):
         monkeypatch.setattr(linededup, "LEAF", 5)
         rows = [(i, f"seen the old gate near river mark{chr(97 + i)} at dawn again today") for i in range(26)]
