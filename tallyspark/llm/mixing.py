@@ -70,72 +70,91 @@ def _pivot(units: Column) -> Column:
 
 
 def unit_copies(units: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """(id, source, size, copies) of rows (id, source, size, rows, x): x is the wanted mass, copies its rounding.
+    """(id, source, size, rows, row_hash, copies) of rows (id, source, size, rows, x) and row_hash, 0 if there is none.
 
-    Whole copies are certain. Fractions are rounded along a tree: units of a
+    x is the wanted mass of each of a unit's equal rows, copies the rounding of all they want together.
+    Whole copies are certain, and one fraction of a copy is left of a unit whatever its rows. Fractions are rounded along a tree: units of a
     source meet in nodes of about ``fan_in``, chosen by hash; each node settles
     all but one, which goes to the next level, until a source is one node. Every
     level shrinks ``fan_in`` times, is one narrow aggregation, and is
     written to the shared folder. The last fraction of a source is settled by
     its own probability.
     """
+    if "row_hash" not in units.columns:
+        units = units.withColumn("row_hash", F.lit(0).cast("bigint"))
+    units = units.withColumn("x", F.col("x") * F.col("rows"))
     units = units.withColumn("whole", F.floor("x")).withColumn("p", F.col("x") - F.floor("x"))
     units = units.withColumn("whole", F.when(F.col("p") > 1 - TINY, F.col("whole") + 1).otherwise(F.col("whole"))).withColumn("p", F.when((F.col("p") > 1 - TINY) | (F.col("p") < TINY), 0.0).otherwise(F.col("p")))
-    columns = ["id", "source", "size", "rows", "whole", "p"]
+    columns = ["id", "source", "size", "rows", "row_hash", "whole", "p"]
     idle = (F.col("p") == 0) | (F.col("size") == 0)
-    settled = units.where(idle).select(*columns[:5], F.lit(0.0).alias("p"))
+    settled = units.where(idle).select(*columns[:6], F.lit(0.0).alias("p"))
     open_ = written(units.where(~idle).select(*columns), "mix-open")
     n = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     level = 0
     while n:
         nodes = max(1, -(-n // fan_in))
         last = nodes == 1
-        unit = F.struct(F.xxhash64(F.lit(level), "id", "source", "size").alias("o"), "id", "size", "rows", "whole", (F.col("size") * F.col("rows")).cast("double").alias("s"), "p", _uniform(F.lit(-1 - level), "id", "source", "size").alias("u"))
-        met = open_.groupBy("source", F.pmod(F.xxhash64(F.lit(level), F.lit("node"), "id", "size"), F.lit(nodes)).alias("node")).agg(F.array_sort(F.collect_list(unit)).alias("us"))
+        unit = F.struct(F.xxhash64(F.lit(level), "id", "source", "size", "row_hash").alias("o"), "id", "size", "rows", "row_hash", "whole", F.col("size").cast("double").alias("s"), "p", _uniform(F.lit(-1 - level), "id", "source", "size", "row_hash").alias("u"))
+        met = open_.groupBy("source", F.pmod(F.xxhash64(F.lit(level), F.lit("node"), "id", "size", "row_hash"), F.lit(nodes)).alias("node")).agg(F.array_sort(F.collect_list(unit)).alias("us"))
         met = met.select("source", _pivot(F.col("us")).alias("f"))
         done = F.transform("f.done", lambda x: x.withField("fractional", F.lit(False)))
         rest = F.array(F.col("f.open").withField("fractional", (F.col("f.open.p") > 0) & (F.col("f.open.p") < 1)))
-        out = written(met.select("source", F.explode(F.concat(done, rest)).alias("y")).select("y.id", "source", "y.size", "y.rows", "y.whole", "y.p", "y.fractional"), f"mix-level-{level}")
+        out = written(met.select("source", F.explode(F.concat(done, rest)).alias("y")).select("y.id", "source", "y.size", "y.rows", "y.row_hash", "y.whole", "y.p", "y.fractional"), f"mix-level-{level}")
         settled = settled.unionByName(out.where(~F.col("fractional")).select(*columns))
         open_ = out.where("fractional").select(*columns)
         level += 1
         if last:
-            settled = settled.unionByName(open_.withColumn("p", (_uniform(F.lit("last"), "id", "source", "size") < F.col("p")).cast("double")))
+            settled = settled.unionByName(open_.withColumn("p", (_uniform(F.lit("last"), "id", "source", "size", "row_hash") < F.col("p")).cast("double")))
             break
         n = nodes  # no source has more open units than nodes
-    return settled.select("id", "source", "size", "rows", (F.col("whole") + F.col("p").cast("bigint")).alias("copies"))
+    return settled.select("id", "source", "size", "rows", "row_hash", (F.col("whole") + F.col("p").cast("bigint")).alias("copies"))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row, but maps, which have none."""
+    return F.xxhash64(*[docs[f.name] for f in docs.schema if f.dataType.typeName() != "map"])
 
 
 def mixed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(id, source, size, rows, source_size, target, copies), one row for each distinct (id, source, size)."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    units = written(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "mix-units")
+    """(id, source, size, rows, row_hash, source_size, target, copies), one row for each distinct row; copies of all its rows together."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), _row_hash(docs).alias("row_hash"))
+    units = written(sized.groupBy("id", "source", "size", "row_hash").agg(F.count("*").alias("rows")), "mix-units")
     targets = written(source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most), "mix-targets")
     t = targets.select(F.col("source").alias("src"), "source_size", "target")
     on = F.col("source").eqNullSafe(F.col("src"))
-    x = units.join(t, on).select("id", "source", "size", "rows", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("x"))
+    x = units.join(t, on).select("id", "source", "size", "rows", "row_hash", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("x"))
     return unit_copies(x).join(t, on).drop("src")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """One row for each input row: doc_id, size, source_size, target, taken, copies.
 
-    Null text has size 0 and is never taken. Rows equal in id, source and size
-    are one unit with all their words and share its decision. A null source is
+    Null text has size 0 and is never taken. Rows equal in all columns are one
+    unit whose copies are spread evenly over them; rows that share an id but differ are
+    decided each for itself. A null source is
     a source of its own, last in order. Empty documents take 0 words; an
-    empty table gives no rows. Decisions hang on hashes of id, source and size
+    empty table gives no rows. Decisions hang on hashes of the rows
     alone, so reruns agree whatever the partitioning.
     """
     u = mixed_units(docs, **how)
-    return u.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).select(F.col("id").alias(how.get("id_col", "doc_id")), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    u = u.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).withColumn("copies", F.expr("i * copies div rows - (i - 1) * copies div rows"))
+    return u.select(F.col("id").alias(how.get("id_col", "doc_id")), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns unchanged."""
-    u = mixed_units(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0").select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c"))
+    u = mixed_units(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0")
+    u = u.select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("row_hash").alias("__h"), F.col("rows").alias("__r"), F.col("copies").alias("__c"))
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("bigint")
-    taken = docs.join(u, docs[id_col].eqNullSafe(F.col("__i")) & docs[source_col].eqNullSafe(F.col("__s")) & (size == F.col("__n")))
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c")))).select(*[docs[c] for c in docs.columns])
+    taken = docs.join(u, docs[id_col].eqNullSafe(F.col("__i")) & docs[source_col].eqNullSafe(F.col("__s")) & (size == F.col("__n")) & (_row_hash(docs) == F.col("__h")))
+    own = [docs[c] for c in docs.columns]
+    single = taken.where("__r = 1").select(*own, "__c")
+    # equal rows stand for each other: one of them is taken as often as all are
+    unit = ["__i", "__s", "__n", "__h", "__c"]
+    several = taken.where("__r > 1").groupBy(*unit).agg(F.first(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)])).alias("r"))
+    several = several.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)], "__c")
+    every = single.unionByName(several)
+    return every.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c")))).select(*docs.columns)
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,19 @@ class TestMix:
             own = [a[i] for i in a if i % 9 == k]
             assert abs(np.mean(own) - 0.3) < 0.11
 
+    @pytest.mark.parametrize("same", [True, False])
+    def test_repeated_ids(self, spark, same):
+        """A repeated row that holds a third of its source's words is not rounded as a whole, nor are other texts under one id."""
+        rows = [(i, f"a b c d e {i}", "s") for i in range(200)] + [(999, f"a b c d e {'f' if same else chr(97 + i)}", "s") for i in range(101)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix(df, share=0.5).collect()
+        assert len(out) == len(rows) and {r.copies for r in out} == {0, 1}
+        assert abs(sum(r.taken for r in out) - 0.5 * 6 * len(rows)) <= 6
+        if same:
+            assert sum(r.copies for r in out if r.doc_id == 999) in (50, 51)
+        docs = mixing.mixed_documents(df, share=0.5)
+        assert docs.columns == df.columns and docs.count() == sum(r.copies for r in out)
+
     def test_empty(self, empty, docs):
         assert mixing.mix(empty).count() == 0
         out = mixing.mixed_documents(docs)
