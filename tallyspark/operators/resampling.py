@@ -47,28 +47,35 @@ def hash_permutation(rows: DataFrame, group: str, value: str, key: str, a: str,
     return out
 
 
+def _generator(seed: int, h: int) -> np.random.Generator:
+    """Random numbers that depend on the seed and one hash alone."""
+    return np.random.Generator(np.random.PCG64([seed, h & ((1 << 64) - 1)]))
+
+
 def relabelled_means(rows: DataFrame, group: str, value: str, a: str, b: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """One row: n_a, n_b, difference of means, p by random relabelling at any size.
 
-    Each row joins the first group with chance n_a / n in each round, drawn within tasks; only sums by round are shuffled.
+    Each row joins the first group with chance n_a / n in each round. Equal values are counted
+    first, so of m rows of a value a binomial number joins it, drawn from the seed and
+    the value alone: order and partitioning of the rows don't matter. Only sums by round are shuffled then.
     """
-    x = rows.where(F.col(group).isin(a, b)).select((F.col(group) == a).alias("a"), F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("h")).where("v is not null")
-    t = x.agg(F.count("*").alias("n"), F.sum(F.col("a").cast("long")).alias("na"), F.avg(F.when(F.col("a"), F.col("v"))).alias("ma"), F.avg(F.when(~F.col("a"), F.col("v"))).alias("mb"))
+    x = rows.where(F.col(group).isin(a, b)).select((F.col(group) == a).alias("a"), (F.col(value).cast("double") + F.lit(0.0)).alias("v")).where("v is not null")
+    held = x.groupBy("v").agg(F.count("*").alias("m"), F.sum(F.col("a").cast("long")).alias("ma"))
+    t = held.agg(F.sum("m").alias("n"), F.sum("ma").alias("na"), F.try_divide(F.sum(F.col("v") * F.col("ma")), F.sum("ma")).alias("mean_a"), F.try_divide(F.sum(F.col("v") * (F.col("m") - F.col("ma"))), F.sum(F.col("m") - F.col("ma"))).alias("mean_b"))
     share = t.select(F.try_divide(F.col("na").cast("double"), F.col("n")).alias("p"))
 
     def run(frames):
         s = np.zeros((4, rounds))
         for pdf in frames:
-            for i in range(0, len(pdf), 2000):
-                v, h, p = (pdf[c].to_numpy()[i : i + 2000] for c in ("v", "h", "p"))
-                rng = np.random.Generator(np.random.PCG64([seed, int(np.bitwise_xor.reduce(h.view(np.uint64)))]))
-                first = rng.random((rounds, len(v))) < p[0]
-                s += np.stack([first @ v, first.sum(axis=1), ~first @ v, (~first).sum(axis=1)])
+            for v, m, h, p in zip(pdf["v"].tolist(), pdf["m"].tolist(), pdf["h"].tolist(), pdf["p"].tolist()):
+                first = _generator(seed, h).binomial(m, p, rounds)
+                s += np.stack([first * v, first, (m - first) * v, m - first])
         yield pd.DataFrame({"round": np.arange(rounds), "sa": s[0], "na": s[1], "sb": s[2], "nb": s[3]})
 
-    sums = x.join(F.broadcast(share)).select("v", "h", "p").mapInPandas(run, "round long, sa double, na double, sb double, nb double").groupBy("round").agg(*[F.sum(c).alias(c) for c in ("sa", "na", "sb", "nb")])
+    drawn = held.join(F.broadcast(share)).select("v", "m", F.xxhash64("v").alias("h"), "p").mapInPandas(run, "round long, sa double, na double, sb double, nb double")
+    sums = drawn.groupBy("round").agg(*[F.sum(c).alias(c) for c in ("sa", "na", "sb", "nb")])
     d = sums.select((F.try_divide("sa", "na") - F.try_divide("sb", "nb")).alias("d"))
-    seen = t.select(F.col("na").alias("n_a"), (F.col("n") - F.col("na")).alias("n_b"), (F.col("ma") - F.col("mb")).alias("difference"))
+    seen = t.select(F.col("na").alias("n_a"), (F.col("n") - F.col("na")).alias("n_b"), (F.col("mean_a") - F.col("mean_b")).alias("difference"))
     return d.join(F.broadcast(seen)).groupBy("n_a", "n_b", "difference").agg(F.avg((F.abs("d") >= F.abs("difference")).cast("int")).alias("p_value"))
 
 
@@ -171,30 +178,36 @@ def paired_bootstrap(pairs: DataFrame, before: str, after: str, draws: int = 10_
     return counts.mapInPandas(run, "n long, difference double, p_value double, ci_lower double, ci_upper double, d double, d_lower double, d_upper double")
 
 
-def numeric_bootstrap(rows: DataFrame, by: list[str], value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Interval of the mean of any numbers by group, by Poisson weights drawn from hashes of the row.
+def numeric_bootstrap(rows: DataFrame, by: list[str], value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 42, held: int = 500) -> DataFrame:
+    """Interval of the mean of any numbers by group, by Poisson weights.
 
-    Every row adds its weighted value to each draw's sums within its task, so what
-    is shuffled is draws x groups for each task, never draws x rows.
+    Equal values of a group are counted first; the weights of m of them sum to a Poisson
+    number of mean m, drawn from the seed, the group and the value alone, so order and partitioning of
+    the rows don't matter. Each value adds to every draw's sums within its task, which
+    holds the sums of at most ``held`` groups at once: what is shuffled is draws x groups for each task, never draws x rows.
     """
-    cols = [F.col(c) for c in by]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def run(batches):
         sums: dict = {}
+
+        def out():
+            for key, s in sums.items():
+                yield pd.DataFrame({**{c: pd.Series([k] * draws) for c, k in zip(by, key)}, "draw": np.arange(draws), "s": s[0], "w": s[1]})
+            sums.clear()
+
         for pdf in batches:
-            for key, g in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
-                v, h = g["v"].to_numpy(float), g["h"].to_numpy(np.int64).view(np.uint64)
-                s = sums.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, draws)))
-                for at in range(0, len(v), 2000):
-                    # one generator a block of rows, seeded by their hashes alone
-                    rng = np.random.Generator(np.random.PCG64([seed, int(np.bitwise_xor.reduce(h[at : at + 2000]))]))
-                    w = rng.poisson(1.0, (draws, len(v[at : at + 2000])))
-                    s[0] += w @ v[at : at + 2000]
-                    s[1] += w.sum(axis=1)
-        for key, s in sums.items():
-            yield pd.DataFrame({**dict(zip(by, ([k] * draws for k in key))), "draw": np.arange(draws), "s": s[0], "w": s[1]})
-
-    part = rows.select(*cols, F.col(value).cast("double").alias("v"), F.xxhash64(*rows.columns).alias("h")).where("v is not null").mapInPandas(run, f"{kinds}{', ' if by else ''}draw long, s double, w double")
+            keys = zip(*[pdf[c].tolist() for c in by]) if by else [()] * len(pdf)
+            for key, v, m, h in zip(keys, pdf["v"].tolist(), pdf["m"].tolist(), pdf["h"].tolist()):
+                if key not in sums and len(sums) >= held:
+                    yield from out()
+                s = sums.setdefault(key, np.zeros((2, draws)))
+                w = _generator(seed, h).poisson(m, draws)
+                s[0] += w * v
+                s[1] += w
+        yield from out()
+
+    counts = rows.select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("m"))
+    part = counts.withColumn("h", F.xxhash64(*by, "v")).mapInPandas(run, f"{kinds}{', ' if by else ''}draw long, s double, w double")
     boot = part.groupBy(*by, "draw").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("boot_mean"))
     return boot.groupBy(*by).agg(F.percentile("boot_mean", F.lit(alpha / 2)).alias("ci_lower"), F.percentile("boot_mean", F.lit(1 - alpha / 2)).alias("ci_upper"))

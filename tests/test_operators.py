@@ -231,6 +231,28 @@ class TestResampling:
         r = one(resampling.numeric_bootstrap(df, ["g"], "v", 200))
         assert r.ci_lower <= 0.812 <= r.ci_upper
 
+    def test_numeric_interval_whatever_the_order(self, spark):
+        """Sorted, shuffled and repartitioned rows give one interval, as wide as the normal one; repeats count."""
+        df = spark.range(20_000).select(F.lit("a").alias("g"), (F.col("id") >= 10_000).cast("double").alias("v"))
+        forms = [df, df.orderBy(F.rand(1)), df.repartition(3), df.coalesce(1)]
+        got = [one(resampling.numeric_bootstrap(x, ["g"], "v", 500)) for x in forms]
+        for r in got:
+            assert math.isclose(r.ci_lower, got[0].ci_lower) and math.isclose(r.ci_upper, got[0].ci_upper)
+        assert math.isclose(got[0].ci_upper - got[0].ci_lower, 2 * 1.96 * 0.5 / math.sqrt(20_000), rel_tol=0.15)
+        many = spark.range(9000).select((F.col("id") % 7).alias("v"))
+        r = one(resampling.numeric_bootstrap(many, [], "v", 500))
+        assert math.isclose(r.ci_upper - r.ci_lower, 2 * 1.96 * 2.0 / math.sqrt(9000), rel_tol=0.15)
+        groups = spark.range(3000).select((F.col("id") % 60).cast("string").alias("g"), (F.col("id") % 11).alias("v"))
+        few = {r.g: r.ci_lower for r in resampling.numeric_bootstrap(groups, ["g"], "v", 50, held=4).collect()}
+        assert few == {r.g: r.ci_lower for r in resampling.numeric_bootstrap(groups, ["g"], "v", 50).collect()} and len(few) == 60
+
+    def test_relabelling_whatever_the_order(self, spark):
+        df = spark.range(4000).select(F.when(F.col("id") < 2000, "a").otherwise("b").alias("g"), ((F.col("id") * 7919) % 101).cast("double").alias("v"))
+        same = [one(resampling.relabelled_means(x, "g", "v", "a", "b", 300)) for x in (df, df.repartition(3), df.orderBy("v"))]
+        assert len({r.p_value for r in same}) == 1 and same[0].p_value > 0.05 and (same[0].n_a, same[0].n_b) == (2000, 2000)
+        apart = df.withColumn("v", F.col("v") + F.when(F.col("g") == "a", 20).otherwise(0))
+        assert one(resampling.relabelled_means(apart, "g", "v", "a", "b", 300)).p_value == 0
+
     def test_difference_and_pairs(self, spark):
         df = spark.createDataFrame([("a", 1)] * 30 + [("a", 0)] * 10 + [("b", 1)] * 10 + [("b", 0)] * 30, "g string, v int")
         r = one(resampling.difference_bootstrap(df, "g", "v", "a", "b"))
