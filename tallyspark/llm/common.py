@@ -6,15 +6,19 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; where it is unset, a temporary one on a local master, and an error on a cluster."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -53,3 +57,19 @@ def pieces(batches, rows: int = 1000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of an array by significance, compressed: what is always zero takes no room."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def unplanes(blob: bytes, dtype) -> np.ndarray:
+    raw, size = np.frombuffer(zstandard.decompress(blob), np.uint8), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))

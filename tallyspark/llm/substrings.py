@@ -1,15 +1,18 @@
 """Substring dedup by prefix-partitioned suffix subtrees.
 
-Every run of ``window`` words is a suffix cut at that depth. Suffixes are
-partitioned by prefixes of variable length - one, two or four words, or all of
-them where a shorter prefix is too common - packed into groups that fit a
-task. Within a group the suffixes are put in order; each place where the order
-has equal digests over the whole depth is an internal node of the group's subtree
-that lies deep enough, and the documents below it share those words. Neighbouring
-deep nodes of a document join into its maximal repeats.
-
-Words are carried as 64-bit digests of the depth, so two different windows
-are taken as equal with a chance of about pairs / 2**64.
+A suffix here is a run of ``window`` words, the depth at which a repeat counts.
+Suffixes are partitioned by a prefix of variable length: of the stretches of
+PREFIX words within a suffix's window, the one least in a fixed order (rare stretches
+first, by counts over all documents) begins a longer suffix, and that suffix's
+first words name the group. Neighbouring suffixes mostly share that stretch,
+so they travel as one piece of text, each word about thrice, and nothing but the words
+themselves is compared. Groups have the size of a task's memory.
+
+A group builds the subtree of its suffixes from the top: at each depth suffixes
+are split by their next words, and a branch that holds a single suffix is a leaf and
+is left. What is still branching at depth ``window`` is a deep internal node; the
+documents below it share those words, and all but those in its smallest
+document are repeats. Neighbouring ones join into maximal repeats.
 """
 
 from __future__ import annotations
@@ -25,63 +28,105 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts, written
+from .common import documents, mixed, pieces, planes, raw_texts, unplanes, written
 
-WINDOW = 13
-#: Words of the shorter prefixes, hashed bins in which they are counted, suffixes of a group and of a task's chunk.
-PREFIXES, BINS, GROUP, CHUNK = (1, 2, 4), 1 << 16, 1_000_000, 1_200_000
+WINDOW, PREFIX = 13, 4
+#: Hashed bins in which prefixes are counted; suffixes of a group and of a task's chunk.
+BINS, GROUP, CHUNK = 1 << 16, 500_000, 600_000
 _ODD = np.random.Generator(np.random.PCG64(13)).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def suffixes(text: bytes, window: int = WINDOW) -> list[np.ndarray]:
-    """Digests of each suffix's prefixes (PREFIXES, then the whole window), by starting word."""
-    words = text.split()
-    n = len(words) - window + 1
+def _runs(w: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` of the hashes ``w``."""
+    n = len(w) - length + 1
     if n <= 0:
-        return [np.empty(0, np.uint64)] * (len(PREFIXES) + 1)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    total, out = np.zeros(n, np.uint64), []
-    for j in range(window):
+        return np.empty(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for j in range(length):
         total += w[j : j + n] * _ODD[j]
-        if j + 1 in PREFIXES or j + 1 == window:
-            out.append(_mixed(total))
-    return out
+    return mixed(total)
+
+
+def numbered(words: bytes) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word, the different words) of words that each end in one space."""
+    raw = np.frombuffer(words, np.uint8)
+    at = np.flatnonzero(raw == 32)
+    if not len(at):
+        return np.empty(0, np.int32), pa.array([], pa.binary())
+    ends = np.r_[0, at + 1].astype(np.int32)  # each word with its space
+    coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(words)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of an array by significance, compressed: what is always zero takes no room."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+def spelled(numbers: np.ndarray, known: pa.Array) -> bytes:
+    """The words of some numbers, each with its space."""
+    got = known.take(pa.array(numbers))
+    return got.buffers()[2].to_pybytes()[: int(np.frombuffer(got.buffers()[1], np.int32)[len(got)])]
 
 
-def _unplanes(blob: bytes, dtype) -> np.ndarray:
-    raw, size = np.frombuffer(zstandard.decompress(blob), np.uint8), np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _prefix_counts(rows: DataFrame, window: int) -> np.ndarray:
-    """How many suffixes of all documents fall into each bin of each prefix length."""
+def _prefix_counts(rows: DataFrame, window: int, prefix: int) -> tuple[np.ndarray, int]:
+    """How many prefixes of all documents fall into each bin, and how many suffixes there are."""
 
     def count(batches):
-        total = np.zeros((len(PREFIXES), BINS), np.int64)
-        for batch in batches:
+        total, n = np.zeros(BINS + 1, np.int64), 0
+        for batch in pieces(batches):
+            found = []
             for t in raw_texts(batch.column(2)):
-                for k, h in enumerate(suffixes(t, window)[:-1]):
-                    total[k] += np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) if len(h) > BINS // 8 else 0
-                    if 0 < len(h) <= BINS // 8:
-                        np.add.at(total[k], (h & np.uint64(BINS - 1)).astype(np.int64), 1)
-        for k in range(len(PREFIXES)):
-            at = np.flatnonzero(total[k])
-            yield pa.record_batch([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(total[k][at], pa.int64())], names=["k", "bin", "n"])
-
-    got = rows.mapInArrow(count, "k int, bin int, n bigint").groupBy("k", "bin").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((len(PREFIXES), BINS), np.int64)
-    table[got["k"].to_numpy(), got["bin"].to_numpy()] = got["n"].to_numpy()
-    return table
+                words = t.split()
+                if len(words) >= window:
+                    found.append(_runs(_word_hashes(words), prefix) & np.uint64(BINS - 1))
+                    n += len(words) - window + 1
+            if found:
+                total[:-1] += np.bincount(np.concatenate(found).astype(np.int64), minlength=BINS)
+        total[-1] = n
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bin", "n"])
+
+    got = rows.mapInArrow(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS + 1 rows
+    table = np.zeros(BINS + 1, np.int64)
+    table[got["bin"].to_numpy()] = got["n"].to_numpy()
+    return table[:-1], int(table[-1])
+
+
+def anchors(w: np.ndarray, rank: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the least prefix, its hash) of each window of the word hashes ``w``: by rank of its bin, then by hash, then the first."""
+    h = _runs(w, prefix)
+    order = (rank[(h & np.uint64(BINS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+    n = len(w) - window + 1
+    best, at = order[:n].copy(), np.arange(n)
+    for j in range(1, window - prefix + 1):
+        x = order[j : j + n]
+        less = x < best
+        best[less] = x[less]
+        at[less] = np.flatnonzero(less) + j
+    return at, h[at]
+
+
+def subtree(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The deep internal node each suffix is below, or -1: suffixes ``starts`` of word numbers ``words``, two or more to a node.
+
+    Nodes are split by one word after the other (the first two at once); a suffix alone on its branch is left.
+    """
+    words = words.astype(np.int64)
+    size = int(words.max(initial=0)) + 1
+    left, node = np.arange(len(starts)), words[starts]
+    for depth in range(1, window):
+        key = node * size + words[starts[left] + depth]
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, np.diff(key[order]) != 0]
+        number = np.cumsum(new) - 1
+        many = np.bincount(number)[number] > 1
+        left, number = left[order[many]], number[many]
+        node = np.cumsum(np.r_[True, np.diff(number) != 0]) - 1 if len(number) else number
+        if not len(left):
+            break
+    out = np.full(len(starts), -1, np.int64)
+    out[left] = node
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -89,20 +134,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     ``tag`` is xxhash64 of the text, which tells apart rows that share an id.
     """
+    prefix = min(PREFIX, window)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("t"))
-    counts = _prefix_counts(rows, window)
-    whole = int(counts[0].sum())
+    counts, whole = _prefix_counts(rows, window, prefix)
     groups = max(1, -(-whole // GROUP))
-    limit = max(1, whole // (8 * groups))
+    rank = np.floor(np.log2(np.maximum(counts, 1)) * 4).astype(np.uint8)  # what is about as rare is taken by hash
 
     def chunks(batches):
         parts, n = [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for i, tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2))):
-                hs = suffixes(t, window)
-                if len(hs[0]):
-                    parts.append((i, tag, hs))
-                    n += len(hs[0])
+                words = t.split()
+                if len(words) >= window:
+                    parts.append((i, tag, words))
+                    n += len(words) - window + 1
                 if n >= CHUNK:
                     yield parts
                     parts, n = [], 0
@@ -114,69 +159,82 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             name = (TaskContext.get().partitionId() << 24) + c
             parts.sort(key=lambda x: x[:2])
             ids, tags = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
-            sizes = np.array([len(p[2][0]) for p in parts], np.int64)
-            hs = [np.concatenate([p[2][k] for p in parts]) for k in range(len(PREFIXES) + 1)]
-            doc = np.repeat(np.arange(len(ids)), sizes)
+            sizes = np.array([len(p[2]) - window + 1 for p in parts], np.int64)
+            ends = np.cumsum(sizes)
+            long = np.array([len(p[2]) for p in parts], np.int64)
+            flat, known = numbered(b" ".join([b" ".join(p[2]) for p in parts]) + b" ")
             del parts
-            # what this chunk can decide alone: a window that also starts in a smaller id of the chunk
-            order = np.argsort(hs[-1], kind="stable")
-            new = np.r_[True, hs[-1][order][1:] != hs[-1][order][:-1]]
-            first = np.flatnonzero(new)
-            low = np.repeat(ids[doc[order[first]]], np.diff(np.r_[first, len(order)]))
-            gone = np.sort(order[ids[doc[order]] > low]).astype(np.uint32)
-            sent = order[ids[doc[order]] == low]  # each occurrence in the smallest id of the chunk
-            group = hs[-1][sent].copy()
-            for k in range(len(PREFIXES) - 1, -1, -1):
-                h = hs[k][sent]
-                fits = counts[k][(h & np.uint64(BINS - 1)).astype(np.int64)] <= limit
-                group[fits] = h[fits]
-            group = (_mixed(group + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
-            table = b"".join(len(x).to_bytes(8, "little") + x for x in (_planes(ids), _planes(np.cumsum(sizes).astype(np.uint32))))
-            yield record(name, -1 - name, table, _planes(tags), _planes(gone))
+            hashes = _word_hashes(known.to_pylist())
+            first = np.cumsum(long) - long
+            doc = np.repeat(np.arange(len(ids)), sizes)
+            starts = np.arange(len(doc)) - np.repeat(ends - sizes, sizes) + first[doc]
+            # what this chunk can decide alone: a suffix that also starts in a smaller id of the chunk
+            node = subtree(flat, starts, window)
+            twice = np.flatnonzero(node >= 0)
+            low = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, node[twice], ids[doc[twice]])
+            gone = np.zeros(len(doc), bool)
+            gone[twice] = ids[doc[twice]] > low[node[twice]]
+            yield record(name, -1 - name, planes(ids), planes(ends.astype(np.uint32)), planes(tags), planes(np.flatnonzero(gone).astype(np.uint32)))
+            at, anchor = (np.concatenate(x) for x in zip(*((a + f, h) for f, (a, h) in ((f, anchors(hashes[flat[f : f + n]], rank, window, prefix)) for f, n in zip(first, long)))))
+            sent = np.flatnonzero(~gone)
+            if not len(sent):
+                continue
+            # pieces: runs of suffixes one after the other that share an anchor
+            new = np.r_[True, (np.diff(sent) != 1) | (np.diff(at[sent]) != 0) | (np.diff(doc[sent]) != 0)]
+            head = np.flatnonzero(new)
+            many = np.diff(np.r_[head, len(sent)])
+            head = sent[head]
+            group = (mixed(anchor[head] + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
             by = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[by], np.arange(groups + 1))
-            for g in np.flatnonzero(np.diff(edges)):
-                at = by[edges[g] : edges[g + 1]]  # still in order of digests
-                h = hs[-1][sent[at]]
-                yield record(name, int(g), table, _planes(np.diff(h, prepend=np.uint64(0))), _planes(sent[at].astype(np.uint32)))
-
-    def record(name, g, table, a, b):
-        return pa.record_batch([pa.array([name], pa.int64()), pa.array([g], pa.int64()), *[pa.array([x], pa.binary()) for x in (table, a, b)]], names=["chunk", "g", "docs", "a", "b"])
+            edges = np.flatnonzero(np.r_[True, np.diff(group[by]) != 0, True])
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = by[i:j]
+                size = many[own] + window - 1
+                text = spelled(flat[np.repeat(starts[head[own]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], known)
+                held = np.unique(doc[head[own]])  # the table of a record names only the documents it holds, so records stay in proportion
+                yield record(name, int(group[own[0]]), planes(ids[held]), planes(ends[held].astype(np.uint32)), zstandard.compress(text, 1), planes(np.r_[np.diff(head[own], prepend=0).astype(np.int32), many[own].astype(np.int32)]))
 
-    def table_of(blob):
-        size = int.from_bytes(blob[:8], "little")
-        return _unplanes(blob[8 : 8 + size], np.int64), _unplanes(blob[16 + size :], np.uint32)
+    def record(name, g, ids, ends, a, b):
+        return pa.record_batch([pa.array([name], pa.int64()), pa.array([g], pa.int64()), *[pa.array([x], pa.binary()) for x in (ids, ends, a, b)]], names=["chunk", "g", "ids", "ends", "a", "b"])
 
     def nodes(key, pdf):
         """Deep internal nodes of one group's subtree: what lies below them but in their smallest id goes."""
         if key[0] < 0:  # a chunk's own table passes
-            return pd.DataFrame({"chunk": pdf["chunk"], "docs": pdf["docs"], "tags": pdf["a"], "gone": pdf["b"]})
-        h, low, who, at = [], [], [], []
-        for j, (docs_, a, b) in enumerate(zip(pdf["docs"], pdf["a"], pdf["b"])):
-            ids, ends = table_of(docs_)
-            idx = _unplanes(b, np.uint32)
-            h.append(np.cumsum(_unplanes(a, np.uint64), dtype=np.uint64))
-            low.append(ids[np.searchsorted(ends, idx, "right")])
+            return pd.DataFrame({"chunk": pdf["chunk"], "ids": pdf["ids"], "ends": pdf["ends"], "tags": pdf["a"], "gone": pdf["b"]})
+        starts, who, at, low, base = [], [], [], [], 0
+        for j, (ids, ends, b) in enumerate(zip(pdf["ids"], pdf["ends"], pdf["b"])):
+            head, many = np.split(unplanes(b, np.int32).astype(np.int64), 2)
+            head = np.cumsum(head)
+            long = many + window - 1
+            step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            starts.append(base + np.repeat(np.cumsum(long) - long, many) + step)
+            base += int(long.sum())
+            idx = np.repeat(head, many) + step
             who.append(np.full(len(idx), j, np.int32))
             at.append(idx)
-        h, low, who, at = map(np.concatenate, (h, low, who, at))
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        least = np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.r_[first, len(h)]))
-        gone = order[low[order] > least]
+            low.append(unplanes(ids, np.int64)[np.searchsorted(unplanes(ends, np.uint32), idx, "right")])
+        flat, _ = numbered(b"".join(map(zstandard.decompress, pdf["a"])))
+        starts, who, at, low = map(np.concatenate, (starts, who, at, low))
+        node = subtree(flat, starts, window)
+        twice = np.flatnonzero(node >= 0)
+        least = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node[twice], low[twice])
+        gone = twice[low[twice] > least[node[twice]]]
         who, at = who[gone], at[gone]
         names, out = pdf["chunk"].to_numpy(), []
-        for j in np.unique(who):
-            out.append((int(names[j]), None, None, _planes(np.sort(at[who == j]))))
-        return pd.DataFrame(out, columns=["chunk", "docs", "tags", "gone"])
+        order = np.lexsort((at, who))
+        edges = np.flatnonzero(np.r_[True, np.diff(who[order]) != 0, True]) if len(order) else []
+        for i, j in zip(edges[:-1], edges[1:]):
+            out.append((int(names[who[order[i]]]), None, None, None, planes(at[order[i:j]].astype(np.uint32))))
+        return pd.DataFrame(out, columns=["chunk", "ids", "ends", "tags", "gone"])
 
     def spans(pdf):
-        own = pdf[pdf["docs"].notna()].iloc[0]
-        (ids, ends), tags = table_of(own["docs"]), _unplanes(own["tags"], np.int64)
+        own = pdf[pdf["ids"].notna()].iloc[0]
+        ids, ends, tags = unplanes(own["ids"], np.int64), unplanes(own["ends"], np.uint32), unplanes(own["tags"], np.int64)
         mark = np.zeros(int(ends[-1]) + 1, np.int8)
         for blob in pdf["gone"]:
-            mark[_unplanes(blob, np.uint32)] = 1
+            mark[unplanes(blob, np.uint32)] = 1
         out = []
         for k, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]].astype(np.int64), ends.astype(np.int64))):
             at = np.flatnonzero(mark[lo:hi])
@@ -185,7 +243,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 out.append((int(ids[k]), int(tags[k]), np.ravel(np.column_stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + window])).tolist()))
         return pd.DataFrame(out, columns=["id", "tag", "spans"])
 
-    found = rows.mapInArrow(spread, "chunk bigint, g bigint, docs binary, a binary, b binary").groupBy("g").applyInPandas(nodes, "chunk bigint, docs binary, tags binary, gone binary")
+    found = rows.mapInArrow(spread, "chunk bigint, g bigint, ids binary, ends binary, a binary, b binary").groupBy("g").applyInPandas(nodes, "chunk bigint, ids binary, ends binary, tags binary, gone binary")
     found = written(found, "substring-nodes")
     return found.groupBy("chunk").applyInPandas(spans, "id bigint, tag bigint, spans array<int>")
 
@@ -206,8 +264,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word goes if a window over it also starts in a row of smaller id. Null
     text has no words; fewer words than the window are never covered. A null id is
     neither smaller nor larger than any, so its row stays whole and removes
-    nothing. Rows that share an id don't remove each other's words. An empty
-    table gives no rows; other columns are not read.
+    nothing. Rows that share an id don't remove each other's words. Very long texts
+    are taken whole: a text is held by one task, as its row is. Bytes that aren't UTF-8 are
+    compared as they are and replaced in the returned text. An empty
+    table gives no rows; other columns are not read and may have any name.
     """
     # rows equal in id and text are equal in spans: one of each suffices
     found = repeats(docs, id_col, text_col, window).groupBy("id", "tag").agg(F.first("spans").alias("spans"))
@@ -215,7 +275,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = left.withColumn("tag", F.xxhash64("t")).join(found, ["id", "tag"], "left").select("id", "t", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out, n, gone, sha = [], [], [], []
             for t, s in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist()):
                 words, all_ = _kept(t, s)
@@ -223,7 +283,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 n.append(all_)
                 gone.append(all_ - len(words))
                 sha.append(hashlib.sha256(out[-1]).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["id", "text", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in out], pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["id", "text", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.mapInArrow(run, f"id {kind}, text string, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -316,6 +316,29 @@ class TestSubstrings:
         assert got == self.brute(docs.collect())
         assert sum(k[2] for k in got) > 0
 
+    def test_words_decide(self, docs, monkeypatch):
+        """Hashes only deal suffixes out: where all are alike, the result is the same."""
+        monkeypatch.setattr(substrings, "_word_hashes", lambda words: np.zeros(len(words), np.uint64))
+        monkeypatch.setattr(substrings, "CHUNK", 500)
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect())
+        assert got == self.brute(docs.collect())
+
+    def test_subtree(self):
+        rng = np.random.default_rng(3)
+        words = np.r_[rng.integers(0, 3, 400), rng.integers(0, 50, 100)].astype(np.int32)
+        starts = np.arange(len(words) - 5)
+        node = substrings.subtree(words, starts, 5)
+        keys = [tuple(words[i : i + 5]) for i in starts]
+        many = Counter(keys)
+        assert [n >= 0 for n in node] == [many[k] > 1 for k in keys]
+        assert len({(n, k) for n, k in zip(node, keys) if n >= 0}) == len({n for n in node if n >= 0}) == sum(v > 1 for v in many.values())
+
+    def test_other_windows_and_odd_rows(self, spark):
+        rows = [(1, "a b c d e f"), (2, "x b c d y"), (2, "x b c d y"), (None, "a b c d e f"), (3, None), (4, ""), (5, " c\td\ne ")]
+        df = spark.createDataFrame([(*r, "id", 0) for r in rows], "doc_id long, text string, tag string, spans int")
+        got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_substrings(df, window=3).collect())
+        assert got == Counter([(1, 6, 0), (2, 5, 3), (2, 5, 3), (None, 6, 0), (3, 0, 0), (4, 0, 0), (5, 3, 3)])
+
     def test_empty(self, empty):
         assert substrings.dedup_substrings(empty).count() == 0
 
