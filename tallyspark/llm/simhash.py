@@ -1,13 +1,14 @@
 """SimHash near-duplicates: fingerprints linked within a Hamming radius by sharded BK-trees.
 
-64-bit fingerprints within a few bits are linked without loss (``links``);
-256-bit ones within the many bits that similarity 0.8 needs are found in
-shards keyed by several choices of bits (``wide_links``).
+64-bit fingerprints within a few bits are linked without loss (``links``).
+Texts of similarity 0.8 differ in more bits than any choice of bits survives, so
+their 256-bit fingerprints are searched in shards of texts that share one of their
+least shingles, and each pair found there is held against the shingles themselves
+(``similar_documents``).
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, raw_texts, written
+from .common import documents, mixed, pieces, raw_texts, written
 from .components import connected_components, local_roots
 
 SEED = 42
@@ -25,13 +26,12 @@ SEED = 42
 GROUP, BLOCK = 40_000, 512
 #: Words of a wide fingerprint, and the most bits in which two may differ: texts whose sets of shingles have a similarity of 0.8
 #: differ in 39 of 256 bits, give or take 6; the shingles decide between pairs.
-WIDE, WIDE_RADIUS, WIDE_TYPICAL = 4, 56, 39
-#: Wide fingerprints this near are alike without a look at the shingles.
-WIDE_SURE = 24
-#: Forests of the nearest pairs that a task gives for that look.
-FORESTS = 8
-#: Fingerprints of unrelated texts in a shard, and the share of pairs WIDE_TYPICAL bits apart that no shard may hold.
-SHARD, MISSED = 128, 0.01
+WIDE, WIDE_RADIUS = 4, 70
+#: Shards of a text: its KEYS least shingles that are in at most COMMON texts, looked for among its LOOKED least ones. Two texts of
+#: similarity 0.8 share none of sixteen with a chance of 0.2 ** 16, and not at all if they have few shingles.
+KEYS, LOOKED, COMMON = 16, 48, 512
+#: Keys of a text in the first round, and shingles a task holds when it compares sets.
+FIRST, HELD = 2, 1 << 21
 
 
 def _shingle_hashes(text: bytes, shingle_words: int):
@@ -64,21 +64,26 @@ def fingerprint(text: bytes, shingle_words: int = 4) -> int:
     return int(sum(1 << j for j in np.flatnonzero(counts * 2 > total).tolist()))
 
 
-def wide_fingerprint(text: bytes, shingle_words: int = 5) -> np.ndarray:
-    """A SimHash of 64 * WIDE bits of a text's set of shingles, as WIDE unsigned numbers; zeros if it has no word."""
-    parts = list(_shingle_hashes(text, shingle_words))
-    if not parts:
-        return np.zeros(WIDE, np.uint64)
-    h = np.unique(np.concatenate(parts))
-    out = np.empty(WIDE, np.uint64)
-    for i in range(WIDE):
-        mixed = (h ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        counts = _bit_counts(mixed ^ (mixed >> np.uint64(32)))
+def _set(text: bytes, shingle_words: int) -> np.ndarray:
+    """The set of hashes of a text's shingles, ascending."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(text, shingle_words)]))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """A SimHash of 64 * WIDE bits of a set of hashes, as WIDE unsigned numbers; zeros if it is empty."""
+    out = np.zeros(WIDE, np.uint64)
+    for i in range(WIDE if len(h) else 0):
+        counts = _bit_counts(mixed((h ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)))
         out[i : i + 1] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
     return out
 
 
+def least_shingles(h: np.ndarray) -> np.ndarray:
+    """The LOOKED least of a set, in an order drawn by hash; numbers of 63 bits."""
+    x = mixed(h * np.uint64(0x94D049BB133111EB)) >> np.uint64(1)
+    return np.sort(np.partition(x, LOOKED)[:LOOKED] if len(x) > LOOKED else x).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """(id, fp bigint) of every row; null text counts as empty and gets 0."""
 
@@ -174,128 +179,32 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     blocks: a tree of one block, searched with the other.
     """
     n = fps.count()
-    return _linked(_shards(fps, n, radius), "fp", ["fp"], max(1, -(-n * 5 // GROUP)), radius)
-
+    return _linked(_shards(fps, n, radius), "fp", max(1, -(-n * 5 // GROUP)), radius)
 
-def _subsets(n: int) -> list[np.ndarray]:
-    """Choices of bits of a wide fingerprint: as many bits as leave SHARD of ``n`` to a shard, as many choices as MISSED asks for."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
-    if not bits:
-        return [np.empty(0, np.int64)]
-    tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - WIDE_TYPICAL / (64 * WIDE)) ** bits)))
-    rng = np.random.default_rng(SEED)
-    return [rng.permutation(64 * WIDE)[:bits] for _ in range(tables)]
 
-
-def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Edges (u, v, d) of numbers ``node`` that join wide fingerprints f0, f1, ... within ``radius`` bits; forests, not all pairs.
-
-    No choice of blocks keeps every pair so many bits apart, so each fingerprint goes to
-    one shard for each of several fixed random choices of bits, whose number
-    follows from how many there are (``_subsets``). The shards' trees are those of ``links``.
-    """
-    n, words = fps.count(), [f"f{i}" for i in range(WIDE)]
-    subsets = _subsets(n)
-
-    def shards(batches):
-        for batch in pieces(batches, 4096):
-            fp = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
-            on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-            for i, chosen in enumerate(subsets):
-                key = np.zeros((len(fp), 8), np.uint8)
-                packed = np.packbits(on[:, chosen], axis=1)
-                key[:, : packed.shape[1]] = packed
-                yield pa.record_batch([*batch.columns, pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64)[:, 0])], names=["node", *words, "i", "key"])
-
-    rows = fps.select("node", *words).mapInArrow(shards, ", ".join(f"{c} bigint" for c in ["node", *words]) + ", i int, key bigint")
-    rows = rows.select("node", *words, F.xxhash64("i", "key").alias("shard"))
-    return _linked(rows, "node", words, max(1, -(-n * len(subsets) // GROUP)), radius, WIDE_SURE)
-
-
-def _nearest_forest(root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs a[i]-b[i] join the groups ``root`` into a forest, nearer pairs first."""
-    order = np.lexsort((b, a, d))
-    ra, rb = root[a[order]], root[b[order]]
-    _, first = np.unique(np.minimum(ra, rb) * len(root) + np.maximum(ra, rb), return_index=True)
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = x = up.get(up[x], up[x])
-        return x
-
-    chosen = []
-    for i in np.sort(first).tolist():
-        x, y = top(int(ra[i])), top(int(rb[i]))
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            chosen.append(order[i])
-    return np.array(chosen, np.int64)
-
-
-def _nearest_forests(root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Distinct pairs of FORESTS forests, each made of the nearest pairs that those before it left.
-
-    Of fewer than about 2 * FORESTS groups these are all pairs; of more, at most
-    FORESTS a group, and two parts lose touch only if as many nearer pairs between them prove unlike.
-    """
-    _, left = np.unique(np.minimum(a, b) * len(root) + np.maximum(a, b), return_index=True)
-    chosen = [np.empty(0, np.int64)]
-    for _ in range(FORESTS):
-        keep = _nearest_forest(root, a[left], b[left], d[left])
-        chosen.append(left[keep])
-        left = np.delete(left, keep)
-        if not len(left):
-            break
-    return np.concatenate(chosen)
-
-
-def _linked(rows: DataFrame, node: str, words: list[str], groups: int, radius: int, sure: int | None = None) -> DataFrame:
-    """Edges between rows of one ``shard`` whose fingerprints (``words``) are within the radius.
-
-    With ``sure``, edges carry d, their bits: 0 for those that join rows over steps of at most ``sure`` bits;
-    the others are real pairs, those of ``_nearest_forests`` between groups so joined.
-    """
-    kept = list(dict.fromkeys([node, *words]))
+def _linked(rows: DataFrame, node: str, groups: int, radius: int) -> DataFrame:
+    """Edges (u, v) that join rows of one ``shard`` whose fingerprints ``node`` are within the radius."""
     large = rows.groupBy("shard").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("shard", F.ceil(F.col("m") / BLOCK).alias("nb"))
     rows = rows.join(large, "shard", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(node, F.lit("block")), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), *kept, (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("asks"))
+    rows = rows.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), node, (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("asks"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tree", node], kind="stable")
-        tree, fp = pdf["tree"].to_numpy(np.int64), np.ascontiguousarray(pdf[words].to_numpy(np.int64)).view(np.uint64)
-        fp = fp[:, 0] if len(words) == 1 else fp
-        is_node, is_query = pdf["in_tree"].to_numpy(bool), pdf["asks"].to_numpy(bool)
+        tree, fp = pdf["tree"].to_numpy(np.int64), pdf[node].to_numpy(np.int64).view(np.uint64)
         values, ids = np.unique(pdf[node].to_numpy(np.int64), return_inverse=True)
-        nodes, asks = np.flatnonzero(is_node), np.flatnonzero(is_query)
-        root, far = np.arange(len(values)), [np.empty((3, 0), np.int64)]
+        nodes, asks = np.flatnonzero(pdf["in_tree"].to_numpy(bool)), np.flatnonzero(pdf["asks"].to_numpy(bool))
+        root = np.arange(len(values))
         if len(nodes):
-            trees = BKTrees(tree[nodes], fp[nodes])
-            for q, v in trees.within(tree[asks], fp[asks], radius if sure is None else sure):
+            for q, v in BKTrees(tree[nodes], fp[nodes]).within(tree[asks], fp[asks], radius):
                 a, b = root[ids[asks[q]]], root[ids[nodes[v]]]
                 differ = a != b
                 if differ.any():
                     root = local_roots(len(values), a[differ], b[differ])[root]
-            if sure is not None:
-                for q, v in trees.within(tree[asks], fp[asks], radius):
-                    a, b = ids[asks[q]], ids[nodes[v]]
-                    differ = root[a] != root[b]
-                    if differ.any():
-                        a, b, d = a[differ], b[differ], _distance(fp[asks[q[differ]]], fp[nodes[v[differ]]])
-                        keep = _nearest_forests(root, a, b, d)
-                        far.append(np.stack([a[keep], b[keep], d[keep]]))
         moved = np.flatnonzero(root != np.arange(len(values)))
-        found = pd.DataFrame({"u": values[moved], "v": values[root[moved]]})
-        if sure is None:
-            return found
-        a, b, d = np.concatenate(far, axis=1)
-        keep = _nearest_forests(root, a, b, d)
-        pairs = pd.DataFrame({"u": values[a[keep]], "v": values[b[keep]], "d": d[keep]})
-        return pd.concat([found.assign(d=0), pairs]).astype("int64")
+        return pd.DataFrame({"u": values[moved], "v": values[root[moved]]})
 
-    kind = "u bigint, v bigint" + (", d bigint" if sure is not None else "")
-    return rows.withColumn("g", F.pmod("tree", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: search(pdf), kind)
+    return rows.withColumn("g", F.pmod("tree", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: search(pdf), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
@@ -320,47 +229,169 @@ def _with_component(own: DataFrame, per: DataFrame, key: str, edges: DataFrame)
     return own.join(per.join(lowest, "root").select(key, "component_id"), key)
 
 
-def _wide(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, sets: bool = False) -> DataFrame:
-    """(id, f0, f1, ..., node) of every row, with the set of its shingles' hashes if asked."""
-    words = [f"f{i}" for i in range(WIDE)]
+_WORDS = [f"f{i}" for i in range(WIDE)]
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, sets: bool) -> DataFrame:
+    """(id, a, b) of every row, 128 bits that name its set of shingles; and the set if asked, else its size n, fingerprint and least shingles."""
 
     def run(batches):
-        for batch in pieces(batches, 200 if sets else 1000):
-            texts = raw_texts(batch.column(1))
-            fps = np.array([wide_fingerprint(t, shingle_words) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
-            out = [batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE))]
+        for batch in pieces(batches, 200):
+            found = [_set(t, shingle_words) for t in raw_texts(batch.column(1))]
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in found), np.int64).reshape(-1, 2)
+            out = [batch.column(0), *(pa.array(np.ascontiguousarray(names[:, i])) for i in (0, 1))]
             if sets:
-                hashes = [np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(t, shingle_words)])).view(np.int64) for t in texts]
-                out.append(pa.array(hashes, pa.list_(pa.int64())))
-            yield pa.record_batch(out, names=["id", *words, *["shingles"] * sets])
+                yield pa.record_batch([*out, pa.array([h.tobytes() for h in found], pa.binary())], names=["id", "a", "b", "shingles"])
+                continue
+            fps = np.array([wide_fingerprint(h) for h in found], np.uint64).reshape(-1, WIDE).view(np.int64)
+            out += [pa.array([len(h) for h in found], pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)), pa.array([least_shingles(h) for h in found], pa.list_(pa.int64()))]
+            yield pa.record_batch(out, names=["id", "a", "b", "n", *_WORDS, "least"])
 
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{w} bigint" for w in words) + ", shingles array<bigint>" * sets
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, kind)
-    return own.withColumn("node", F.xxhash64(*words))
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, a bigint, b bigint, "
+    kind += "shingles binary" if sets else "n bigint, " + ", ".join(f"{w} bigint" for w in _WORDS) + ", least array<bigint>"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, kind)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each input row: id, component_id, linking texts whose sets of shingles are 0.8 alike or more.
+def _keys(per: DataFrame) -> DataFrame:
+    """(node, keys): the shards of each distinct set that shares a least shingle with another.
 
-    Wide fingerprints find the pairs; those beyond WIDE_SURE bits, those of ``_nearest_forests`` in each task, are
-    then held against the sets themselves. Radius and sure bits are those of similarity 0.8;
-    about one in a hundred pairs of just that similarity lie beyond the radius or share no shard.
-    Nulls, empty texts, repeats, empty tables and other columns are as in ``near_duplicates``.
+    Shingles of one text are no key. In one order of all shingles - those of more than COMMON texts last,
+    otherwise as ``least_shingles`` has them - a text takes its first KEYS; one with fewer uncommon
+    ones (a member of a large family) takes its KEYS least of all as well.
+    """
+    each = per.select("node", F.explode("least").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", (F.col("m") > COMMON).alias("hot"))
+    x = each.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("key", "hot"))).alias("x"))  # LOOKED at most
+    rare = F.transform(F.filter("x", lambda k: ~k["hot"]), lambda k: k["key"])
+    least = F.transform(F.slice("x", 1, KEYS), lambda k: k["key"])
+    return x.select("node", F.array_sort(F.when(F.size(rare) >= KEYS, F.slice(rare, 1, KEYS)).otherwise(F.array_union(rare, least))).alias("keys"))
+
+
+def _pairs(pdf: pd.DataFrame, radius: int, similarity: float):
+    """Yield row numbers (a, b) of pairs that a BK-tree of ``pdf`` finds within the radius: of unlike label, of sizes that allow
+    the similarity, and whose least common key is the shard's, so that no other shard looks at them."""
+    tree, fp = pdf["tree"].to_numpy(np.int64), np.ascontiguousarray(pdf[_WORDS].to_numpy(np.int64)).view(np.uint64)
+    label, key, n = pdf["label"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    nodes, asks = np.flatnonzero(pdf["in_tree"].to_numpy(bool)), np.flatnonzero(pdf["asks"].to_numpy(bool))
+    if not len(nodes):
+        return
+    wide = 2 * KEYS
+    keys = np.full((len(pdf), wide), -1, np.int64)
+    for i, k in enumerate(pdf["keys"]):
+        keys[i, : len(k)] = k
+    earlier = (keys >= 0) & (keys < key[:, None])
+    for q, v in BKTrees(tree[nodes], fp[nodes]).within(tree[asks], fp[asks], radius):
+        a, b = asks[q], nodes[v]
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        ok = (label[a] != label[b]) & (low >= similarity * high)
+        a, b = a[ok], b[ok]
+        for at in range(0, len(a), 2048):
+            i, j = a[at : at + 2048], b[at : at + 2048]
+            both = (keys[i][:, :, None] == keys[j][:, None, :]).any(axis=2)
+            fresh = ~(both & earlier[i]).any(axis=1)
+            if fresh.any():
+                yield i[fresh], j[fresh]
+
+
+def _alike(rows: DataFrame, light: DataFrame, fetch, similarity: float, radius: int, name: str) -> DataFrame:
+    """Edges (u, v) between nodes of one tree that are really alike: forests of what each tree holds.
+
+    ``rows``: tree, key, node, label, in_tree, asks. First the fingerprints tell which rows have a
+    partner within the radius; only these get their sets of shingles (``fetch``), which then decide. Pairs
+    are told apart by the trees' own order, and those already joined aren't looked at, so a tight group costs one comparison a member.
+    """
+    cols = ["tree", "key", "node", "label", "in_tree", "asks"]
+    full = rows.join(light, "node")
+    groups = max(1, -(-rows.count() // GROUP))
+
+    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
+        near = np.zeros(len(pdf), bool)
+        for a, b in _pairs(pdf, radius, similarity):
+            near[a] = near[b] = True
+        return pdf.loc[near, [*cols, "n"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in full.schema}
+    near = full.withColumn("g", F.pmod("tree", F.lit(groups))).groupBy("g").applyInPandas(flag, ", ".join(f"{c} {kinds[c]}" for c in [*cols, "n"]))
+    near = written(near, f"{name}-near")
+    size = near.agg(F.sum("n")).first()[0]
+    if not size:
+        return near.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    sets = fetch(near.select("node").distinct())
+    parts = max(1, -(-size // HELD))
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
+        held = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        node, up = pdf["node"].to_numpy(np.int64), {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for label, x in zip(pdf["label"].tolist(), node.tolist()):  # what is joined already
+            up.setdefault(x, top(-1 - label))
+        found = []
+        for a, b in _pairs(pdf, radius, similarity):
+            for i, j in zip(a.tolist(), b.tolist()):
+                x, y = top(int(node[i])), top(int(node[j]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                if both >= similarity * (len(held[i]) + len(held[j]) - both):
+                    up[x] = y
+                    found.append((node[i], node[j]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    whole = near.drop("n").join(light, "node").join(sets, "node").withColumn("g", F.pmod("tree", F.lit(parts)))
+    return whole.groupBy("g").applyInPandas(verify, "u bigint, v bigint")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row for each input row: id, component_id, linking texts whose sets of shingles are ``similarity`` alike or more.
+
+    Texts of equal sets are one node. A node goes to the shards of its keys (``_keys``). The first round compares
+    the members of its least keys' shards in blocks, each with the shard's least node as well, so that large families of near copies
+    mostly join at a cost in proportion. The second takes every shard that still holds several groups, and compares all its
+    nodes outside its largest group with all the others. In both, BK-trees over wide fingerprints find the
+    pairs within ``radius`` bits, and the sets of shingles decide on each of them; at 0.8 a pair lies
+    beyond the radius or shares no key with a chance below one in a million.
+
+    Null texts count as empty; texts without a word are one group; texts of under ``shingle_words`` words are
+    alike if equal. Very long texts are taken whole. Repeated rows, repeated and null ids, empty tables and other columns are as in ``near_duplicates``.
     """
-    words = [f"f{i}" for i in range(WIDE)]
-    own = written(_wide(docs, id_col, text_col, shingle_words), "wide-fingerprints")
-    per = written(own.groupBy("node", *words).agg(F.min("id").alias("low")), "distinct-wide-fingerprints")
-    edges = written(wide_links(per), "wide-links")
-    pairs = edges.where("d > 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = per.join(nodes, "node", "left_semi").select(F.col("low").alias("__low")).distinct()
-    asked = docs.select(id_col, text_col).join(ids, F.col(id_col).eqNullSafe(F.col("__low")), "left_semi")
-    sets = _wide(asked, id_col, text_col, shingle_words, sets=True).join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("s"))
-    sets = written(sets, "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    both = both.withColumn("i", F.size(F.array_intersect("a", "b"))).where(F.col("i") >= similarity * (F.size("a") + F.size("b") - F.col("i")))
-    alike = edges.where("d = 0").select("u", "v").unionByName(both.select("u", "v"))
-    return _with_component(own.select("id", "node"), per.select("node", "low"), "node", alike).select(F.col("id").alias(id_col), "component_id")
+    own = written(_wide(docs, id_col, text_col, shingle_words, False), "wide-fingerprints")
+    per = own.groupBy("a", "b").agg(F.min("id").alias("low"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in _WORDS], F.first("least").alias("least"))
+    per = written(per.withColumn("node", F.monotonically_increasing_id()), "distinct-wide-fingerprints")
+    light = written(_keys(per).join(per.select("node", "n", *_WORDS), "node"), "shingle-keys")
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of some nodes, from the text of their smallest id."""
+        asked = per.join(nodes, "node", "left_semi").select("node", "a", "b", "low")
+        some = docs.select(id_col, text_col).join(asked.select("low").distinct(), F.col(id_col).eqNullSafe(F.col("low")), "left_semi")
+        return asked.drop("low").join(_wide(some, id_col, text_col, shingle_words, True).drop("id"), ["a", "b"]).groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+
+    each = light.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    shards = each.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK))
+    block = lambda x: F.xxhash64("key", x)
+    members = each.join(shards.select("key", "nb"), "key").select(block(F.pmod(F.xxhash64("node"), F.col("nb"))).alias("tree"), "key", "node", F.col("node").alias("label"), F.lit(True).alias("in_tree"), F.lit(True).alias("asks"))
+    firsts = shards.where("nb > 1").select("key", F.col("least").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("at"))
+    firsts = firsts.select(block(F.col("at")).alias("tree"), "key", "node", F.col("node").alias("label"), F.lit(True).alias("in_tree"), F.lit(False).alias("asks"))
+    one = written(_alike(members.unionByName(firsts), light, fetch, similarity, radius, "first-round"), "first-links")
+
+    roots = connected_components(one)
+    each = light.join(roots, "node", "left").select("node", F.explode("keys").alias("key"), F.coalesce("root", "node").alias("label"))
+    each = written(each, "labelled-keys")
+    count = each.groupBy("key", "label").agg(F.count("*").alias("m"))
+    open_ = count.groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("labels"), F.max_by("label", "m").alias("most")).where("labels > 1").select("key", "most", F.ceil(F.col("m") / BLOCK).alias("nb"))
+    left = each.join(open_, "key")
+    here = left.select(block(F.pmod(F.xxhash64("node"), F.col("nb"))).alias("tree"), "key", "node", "label", F.lit(True).alias("in_tree"), F.lit(False).alias("asks"))
+    there = left.where("label <> most").withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
+    there = there.select(block(F.col("at")).alias("tree"), "key", "node", "label", F.lit(False).alias("in_tree"), F.lit(True).alias("asks"))
+    two = _alike(here.unionByName(there), light, fetch, similarity, radius, "second-round")
+    edges = written(one.unionByName(two), "all-links")
+    return _with_component(own.select("id", "a", "b").join(per.select("a", "b", "node"), ["a", "b"]), per.select("node", "low"), "node", edges).select(F.col("id").alias(id_col), "component_id")
 
 
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
