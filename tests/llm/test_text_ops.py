@@ -458,12 +458,72 @@ class TestScores:
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in out)
 
-    def test_rare_tokens_by_the_join(self, docs, monkeypatch):
-        """Without any frequent token all scores come by the join; counts don't change."""
-        a = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in mixlm.score_texts(docs).collect())
-        monkeypatch.setattr(mixlm, "HEAD", 3)
-        b = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in mixlm.score_texts(docs).collect())
-        assert a == b
+    @pytest.mark.parametrize("head", [100_000, 3])
+    def test_score_by_hand(self, docs, head, monkeypatch):
+        """Token after token and segment after segment in plain loops; which tokens are broadcast changes nothing."""
+        monkeypatch.setattr(mixlm, "HEAD", head)
+        monkeypatch.setattr(mixlm, "SEGMENT", 4)
+        rows = docs.collect()
+        held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+        toks = [mixlm.tokens((r.text or "").encode()) for r in rows]
+        vocab = mixlm.vocabulary(docs, "doc_id", "text")
+        n = sum(len(t) for t, r in zip(toks, rows) if not held(r.doc_id))
+        p = {bytes(r.token): 10**r.lp for r in mixlm.scored_vocabulary(vocab, n).collect()}
+        cut = lambda t: int(mixlm.mixed(np.array([xxhash.xxh3_64_intdigest(t) ^ 77], np.uint64))[0]) % 4 == 0
+        texts = []
+        for t in toks:
+            parts = [[]]
+            for i, x in enumerate(t):
+                parts[-1].append(x)
+                if cut(x) and i < len(t) - 1:
+                    parts.append([])
+            texts.append([tuple(x) for x in parts])
+        pairs = lambda s: list(zip([None, *s], s))
+        one, two = Counter(), Counter()
+        for s, r in zip(texts, rows):
+            if not held(r.doc_id):
+                one.update(s)
+                two.update(pairs(s))
+        want = Counter()
+        for t, s, r in zip(toks, texts, rows):
+            lp, seen, follow, tried, right, guesses = [], Counter(), Counter(), Counter(), mixlm.RIGHT[0], mixlm.RIGHT[1]
+            for i, x in enumerate(t):
+                last = t[i - 1] if i else None
+                w2 = min(right / guesses, mixlm.SURE) if tried[last] else 0
+                w1 = mixlm.OWN * i / (i + mixlm.HALF)
+                q = w1 * seen[x] / max(i, 1) + (1 - w1) * p[x]
+                lp.append(math.log10(w2 * follow[last, x] / max(tried[last], 1) + (1 - w2) * q))
+                right += follow[last, x] > 0
+                guesses += tried[last] > 0
+                seen[x] += 1
+                follow[last, x] += 1
+                tried[last] += 1
+            mine, mine2 = (Counter(), Counter()) if held(r.doc_id) else (Counter(s), Counter(pairs(s)))
+            whole = sum(one.values()) - sum(mine.values())
+            score, at, known = 0.0, 0, mixlm.KNOWN[0]
+            for k, x in enumerate(s):
+                c, before = one[x] - mine[x], one[s[k - 1]] - mine[s[k - 1]] if k else 0
+                draw = c / max(whole, 1)
+                if before > 0:
+                    draw = mixlm.AFTER * (two[s[k - 1], x] - mine2[s[k - 1], x]) / before + (1 - mixlm.AFTER) * draw
+                rate = known / (k + mixlm.KNOWN[1])
+                score += math.log10(rate * draw + (1 - rate) * 10 ** sum(lp[at : at + len(x)]))
+                at, known = at + len(x), known + (c > 0)
+            want[r.doc_id, round(score, 4)] += 1
+        assert Counter((r.doc_id, round(r.score, 4)) for r in mixlm.score_texts(docs).collect()) == want
+
+    @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+    def test_better_than_its_base(self, spark, sf):
+        out = mixlm.score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out")
+        base, score, n = out.agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+        assert score / n > base / n + 0.1
+
+    def test_history_sums_to_one(self):
+        """What a text has shown and the rest share one at every place."""
+        which = np.array([0, 1, 0, 1, 2, 0, 1, 1, 3])
+        for i in range(len(which)):
+            own, rest = zip(*[[x[-1] for x in mixlm.history(np.r_[which[:i], t])] for t in range(5)])
+            assert math.isclose(sum(own) + rest[0], 1) and len(set(rest)) == 1
 
     def test_learns(self, spark):
         """Held-out texts of the corpus are likelier than shuffled letters."""
@@ -476,15 +536,17 @@ class TestScores:
         assert known and max(known) < 1.0 and (not odd or min(odd) > 2 * max(known))
 
     def test_sums_to_one(self):
-        """Bits of all possible next bytes share one: probabilities of a closed set of tokens sum to at most one."""
+        """After any prefix the 256 next bytes share one, so all tokens together do."""
         m = mixlm.Mixer()
         m.map = (np.arange(8 * 57) % 57 - 28) / 2
-        toks = [bytes([a]) for a in range(33, 256)] + [mixlm.END]
-        slots, bit, of = mixlm.bits_of(toks)
-        n = np.zeros(int(mixlm.BASES[-1]), np.float32)
-        x, level = mixlm._stretched(n[slots], n[slots]), mixlm._level(n[slots])
-        p = 2 ** np.bincount(of, m.log2(x, level, bit))
-        assert p.sum() <= 1 + 1e-9
+        n = np.random.default_rng(2).integers(0, 50, (2, int(mixlm.BASES[-1]))).astype(np.float32)
+        for prefix in (b"", b"th", b"longer-prefix"):
+            toks = [prefix + bytes([a]) for a in range(256)]
+            slots, bit, of = mixlm.bits_of(toks)
+            m_ = m.log2(mixlm._stretched(n[0][slots], n[1][slots]), mixlm._level(n.sum(axis=0)[slots]), bit)
+            at = np.arange(len(of)) - np.searchsorted(of, of)
+            here = (at >= 8 * len(prefix)) & (at < 8 * len(prefix) + 8)
+            assert math.isclose((2 ** np.bincount(of[here], m_[here])).sum(), 1, rel_tol=1e-6)
 
     def test_empty(self, empty, spark):
         assert mixlm.score_texts(empty).count() == 0
