@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -164,6 +165,40 @@ class TestWrappers:
         out = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         assert all(r.text.startswith(f"T{r.page_id}\n\nwww") and "Welcome" not in r.text and "Call" not in r.text for r in out)
 
+    def test_deep_long_and_broken_pages(self, spark):
+        """No page stops the job or takes more than time in proportion; text stays whatever its depth."""
+        deep = "<div>" * 100_000 + "<p>far down</p>" + "</div>" * 100_000 + "<p>after</p>"
+        rows = [(1, "http://deep.example/", deep), (2, "http://quotes.example/", '<p>start</p>' + '<a "' * 1_250_000), (3, "http://wide.example/", "<div>a</div><p>b</p>" * 50_000)]
+        rows += [(4, "http://one.example/", "<p>only &lt; page<p>a < b"), (5, "http://cdata.example/", "<![CDATA[" * 100_000 + "<p>x</p>"), (6, "http://raw.example/", "<p>seen</p><script>" + "</script" * 100_000)]
+        rows += [(7, "http://wide.example/", "<p>b</p><div>a</div>" * 40_000), (8, "http://tag.example/", '<p title="a > b">in <b title=">">bold</b></p>')]
+        began = time.monotonic()
+        out = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert time.monotonic() - began < 120
+        assert out[1] == "far down\n\nafter" and out[2].startswith("start\n\n<a") and len(out[2]) > 4_000_000
+        assert out[3].split() == ["a", "b"] * 50_000 and out[7].split() == ["b", "a"] * 40_000
+        assert out[4] == "only < page\n\na < b" and out[5].endswith("x") and out[6] == "seen" and out[8] == "in bold"
+
+    @pytest.mark.parametrize("pages", [1, 30])
+    def test_names_that_articles_have(self, spark, pages):
+        """Parts of longer names never count; doubtful whole names don't where a host's pages tell."""
+        rng = random.Random(4)
+        page = '<html><body><nav>x</nav><article><h1>T{i}</h1><div class="popular-science"><p>one {w}</p></div><p class="search-results">two {w}</p><section id="legal"><p>three {w}</p></section><div class="social-history">four {w}</div><div class="share-buttons">Share</div></article><div class="search">find {w}</div></body></html>'
+        rows = [(i, "http://h.example/", page.format(i=i, w=str(rng.random()))) for i in range(pages)]
+        for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+            words = [b.split()[0] for b in r.text.split("\n\n")]
+            assert words == [f"T{r.page_id}", "one", "two", *["three"] * (pages > 1), "four"]
+
+    def test_constant_box_in_an_article_of_many_shapes(self, spark, monkeypatch):
+        """The same box on all pages is template inside an article too, also where each page has a shape of its own and parts are merged in steps."""
+        monkeypatch.setattr(wrappers, "MERGED", 4)
+        rng = random.Random(5)
+        rows = []
+        for i in range(40):
+            own = "".join(f"<{rng.choice(['ul', 'div', 'blockquote', 'pre'])}>part {rng.random()}</{'x'}>" for _ in range(rng.randint(1, 6)))
+            rows.append((i, "http://h.example/", f"<main><h1>T{i}</h1><section><p>Join our club today</p></section><p>body {rng.random()}</p>{own}</main>"))
+        out = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert all("Join" not in r.text and r.text.startswith(f"T{r.page_id}\n\nbody") and r.text.count("part") == dict((x[0], x[2].count("part")) for x in rows)[r.page_id] for r in out)
+
     def test_simple_tree_matching(self):
         a = ["x", [["p", []], ["q", []], ["p", []]]]
         b = ["x", [["q", []], ["p", []]]]
