@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, pieces, raw_texts, written
@@ -17,7 +17,7 @@ from .common import documents, pieces, raw_texts, written
 LEAD, SIMILAR, MIN_DOCS = 4, 0.8, 10
 #: Words of a line from which its exact repeats go from the second document on.
 LONG = 50
-#: Templates of one leaf that are compared in one task; a larger leaf is first clustered in parts.
+#: Templates of one leaf that one task clusters; a larger leaf takes several rounds of so many.
 LEAF = 4000
 _DIGIT, _DIGITS = re.compile(rb"[0-9]"), re.compile(rb"[0-9]+")
 _VARIABLE = b"<*>"
@@ -29,8 +29,8 @@ def parse(line: bytes, lead: int = LEAD) -> tuple[int, int, int, bytes] | None:
     Runs of digits are variable, the other characters of their token are not. A line
     without a token free of digits (numeric rows, paragraphs without spaces) has
     nothing constant to go by: its template is the line itself, and it has no
-    signature. The leaf is the token count and the leading tokens; the signature holds 15
-    bits of each token, and whether it had a digit in its lowest bit.
+    signature. The leaf is the token count and the leading tokens; the signature holds 31
+    bits of each token, and whether it had a digit in its lowest bit (two tokens that differ look equal once in 2**31).
     """
     tokens = line.split()
     if not tokens:
@@ -43,7 +43,7 @@ def parse(line: bytes, lead: int = LEAD) -> tuple[int, int, int, bytes] | None:
     whole = h(b" ".join(tokens))
     leaf = h(b" ".join(tokens[:lead]), n)
     # with so few tokens no second line can be similar enough and still differ
-    sig = b"" if exact or (n - 1) / n < SIMILAR else np.array([h(t) & 0xFFFE | v for t, v in zip(tokens, variable)], np.uint16).tobytes()
+    sig = b"" if exact or (n - 1) / n < SIMILAR else np.array([h(t) & 0xFFFFFFFE | v for t, v in zip(tokens, variable)], np.uint32).tobytes()
     return whole - (1 << 64) if whole >> 63 else whole, leaf - (1 << 64) if leaf >> 63 else leaf, n, sig
 
 
@@ -88,8 +88,18 @@ def _templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, tmpl bigint, leaf bigint, n int, sig binary, exact boolean")
 
 
+def _sigs(x) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.uint32).reshape(len(x), -1)
+
+
+def _similar(head: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Which signatures equal ``head`` in enough tokens, one of them constant."""
+    equal = sig == head
+    return (equal.mean(axis=1) >= SIMILAR) & equal[:, head & 1 == 0].any(axis=1)
+
+
 def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Name each template of some leaves after the first template (by hash) that it is similar to and shares a constant token with."""
+    """Name each template of some leaves after the first (by hash) that names itself and is similar to it."""
     pdf = pdf.sort_values(["leaf", "tmpl"], kind="stable").reset_index(drop=True)
     name = pdf["tmpl"].to_numpy(np.int64).copy()
     leaf = pdf["leaf"].to_numpy(np.int64)
@@ -97,16 +107,57 @@ def _cluster(pdf: pd.DataFrame) -> pd.DataFrame:
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(leaf)]):
         if hi - lo < 2:
             continue
-        sig = np.frombuffer(b"".join(pdf["sig"].iloc[lo:hi]), np.uint16).reshape(hi - lo, -1)
-        left = np.arange(hi - lo)
+        sig, left = _sigs(pdf["sig"].iloc[lo:hi]), np.arange(hi - lo)
         while len(left) > 1:
-            equal = sig[left[1:]] == sig[left[0]]
-            same = (equal.mean(axis=1) >= SIMILAR) & equal[:, sig[left[0]] & 1 == 0].any(axis=1)
+            same = _similar(sig[left[0]], sig[left[1:]])
             name[lo + left[1:][same]] = name[lo + left[0]]
             left = left[1:][~same]
     return pd.DataFrame({"tmpl": pdf["tmpl"], "name": name})
 
 
+def _assign(rest: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+    """The first of ``heads`` (by hash) that each template of one leaf is similar to; null if none is."""
+    name = pd.array([pd.NA] * len(rest), "Int64")
+    if len(rest) and len(heads):
+        heads = heads.sort_values("head", kind="stable")
+        sig, left = _sigs(rest["sig"]), np.arange(len(rest))
+        for tmpl, head in zip(heads["head"].tolist(), _sigs(heads["sig2"])):
+            same = _similar(head, sig[left])
+            name[left[same]] = tmpl
+            left = left[~same]
+            if not len(left):
+                break
+    return rest[["tmpl", "leaf", "sig"]].assign(name=name)
+
+
+def _named(leaves: DataFrame) -> DataFrame:
+    """(tmpl, name) of the templates of leaves (tmpl, leaf, sig, m): in order of hash, a template joins the first one before it
+    that names itself and is similar, or names itself.
+
+    The rule is one for leaves of any size. A leaf of up to LEAF templates is done in one task; of a larger one, the first LEAF
+    are, all others are held against those that name themselves, in tasks of so many, and what joins none goes to the next round.
+    """
+    clustered = lambda df, groups: df.withColumn("g", F.pmod(F.xxhash64("leaf"), F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: _cluster(pdf), "tmpl bigint, name bigint")
+    small = leaves.where(F.col("m") <= LEAF).select("tmpl", "leaf", "sig")
+    out = written(clustered(small, max(1, leaves.count() // 20_000)), "line-clusters")
+    open_ = leaves.where(F.col("m") > LEAF).select("tmpl", "leaf", "sig")
+    while left := open_.count():
+        ranked = open_.withColumn("at", F.row_number().over(Window.partitionBy("leaf").orderBy("tmpl"))).where(F.col("at") <= LEAF).drop("at")
+        now = written(clustered(ranked, max(1, left // LEAF)), "large-leaf-clusters")
+        out = out.unionByName(now)
+        rest = open_.join(now.select("tmpl"), "tmpl", "left_anti")
+        heads = open_.join(now.where("tmpl = name").select("tmpl"), "tmpl", "left_semi")
+        tasks = rest.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).alias("tasks"))
+        dealt = rest.join(tasks, "leaf").withColumn("task", F.pmod(F.xxhash64("tmpl"), F.col("tasks"))).drop("tasks")
+        heads = heads.join(tasks, "leaf").withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)))
+        heads = heads.select(F.col("leaf").alias("leaf2"), F.col("task").alias("task2"), F.col("tmpl").alias("head"), F.col("sig").alias("sig2"))
+        tried = dealt.groupBy("leaf", "task").cogroup(heads.groupBy("leaf2", "task2")).applyInPandas(lambda a, b: _assign(a, b), "tmpl bigint, leaf bigint, sig binary, name bigint")
+        tried = written(tried, "large-leaf-rest")
+        out = out.unionByName(tried.where("name is not null").select("tmpl", "name"))
+        open_ = tried.where("name is null").select("tmpl", "leaf", "sig")
+    return out
+
+
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(id, tmpl, first) of every document and each of its templates that recurs.
 
@@ -119,21 +170,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # only leaves that hold several templates can generalise
     shared = per.where(F.length("sig") > 0).groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1")
     leaves = per.where(F.length("sig") > 0).join(shared, "leaf")
-    groups = max(1, leaves.count() // 20_000)
-
-    def clustered(df):
-        return df.groupBy("g").applyInPandas(lambda pdf: _cluster(pdf), "tmpl bigint, name bigint")
-
-    # a leaf of more than LEAF templates: parts by hash first, then what the parts have left
-    part = F.when(F.col("m") > LEAF, F.pmod(F.col("tmpl"), F.ceil(F.col("m") / LEAF))).otherwise(0)
-    once = written(clustered(leaves.select("tmpl", "leaf", "sig", F.pmod(F.xxhash64("leaf", part), F.lit(groups)).alias("g"))), "line-clusters")
-    named = once
-    large = leaves.where(F.col("m") > LEAF).select("tmpl", "leaf", "sig")
-    if large.limit(1).count():
-        heads = large.join(once.where("tmpl = name").select("tmpl"), "tmpl", "left_semi")
-        twice = clustered(heads.withColumn("g", F.pmod("leaf", F.lit(groups)))).select(F.col("tmpl").alias("name"), F.col("name").alias("name2"))
-        named = once.join(twice, "name", "left").select("tmpl", F.coalesce("name2", "name").alias("name"))
-    merged = named.where("tmpl <> name")
+    merged = _named(leaves).where("tmpl <> name")
     per = per.select("tmpl", "docs", "first", "exact").join(merged, "tmpl", "left").withColumn("name", F.coalesce("name", "tmpl"))
     need = F.when(F.col("exact"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
     # a document may hold several templates of a cluster, or rows share an id: the sum only rules clusters out
@@ -168,7 +205,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if gone:
                     gone = set(gone)
                     kept = [p for p in parts if not any(x[0] in gone for x in keys(p))]
-                out.append(None if null else b"\n".join(kept).decode())
+                out.append(None if null else b"\n".join(kept).decode("utf-8", "replace"))
                 lines.append(len(parts))
                 lost.append(len(parts) - len(kept))
             yield pa.record_batch([*batch.columns[: len(others)], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], names=[*others, text, "n_lines", "n_dropped"])

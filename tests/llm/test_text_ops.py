@@ -429,11 +429,40 @@ class TestLines:
         out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert out == dict(rows) | {2: "own\nshort line"}
 
-    def test_similar_lines_in_large_leaves(self, spark, monkeypatch):
-        monkeypatch.setattr(linededup, "LEAF", 5)
-        rows = [(i, f"seen the old gate near river mark{chr(97 + i)} at dawn again today") for i in range(26)]
-        out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        assert sum(r.n_dropped for r in out) == 25
+    @pytest.mark.parametrize("leaf", [4000, 5])
+    def test_brute_force(self, spark, leaf, monkeypatch):
+        """All outputs against the rule in plain loops, with leaves of any size."""
+        monkeypatch.setattr(linededup, "LEAF", leaf)
+        rng = random.Random(11)
+        word = "amber birch cedar dune ember frost grove haze iris jade".split()
+        make = lambda: f"seen the old gate {' '.join(rng.choice(word) for _ in range(rng.choice([2, 6, 6])))} {rng.randint(0, 9)} x{rng.randint(0, 3)}"
+        pool = [make() for _ in range(150)] + [" ".join(rng.choice(word) for _ in range(55)) for _ in range(3)]
+        rows = [(rng.choice([i, i, None]) if i % 9 == 0 else i // 2, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 8))) if i % 13 else None) for i in range(160)]
+        parsed = {x: linededup.parse(x.encode()) for _, t in rows if t is not None for x in t.split("\n") if x.split()}
+        names, heads = {}, defaultdict(list)
+        for tmpl, lf, n, sig in sorted({p for p in parsed.values()}):
+            sig_ = np.frombuffer(sig, np.uint32)
+            same = next((h for h, s in heads[lf] if len(sig_) and np.mean(s == sig_) >= 0.8 and ((s == sig_) & (s & 1 == 0)).any()), None)
+            names[tmpl] = tmpl if same is None else same
+            if same is None:
+                heads[lf].append((tmpl, sig_))
+        assert len(set(names.values())) < len(names) and (leaf > 5 or max(map(len, heads.values())) > 5)
+        ids, exact = defaultdict(set), defaultdict(set)
+        for i, t in rows:
+            for x in t.split("\n") if t is not None else ():
+                if x.split():
+                    ids[names[parsed[x][0]]].add(i)
+                    if len(x.split()) >= linededup.LONG:
+                        exact[x].add(i)
+        first = lambda s: min((i for i in s if i is not None), default=None)
+        goes = lambda s, i, least: len(s) >= least and i != first(s) or len(s) >= least and i is None and first(s) is not None
+        want = Counter()
+        for i, t in rows:
+            lines = t.split("\n") if t is not None else []
+            kept = [x for x in lines if not x.split() or not (goes(ids[names[parsed[x][0]]], i, linededup.MIN_DOCS) or x in exact and goes(exact[x], i, 2))]
+            want[i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
+        df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, tmpl string, leaf string")
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(df).collect()) == want
 
     def test_empty(self, empty):
         assert linededup.dedup_lines(empty).count() == 0
