@@ -127,12 +127,12 @@ def leaves(v: np.ndarray, tree) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """One row for each usable distinct vector: rep (smallest id), n (rows), v (doubles)."""
+    """One row for each usable distinct vector: rep (its own number), low (smallest id), n (rows), v (doubles)."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     norm = F.aggregate(x, F.lit(0.0), lambda a, c: a + c * c)
     usable = vectors.select(F.col(id_col).alias("id"), F.when(F.col(vector_col).isNotNull() & ~F.coalesce(bad, F.lit(True)), x).alias("v"), norm.alias("sq")).where("v is not null and id is not null and sq > 0")
-    return usable.select("id", F.transform("v", lambda c: c + F.lit(0.0)).alias("v")).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    return usable.select("id", F.transform("v", lambda c: c + F.lit(0.0)).alias("v")).groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id())
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -153,8 +153,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; vectors link only with vectors of their length; a null id links with
-    nothing and names nothing. Rows that repeat an id and a vector each count as a
-    vector. An empty table gives no rows.
+    nothing and names nothing. Each row counts as a vector, whether it repeats an id, a vector or both;
+    rows of one id have the links of their own vectors, and kept is true where the row's id is the component's.
+    Other columns are not read and may have any name. An empty table gives no rows.
     """
     distinct = written(_distinct(vectors, id_col, vector_col), "distinct-vectors")
     dims = [r[0] for r in distinct.select(F.size("v").alias("d")).distinct().collect()]
@@ -171,7 +172,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     count = links.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     roots = connected_components(links.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = distinct.join(count, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    known = known.withColumn("root", F.coalesce("root", "rep"))
+    known = known.join(known.groupBy("root").agg(F.min("low").alias("component_id")), "root")
+    known = known.select(F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     joined = out.join(known, (F.col("v") == F.col("w")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -139,6 +139,28 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style
 WANT = "Title {i}\n\nFirst paragraph {w} <b> with bold and link.\n\nSecond {w}\n\none {i}\n\ntwo\n\nThird {w} € &"
 
 
+class TestRepeatedIds:
+    def test_links_of_repeated_ids(self, spark):
+        rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0, 0.0]), (5, None), (6, [0.0, 0.0, 0.0]), (7, [float("nan"), 1.0, 0.0])]
+        df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, rep int, leaf int")
+        got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()), key=str)
+        want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (None, 0, None, True)]
+        assert got == sorted(want, key=str)
+
+    def test_search_with_repeated_ids_and_huge_numbers(self, spark):
+        rng = np.random.default_rng(3)
+        rows = [(int(i % 40), [float(x) for x in rng.integers(-3, 4, 3)]) for i in range(200)] + [(7, [1.0, 1.0, 1.0])] * 30 + [(50, [1e200, 0.0, 1.0]), (51, [2.0**45, 1.0, -1.0]), (52, [1.0, 2.0]), (53, [2.0, 3.0]), (54, None), (55, [None, 1.0, 1.0])]
+        df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, cand int").repartition(3)
+        got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vafile.top_k(df, df.where("vec_id % 10 = 0 or vec_id > 49"), 5).collect()]
+        whole = lambda x: max(-(1 << 63), min((1 << 63) - 1, math.floor(1024 * x)))
+        good = [(i, [whole(x) for x in v]) for i, v in rows if v is not None and None not in v]
+        want, asked = [], {(i, tuple(v)) for i, v in good if i % 10 == 0 or i > 49}
+        for q in {i for i, _ in asked}:
+            own = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), j) for i, v in asked if i == q for j, w in good if j != q and len(v) == len(w)]
+            want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(sorted(own)[:5])]
+        assert sorted(got) == sorted(want)
+
+
 class TestWrappers:
     @pytest.mark.parametrize("tag", ["article", "div"])
     def test_planted(self, spark, tag):
