@@ -37,7 +37,7 @@ def majority_vote(ratings: DataFrame) -> DataFrame:
 def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     """One row: subjects, raters, p_observed, p_expected, kappa, interpretation.
 
-    The number of raters is that of the smallest subject, as every subject should have the same.
+    The number of raters is that of the first subject by id, as every subject should have the same.
     """
     per = ratings.groupBy("subject", "cat").agg(F.count("*").alias("n"))
     subj = per.groupBy("subject").agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("n")).alias("sq"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import power_relation
+from .effects import bucketed
 from .hypothesis import mcnemar
 from .resampling import hash_pick
 
@@ -53,8 +54,14 @@ def swap_roles(utterances: DataFrame) -> DataFrame:
 
 
 def _numbered(strata: DataFrame) -> DataFrame:
-    w = Window.partitionBy("subtype")
-    return strata.select("subtype", "id", (F.row_number().over(w.orderBy("id")) - 1).cast("bigint").alias("i"))
+    """(subtype, id, i): the place of each numeric id in its stratum, from its place in a bucket of ids and the sizes of those before."""
+    ranged = bucketed(strata.select("subtype", "id"), "id")
+    sizes = ranged.groupBy("subtype", "__b").agg(F.count("*").alias("__m"))
+    earlier = Window.partitionBy("subtype").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    before = sizes.select(F.col("subtype").alias("__s"), F.col("__b").alias("__p"), F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__o"))
+    at = F.row_number().over(Window.partitionBy("subtype", "__b").orderBy("id"))
+    joined = ranged.withColumn("__at", at).join(before, F.col("subtype").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__p")))
+    return joined.select("subtype", "id", (F.col("__at") + F.col("__o") - 1).cast("bigint").alias("i"))
 
 
 def stratified_recombinations(strata: DataFrame, per_pair: int = 10, seed: int = 42) -> DataFrame:
@@ -82,7 +89,7 @@ def recombinations(strata: DataFrame, n: int = 100, seed: int = 42) -> DataFrame
     """(source_subtype, context_subtype, draw, utterance_id, context_id): n draws with replacement of two different strata."""
     numbered = _numbered(strata)
     sizes = numbered.groupBy("subtype").agg(F.count("*").alias("n"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("subtype", "n"))).alias("s"))  # one row a stratum
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("subtype", "n"))).alias("s"))  # one entry a stratum, of which there are as many as subtypes
     draws = strata.sparkSession.range(n).select(F.col("id").alias("draw")).join(F.broadcast(listed)).where(F.size("s") >= 2)
     k = F.size("s").cast("bigint")
     d = F.col("draw").cast("string")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .effects import power_gap
-from .resampling import binary_bootstrap, difference_bootstrap
+from .resampling import binary_bootstrap, difference_bootstraps
 
 
 def efficiency_ratio(scored: DataFrame, human: float = 0.82, human_ci: tuple[float, float] = (0.78, 0.86)) -> DataFrame:
@@ -62,13 +64,8 @@ def power_stratified(scored: DataFrame) -> DataFrame:
 
 def power_comparisons(scored: DataFrame) -> DataFrame:
     """Difference of accuracy, d and intervals for the three ordered pairs of power relations."""
-    order = ("peer", "higher_to_lower", "lower_to_higher")
-    out = None
-    for i, a in enumerate(order):
-        for b in order[i + 1 :]:
-            row = difference_bootstrap(scored, "power_relation", "correct", a, b).select(F.lit(a).alias("first"), F.lit(b).alias("second"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    pairs = combinations(("peer", "higher_to_lower", "lower_to_higher"), 2)
+    return difference_bootstraps(scored, "power_relation", "correct", list(pairs))
 
 
 def relative_layers(layers: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def validate(responses: DataFrame) -> DataFrame:
     counts as missing. A row without any field is one ``empty_response``. Labels are
     compared as they stand, so case and blanks matter. NaN is out of range.
     """
+    return responses.select("scenario_id", "model_id", F.explode(_errors()).alias("e")).select("scenario_id", "model_id", "e.*")
+
+
+def _errors():
+    """The array of errors of a response."""
     empty = ~F.greatest(*[F.col(f).isNotNull() for f in (*FIELDS, "confidence")])
 
     def error(when, kind, severity, field, actual=None):
@@ -47,15 +52,12 @@ def validate(responses: DataFrame) -> DataFrame:
     # a zero is dropped from the actual value, as any falsy one is
     checks += [error(~F.col(f).between(-1.0, 1.0), "vad_out_of_range", "medium", f, F.round(F.col(f), 6)) for f in FIELDS[2:]]
     checks.append(error(~F.col("confidence").between(0.0, 1.0), "confidence_out_of_range", "low", "confidence", F.round(F.col("confidence"), 6)))
-    all_ = F.when(empty, F.array(error(F.lit(True), "empty_response", "high", None))).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
-    return responses.select("scenario_id", "model_id", F.explode(all_).alias("e")).select("scenario_id", "model_id", "e.*")
+    return F.when(empty, F.array(error(F.lit(True), "empty_response", "high", None))).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
 def summary(responses: DataFrame, limit: float = 5.0) -> DataFrame:
     """One row: total, valid, invalid, error_rate in percent, status. A response is invalid if it has any error."""
-    e = responses.select(F.monotonically_increasing_id().alias("__r"), "*")
-    bad = validate(e.withColumn("scenario_id", F.col("__r").cast("string"))).select("scenario_id").distinct().agg(F.count("*").alias("invalid"))
-    t = responses.agg(F.count("*").alias("total")).join(F.broadcast(bad))
+    t = responses.agg(F.count("*").alias("total"), F.count_if(F.size(_errors()) > 0).alias("invalid"))
     rate = F.coalesce(F.try_divide(F.col("invalid") * 100.0, F.col("total")), F.lit(0.0))
     return t.select("total", (F.col("total") - F.col("invalid")).alias("valid"), "invalid", rate.alias("error_rate"), F.when(rate > limit, "FAILED").otherwise("PASSED").alias("status"))
 
@@ -126,8 +128,21 @@ def retry_plan(errors: DataFrame, total: int | None = None, share: float = 0.10)
     Order: least severity rank, then scenario and model (our tie rule). Priority is that rank plus one.
     """
     per = errors.withColumn("r", _severity_rank("severity")).groupBy("scenario_id", "model_id").agg(F.array_sort(F.collect_set("error_type")).alias("error_types"), F.min("r").alias("r"))
-    n = errors.select("scenario_id", "model_id").distinct().count() if total is None else total
-    return per.orderBy("r", "scenario_id", "model_id").limit(int(n * share)).select("scenario_id", "model_id", "error_types", (F.col("r") + 1).alias("priority"))
+    # ranks are few: whole ranks before the last one that fits go in, and only the next is put in order
+    size = per.groupBy("r").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    all_ = F.lit(total) if total is not None else F.sum("m").over(Window.partitionBy())
+    left = size.select(F.col("r").alias("__r"), "m", (F.floor(all_ * F.lit(share)).cast("bigint") - before).alias("left")).where("left > 0")  # as many rows as ranks
+    ranked = per.join(F.broadcast(left), F.col("r") == F.col("__r"))
+    part = ranked.where("left < m")
+    # within that rank, buckets by first characters are numbered by themselves and offset by those before them
+    part = part.withColumn("__b", F.substring(F.col("scenario_id").cast("string"), 1, 4))
+    sizes = part.groupBy("__b").agg(F.count("*").alias("__m"))
+    offset = sizes.select(F.col("__b").alias("__p"), F.coalesce(F.sum("__m").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy("scenario_id", "model_id")) + F.col("__o")
+    some = part.join(offset, F.col("__b").eqNullSafe(F.col("__p"))).withColumn("__at", at).where(F.col("__at") <= F.col("left"))
+    out = ranked.where("left >= m").select("scenario_id", "model_id", "error_types", "r").unionByName(some.select("scenario_id", "model_id", "error_types", "r"))
+    return out.select("scenario_id", "model_id", "error_types", (F.col("r") + 1).alias("priority"))
 
 
 def retry_fallback(manifest: DataFrame) -> DataFrame:

@@ -123,12 +123,18 @@ def binary_bootstrap(rows: DataFrame, by: list[str], value: str, draws: int = 10
     return counts.mapInPandas(run, f"{kinds}{', ' if by else ''}n long, mean double, ci_lower double, ci_upper double")
 
 
-def _counts_row(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    return rows.where(F.col(group).isin(a, b)).agg(*[F.coalesce(F.sum(((F.col(group) == g) & ok).cast("long")), F.lit(0)).alias(n) for g, ok, n in ((a, F.lit(True), "na"), (b, F.lit(True), "nb"), (a, F.col(value) == 1, "ka"), (b, F.col(value) == 1, "kb"))])
-
-
 def difference_bootstrap(rows: DataFrame, group: str, value: str, a: str, b: str, draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """One row: difference of two 0/1 means and d, each with an interval from independent resamples of (n, k)."""
+    return difference_bootstraps(rows, group, value, [(a, b)], draws, alpha, seed).drop("first", "second")
+
+
+def difference_bootstraps(rows: DataFrame, group: str, value: str, pairs: list[tuple[str, str]], draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """``difference_bootstrap`` of several pairs of groups, (first, second, ...), from one count of (n, k) by group."""
+    names = sorted({g for pair in pairs for g in pair})
+    counts = rows.where(F.col(group).isin(*names)).agg(*[F.count_if(F.col(group) == g).alias(f"n{i}") for i, g in enumerate(names)], *[F.count_if((F.col(group) == g) & (F.col(value) == 1)).alias(f"k{i}") for i, g in enumerate(names)])
+    of = lambda c, g: F.col(f"{c}{names.index(g)}")
+    each = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), of("n", a).alias("na"), of("n", b).alias("nb"), of("k", a).alias("ka"), of("k", b).alias("kb")) for a, b in pairs])
+    counts = counts.select(F.explode(each).alias("x")).select("x.*")
 
     def run(batches):
         for pdf in batches:
@@ -137,17 +143,17 @@ def difference_bootstrap(rows: DataFrame, group: str, value: str, a: str, b: str
                 na, nb, ka, kb = (int(v) for v in (r.na, r.nb, r.ka, r.kb))
                 if na < 2 or nb < 2:
                     gap = (ka / na if na else 0.0) - (kb / nb if nb else 0.0)
-                    out.append((na, nb, gap, gap, gap, 0.0, -0.2, 0.2))
+                    out.append((r.first, r.second, na, nb, gap, gap, gap, 0.0, -0.2, 0.2))
                     continue
                 rng = np.random.Generator(np.random.PCG64(seed))
                 p, q = np.r_[ka, rng.binomial(na, ka / na, draws)] / na, np.r_[kb, rng.binomial(nb, kb / nb, draws)] / nb
                 gap = p - q
                 s = np.sqrt((na * p * (1 - p) + nb * q * (1 - q)) / (na + nb - 2))
                 d = np.divide(gap, s, out=np.zeros_like(gap), where=s > 0)
-                out.append((na, nb, gap[0], *_bounds(gap[1:], alpha, "index"), d[0], *_bounds(d[1:], alpha, "index")))
-            yield pd.DataFrame(out, columns=["n_a", "n_b", "difference", "ci_lower", "ci_upper", "d", "d_lower", "d_upper"])
+                out.append((r.first, r.second, na, nb, gap[0], *_bounds(gap[1:], alpha, "index"), d[0], *_bounds(d[1:], alpha, "index")))
+            yield pd.DataFrame(out, columns=["first", "second", "n_a", "n_b", "difference", "ci_lower", "ci_upper", "d", "d_lower", "d_upper"])
 
-    return _counts_row(rows, group, value, a, b).mapInPandas(run, "n_a long, n_b long, difference double, ci_lower double, ci_upper double, d double, d_lower double, d_upper double")
+    return counts.mapInPandas(run, "first string, second string, n_a long, n_b long, difference double, ci_lower double, ci_upper double, d double, d_lower double, d_upper double")
 
 
 def paired_bootstrap(pairs: DataFrame, before: str, after: str, draws: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:

@@ -786,6 +786,38 @@ def _(s, d):
     return resampling.paired_bootstrap(B.pairs(s, d), "treat", "base").select("n", "difference", "p_value", "ci_lower", "ci_upper")
 
 
+# what those intervals hold besides their draws: counts, means and effects, which SQL can check
+
+
+@query("boot_binary_exact", PRED + "SELECT model_id, count(*) AS n, round(avg(correct), 6) AS mean FROM pred GROUP BY 1")
+def _(s, d):
+    return resampling.binary_bootstrap(B.predictions(s, d), ["model_id"], "correct", 10).select("model_id", "n", F.round("mean", 6).alias("mean"))
+
+
+_BINARY_D = "SELECT n_a, n_b, round(m_a - m_b, 6) AS difference, round((m_a - m_b) / sqrt((n_a * m_a * (1 - m_a) + n_b * m_b * (1 - m_b)) / (n_a + n_b - 2)), 6) AS d FROM (SELECT count(*) FILTER ({0}) AS n_a, count(*) FILTER ({1}) AS n_b, avg(correct) FILTER ({0}) AS m_a, avg(correct) FILTER ({1}) AS m_b FROM pred)"
+_exact = lambda df, *more: df.select(*more, "n_a", "n_b", F.round("difference", 6).alias("difference"), F.round("d", 6).alias("d"))
+
+
+@query("cohens_d_ci_exact", PRED + _BINARY_D.format("power_relation = 'peer'", "power_relation = 'lower_to_higher'"))
+def _(s, d):
+    return _exact(resampling.difference_bootstrap(B.predictions(s, d), "power_relation", "correct", "peer", "lower_to_higher", 10))
+
+
+@query("power_comparisons_exact", PRED + " UNION ALL ".join("SELECT '" + a + "' AS first, '" + b + "' AS second, * FROM (" + _BINARY_D.format(f"power_relation = '{a}'", f"power_relation = '{b}'") + ")" for a, b in (("peer", "higher_to_lower"), ("peer", "lower_to_higher"), ("higher_to_lower", "lower_to_higher"))))
+def _(s, d):
+    return _exact(efficiency.power_comparisons(B.predictions(s, d)), "first", "second")
+
+
+@query("relabelled_means_exact", PRED + "SELECT n_a, n_b, round(m_a - m_b, 4) AS difference FROM (SELECT count(*) FILTER (power_relation = 'peer') AS n_a, count(*) FILTER (power_relation = 'lower_to_higher') AS n_b, avg(latency_ms::double) FILTER (power_relation = 'peer') AS m_a, avg(latency_ms::double) FILTER (power_relation = 'lower_to_higher') AS m_b FROM pred)")
+def _(s, d):
+    return resampling.relabelled_means(B.predictions(s, d), "power_relation", "latency_ms", "peer", "lower_to_higher", 10).select("n_a", "n_b", F.round("difference", 4).alias("difference"))
+
+
+@query("paired_bootstrap_exact", PAIRS.rstrip() + " SELECT count(*) AS n, round(avg(base - treat), 6) AS difference, round(avg(base - treat) / stddev_samp(base - treat), 6) AS d FROM pairs")
+def _(s, d):
+    return resampling.paired_bootstrap(B.pairs(s, d), "treat", "base", 10).select("n", F.round("difference", 6).alias("difference"), F.round("d", 6).alias("d"))
+
+
 # --- retry planning, manifests, breakers
 
 

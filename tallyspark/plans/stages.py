@@ -54,7 +54,7 @@ class Registry:
         return names[a : b + 1]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -69,14 +69,14 @@ def run(spark: SparkSession, registry: Registry, mode: str, inputs: dict[str, Da
     for name in registry.order:  # outputs of earlier runs
         for out in registry.stages[name].produces:
             path = f"{folder}/{name}/{out}"
-            if out not in known and name not in registry.plan(mode) and _exists(spark, f"{path}/_SUCCESS"):
+            if out not in known and name not in registry.plan(mode) and exists(spark, f"{path}/_SUCCESS"):
                 known[out] = spark.read.parquet(path)
     for name in registry.plan(mode):
         stage = registry.stages[name]
         if not stage.enabled:
             continue
         paths = {out: f"{folder}/{name}/{out}" for out in stage.produces}
-        if not (resume and paths and all(_exists(spark, f"{p}/_SUCCESS") for p in paths.values())):
+        if not (resume and paths and all(exists(spark, f"{p}/_SUCCESS") for p in paths.values())):
             missing = [r for r in stage.requires if known.get(r) is None]
             if missing:
                 raise ValueError(f"{name} needs {missing}")

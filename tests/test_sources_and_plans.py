@@ -156,3 +156,19 @@ def test_config(tmp_path):
     (tmp_path / "c.yml").write_text("a:\n  b: 1\n  c:\n")
     c = config.load(str(tmp_path / "none.yml"), str(tmp_path / "c.yml"))
     assert config.get(c, "a.b") == 1 and config.get(c, "a.c", 5) == 5 and config.get(c, "x.y") is None and config.load(str(tmp_path / "none.yml")) == {}
+
+
+def test_stage_commands(spark, tmp_path, capsys):
+    from tallyspark.__main__ import main
+
+    d, folder = "/root/testdata/sf0.001", str(tmp_path / "run")
+    assert main(["stages"]) == 0 and "plan: errors -> retries" in capsys.readouterr().out
+    assert main(["stage", "to:plan", "--tables", d, "--folder", folder]) == 0
+    assert main(["status", "--folder", folder]) == 0
+    assert capsys.readouterr().out.split("\n")[:3] == ["validate: done", "plan: done", "score: open"]
+    assert main(["stage", "range:score:report", "--tables", d, "--folder", folder]) == 0
+    assert spark.read.parquet(f"{folder}/report/metrics").count() > 0 and spark.read.parquet(f"{folder}/plan/retries").count() > 0
+    assert main(["status", "--folder", folder]) == 0 and "open" not in capsys.readouterr().out
+    assert main(["estimate", "--tables", d, "--variants", "2"]) == 0 and "cost" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        main(["stage", "from:nowhere", "--tables", d, "--folder", folder])
