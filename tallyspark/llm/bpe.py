@@ -115,7 +115,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(b"".join(coder.packed(t.decode())), "<u4") for t in raw_texts(part.column(1))]
+                ids = [np.frombuffer(b"".join(coder.packed(t.decode("utf-8", "replace"))), "<u4") for t in raw_texts(part.column(1))]
                 yield pa.record_batch([part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -123,7 +123,12 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): what ``encoded`` makes, digested where it is made."""
+    """(id, n_tokens, ids_sha256, decoded_sha256): what ``encoded`` makes, digested where it is made.
+
+    Null text counts as empty: no ids. Very long texts are encoded whole by one task. Bytes that aren't UTF-8 are read as
+    replacement characters. Repeated rows and ids each give a row, null ids too; an empty table gives none.
+    Other columns are not read and may have any name.
+    """
     model = serialise_model(read_ranks(vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -131,7 +136,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             n, a, b = [], [], []
             for t in raw_texts(batch.column(1)):
-                packed = b"".join(coder.packed(t.decode()))
+                packed = b"".join(coder.packed(t.decode("utf-8", "replace")))
                 ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
                 a.append(hashlib.sha256(packed).hexdigest())

@@ -13,10 +13,12 @@ from .common import documents, pieces, raw_texts
 BINS, RUN, SMOOTH, ROUNDS = 1 << 16, 24, 0.05, 40
 
 
-def _bins(text: bytes) -> np.ndarray:
-    """Hashed trigrams of a text's bytes with A-Z lowered and a space at either end."""
-    a = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint32)
-    return ((a[:-2] * np.uint32(0x9E3779B1) ^ a[1:-1] * np.uint32(0x85EBCA6B) ^ a[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+def _bins(text: bytes):
+    """Hashed trigrams of a text's bytes with A-Z lowered and a space at either end, in pieces of whole RUNs; none is cut."""
+    padded = b" " + text.lower() + b" "
+    for at in range(0, max(1, len(padded) - 2), RUN << 15):
+        a = np.frombuffer(padded[at : at + (RUN << 15) + 2], np.uint8).astype(np.uint32)
+        yield ((a[:-2] * np.uint32(0x9E3779B1) ^ a[1:-1] * np.uint32(0x85EBCA6B) ^ a[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -37,8 +39,8 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             for t, lang in zip(raw_texts(batch.column(0)), langs):
                 if lang not in total:
                     total[lang] = np.zeros(BINS, np.int64)
-                for at in range(0, max(1, len(t)), 1 << 20):
-                    total[lang] += np.bincount(_bins(t[at : at + (1 << 20)]), minlength=BINS)
+                for x in _bins(t):
+                    total[lang] += np.bincount(x, minlength=BINS)
         for lang, c in total.items():
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bin", "n"])
@@ -98,12 +100,9 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
     at_text = sent.index(text_col)
 
     def one(t: bytes):
-        if not langs or next(filter(str.isalpha, t.decode()), None) is None:
+        if not langs or next(filter(str.isalpha, t.decode("utf-8", "replace")), None) is None:
             return "und", 0.0, []
-        parts = []
-        for at in range(0, len(t), 1 << 20):
-            x = table[_bins(t[at : at + (1 << 20)])]
-            parts.append(np.add.reduceat(x, np.arange(0, len(x), RUN), axis=0))
+        parts = [np.add.reduceat(table[x], np.arange(0, len(x), RUN), axis=0) for x in _bins(t)]
         own, w = mixture(np.concatenate(parts).astype(np.float64))
         i = int(np.argmax(w))
         return langs[own[i]], float(min(1.0, w[i])), [(langs[j], float(p)) for j, p in zip(own, w)]
@@ -121,8 +120,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row for each input row: id, held_out, lang_pred, score, languages.
 
     Learns from the text and label of rows that are not held out, and predicts
-    from text alone. Repeated rows are each counted and predicted; very long
-    texts are read in pieces of one MB; an empty table gives no rows.
+    from text alone. Repeated rows are each counted and predicted, repeated and null ids too (a null id is held out);
+    very long texts are read whole, with no n-gram cut; bytes that aren't UTF-8 are n-grams like others. Without
+    anything learned all is ``und``. Other columns are not read and may have any name. An empty table gives no rows.
     """
     langs, table = learn(docs.where(~is_held_out(id_col)), text_col, lang_col)
     rows = docs.select(F.col(id_col), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__t"))
@@ -130,7 +130,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text is in some learned language: those predicted ``und`` go. Columns unchanged."""
+    """The rows whose text is in some learned language: those predicted ``und`` (null, empty or without a letter) go.
+
+    Columns unchanged, whatever their names; cases are as in ``identify``.
+    """
     langs, table = learn(docs.where(~is_held_out(id_col)), text_col, lang_col)
     names = [f"__{i}" for i in range(len(docs.columns))]
     kept = predict(docs.toDF(*names), langs, table, names, names[docs.columns.index(text_col)]).where("lang_pred <> 'und'")

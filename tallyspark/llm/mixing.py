@@ -133,8 +133,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     unit whose copies are spread evenly over them; rows that share an id but differ are
     decided each for itself. A null source is
     a source of its own, last in order. Empty documents take 0 words; an
-    empty table gives no rows. Decisions hang on hashes of the rows
-    alone, so reruns agree whatever the partitioning.
+    empty table gives no rows. Very long texts are only counted. Other columns may have any name.
+    Decisions hang on hashes of the rows alone, so reruns agree whatever the partitioning.
     """
     u = mixed_units(docs, **how)
     u = u.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).withColumn("copies", F.expr("i * copies div rows - (i - 1) * copies div rows"))
@@ -142,7 +142,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns unchanged."""
+    """The documents themselves, each as often as the mix takes it; columns unchanged.
+
+    Nulls, empty texts, repeats and an empty table are as in ``mix``: null and empty texts are never taken.
+    """
     u = mixed_units(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0")
     u = u.select(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("row_hash").alias("__h"), F.col("rows").alias("__r"), F.col("copies").alias("__c"))
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or empty texts have fingerprint zero and link like any other. Rows
     that repeat an id are all kept. Rows with a null id are linked too but never
     name a component unless all of its ids are null (then it is null).
-    An empty table gives no rows. Only id and text are read; other columns never clash.
+    An empty table gives no rows. Very long texts are hashed whole, in parts. Only id and text are read; other columns never clash.
     """
     own = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     per = written(own.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")

@@ -365,6 +365,15 @@ class TestLanguage:
             elif r.doc_id is not None and 900 <= r.doc_id < 904:
                 assert set(r.languages) == {"en", "de"} and 0.4 < r.score < 0.6
 
+    def test_long_texts_are_one(self):
+        """The trigrams of a text of several pieces are those of the whole, in order."""
+        text = bytes(np.random.default_rng(1).integers(97, 123, 2_000_003, np.uint8))
+        got = np.concatenate(list(langid._bins(text)))
+        a = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)
+        want = ((a[:-2] * np.uint32(0x9E3779B1) ^ a[1:-1] * np.uint32(0x85EBCA6B) ^ a[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(16)
+        assert np.array_equal(got, want) and [len(x) % langid.RUN for x in langid._bins(text)][:-1] == [0, 0]
+        assert sum(map(len, langid._bins(b""))) == 0 and sum(map(len, langid._bins(b"a"))) == 1
+
     def test_nothing_learned(self, spark, empty):
         df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
         assert [tuple(r)[2:4] for r in langid.identify(df).collect()] == [("und", 0.0)]
