@@ -560,7 +560,7 @@ class TestScores:
         """What a text has shown and the rest share one at every place."""
         which = np.array([0, 1, 0, 1, 2, 0, 1, 1, 3])
         for i in range(len(which)):
-            own, rest = zip(*[[x[-1] for x in mixlm.history(np.r_[which[:i], t])] for t in range(5)])
+            own, rest = zip(*[[x[-1] for x in mixlm.history(np.r_[7, 7, which[:i], t], np.array([2, i + 1]))] for t in range(5)])
             assert math.isclose(sum(own) + rest[0], 1) and len(set(rest)) == 1
 
     def test_learns(self, spark):
