@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, worklist
+from ..sources import arrays
 from ..sources import bindings as B
 from ..sources.bindings import with_views
 
@@ -861,6 +862,13 @@ def _(s, d):
     return quality.unnest(f).select("file", "at", "parse_failed", F.coalesce(F.try_variant_get("response", "$.k", "int"), F.lit(-1)).alias("k"))
 
 
+@query("array_codec", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) AS total, round(embedding[1]::double, 4) AS first FROM embeddings WHERE embedding IS NOT NULL")
+def _(s, d):
+    text = B.table(s, d, "embeddings").where("embedding is not null").select("vec_id", arrays.array_to_json("embedding").alias("t"))
+    v = arrays.array_from_json("t")
+    return text.select("vec_id", F.size(v).cast("bigint").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.element_at(v, 1), 4).alias("first"))
+
+
 @query("mock_predict")
 def _(s, d):
     return worklist.mock_predictions(B.prompts(s, d).select("id", F.col("text").alias("prompt")), L.EMOTIONS).groupBy("emotion").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import quality
 from tallyspark.plans import catalog, stages
-from tallyspark.sources import readers
+from tallyspark.sources import arrays, readers
 from tallyspark.streaming import breaker
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -172,3 +172,18 @@ def test_stage_commands(spark, tmp_path, capsys):
     assert main(["estimate", "--tables", d, "--variants", "2"]) == 0 and "cost" in capsys.readouterr().out
     with pytest.raises(ValueError):
         main(["stage", "from:nowhere", "--tables", d, "--folder", folder])
+
+
+def test_array_codec_and_side_store(spark, tmp_path):
+    texts = ['{"__numpy__": true, "data": [1.5, -2, 0], "dtype": "float32"}', "[3, 4.25]", '{"data": [1]}', "{broken", None, '{"__numpy__": true, "data": [], "dtype": "float64"}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("v", arrays.array_from_json("t"))
+    got = {r.i: r.v for r in df.collect()}
+    assert got == {0: [1.5, -2.0, 0.0], 1: [3.0, 4.25], 2: None, 3: None, 4: None, 5: []}
+    back = {r.i: r.w for r in df.select("i", arrays.array_from_json(arrays.array_to_json("v", "float32")).alias("w")).collect()}
+    assert back == got
+    cache = spark.createDataFrame([("m", 1, None, "r1", [1.0, 2.0], [0.5]), ("m", 2, "h", "r2", None, [0.25]), ("n", 1, None, "r3", None, None)], "model_id string, scenario_id int, prompt_hash string, response string, hidden array<float>, logits array<double>")
+    key, folder = ["model_id", "scenario_id", "prompt_hash"], str(tmp_path / "cache")
+    arrays.write_side_store(cache, folder, key, ["hidden", "logits"])
+    assert arrays.read_side_store(spark, folder, key).columns == [*key, "response"]
+    got = sorted(tuple(r)[3:] for r in arrays.read_side_store(spark, folder, key, ["hidden", "logits"]).collect())
+    assert got == [("r1", [1.0, 2.0], [0.5]), ("r2", None, [0.25]), ("r3", None, None)]
