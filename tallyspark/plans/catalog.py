@@ -202,10 +202,10 @@ def _(s, d):
     return accuracy.score(p, g).groupBy(F.col("l_returnflag").alias("predicted"), "gold", "correct").agg(F.count("*").alias("n"))
 
 
-@query("scored_predictions", RESP + f"SELECT model_id, predicted, gold, count(*) AS n FROM (SELECT model_id, lower(emotion) AS predicted, lower(coalesce(g, CASE WHEN confidence > 0.5 THEN 'Fear' END)) AS gold FROM responses LEFT JOIN (SELECT 's' || o_orderkey::varchar AS sid, lower(trim(o_orderpriority)) AS g FROM orders WHERE o_orderkey < 500) ON scenario_id = sid WHERE valence < 1 AND emotion IS NOT NULL) WHERE predicted <> '' AND gold <> '' GROUP BY ALL")
+@query("scored_predictions", RESP + f"SELECT model_id, predicted, gold, count(*) AS n FROM (SELECT model_id, lower(emotion) AS predicted, lower(coalesce(g, CASE WHEN confidence > 0.5 THEN 'Fear' END)) AS gold FROM responses LEFT JOIN (SELECT 's' || o_orderkey::varchar AS sid, lower(trim(o_orderpriority)) AS g FROM orders WHERE o_orderstatus <> 'F') ON scenario_id = sid WHERE valence < 1 AND emotion IS NOT NULL) WHERE predicted <> '' AND gold <> '' GROUP BY ALL")
 def _(s, d):
     r = B.responses(s, d).withColumn("success", F.col("valence") < 1).withColumn("gold_emotion", F.when(F.col("confidence") > 0.5, "Fear"))
-    g = B.table(s, d, "orders").where("o_orderkey < 500").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("scenario_id"), F.col("o_orderpriority").alias("gold"))
+    g = B.table(s, d, "orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("scenario_id"), F.col("o_orderpriority").alias("gold"))
     return accuracy.scored_predictions(r, g).groupBy("model_id", "predicted", "gold").agg(F.count("*").alias("n"))
 
 
