@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def _two(rows: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     x, y = F.when(F.col(group) == a, F.col(value)), F.when(F.col(group) == b, F.col(value))
@@ -46,8 +48,10 @@ def bucketed(df: DataFrame, value: str, buckets: int = 200) -> DataFrame:
 def running_counts(hist: DataFrame, value: str, counts: list[str]) -> DataFrame:
     """Adds before_<c>: the sum of c over smaller values, of a histogram with one row a value.
 
-    Each bucket of values sums within itself and adds what the buckets before it hold.
+    Each bucket of values sums within itself and adds what the buckets before it hold. The
+    histogram is read for its bounds, sizes and rows, so it is computed once and kept.
     """
+    hist = kept(hist)
     ranged = bucketed(hist, value)
     inside = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     per = ranged.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in counts])

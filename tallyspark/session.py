@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -15,3 +17,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     }
     builder = SparkSession.builder.appName("tallyspark").config(map=defaults | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a checkpoint in the folder that spark.checkpoint.dir names, for plans that read it several times.
+
+    Where none is named, a local session gets a temporary folder; on a cluster ``df`` stays as it is and is computed as often as it is read.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            return df
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
