@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, linededup, mixing, mixlm, simhash, substrings, vafile, wrappers
+from . import bpe, chat, divergence, embeddings, langid, linededup, mixing, mixlm, simhash, spelling, substrings, vafile, wrappers
 
 QUERIES = {
     "op1_rp_forest": embeddings.op1_rp_forest,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_line_templates": linededup.op10_line_templates,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_chat_formatting": chat.op12_chat_formatting,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_rp_forest": embeddings.ORACLE,
     "op6_vafile_topk": vafile.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_chat_formatting": chat.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
