@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, pieces, raw_texts, written
 
-#: A term is a run of ASCII letters and of characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term is a run of ASCII letters, of which A-Z are lower-cased, and of bytes beyond ASCII; all other bytes part terms.
+TERM = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+#: Bytes of text whose terms are counted together before they are passed on; the sums don't depend on it.
+COUNTED = 8 << 20
 #: Documents that keep a term; ranks of terms that are listed.
 MIN_DOCS, TOP = 3, 200
 _STEP = 1000
@@ -36,16 +42,43 @@ def _term(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term, and documents that hold it.
-
-    A document's terms and its different terms are exploded from one array, so that one aggregation, mostly done before its shuffle, counts both.
-    """
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    said = lambda n, docs: lambda t: F.struct(t.alias("term"), n.alias("n"), docs.alias("docs"))
-    d = docs.select(_known(lang_col).alias("lang"), _known(source_col).alias("source"), words.alias("w"))
-    d = d.select("lang", "source", F.explode(F.concat(F.transform("w", said(one, none)), F.transform(F.array_distinct("w"), said(none, one)))).alias("x"))
-    return d.groupBy("lang", "source", "x.term").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    """(lang, source, term, n, docs): occurrences of each term, and documents that hold it, summed in each task before they are shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        groups, texts, held = [], [], 0
+        for batch in pieces(batches):
+            for lang, source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2))):
+                groups.append((lang, source))
+                texts.append(raw.translate(TERM))
+                held += len(raw)
+                if held > COUNTED:
+                    yield _counted(groups, texts)
+                    groups, texts, held = [], [], 0
+        if groups:
+            yield _counted(groups, texts)
+
+    kept = docs.select(_known(lang_col).alias("lang"), _known(source_col).alias("source"), F.col(text_col).cast("string").alias("t"))
+    counted = kept.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _counted(groups: list[tuple[str, str]], texts: list[bytes]) -> pa.RecordBatch:
+    """Each group's terms in some documents, with their occurrences and the documents that hold them."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False))
+    doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    code, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), doc.astype(np.int64)
+    filled = np.asarray(pc.binary_length(coded.dictionary)) > 0  # the splitter leaves empty words at the ends
+    code, doc = code[filled[code]], doc[filled[code]]
+    v = max(1, len(coded.dictionary))
+    numbers = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+    group = np.array([numbers[g] for g in groups], np.int64)
+    in_doc, n = np.unique(doc * v + code, return_counts=True)
+    keys, at, docs = np.unique(group[in_doc // v] * v + in_doc % v, return_inverse=True, return_counts=True)
+    names, g = list(numbers), pa.array(keys // v)
+    columns = [pa.array([x[i] for x in names], pa.string()).take(g) for i in (0, 1)]
+    columns += [coded.dictionary.cast(pa.string(), safe=False).take(pa.array(keys % v)), pa.array(np.bincount(at, n, len(keys)).astype(np.int64)), pa.array(docs.astype(np.int64))]
+    return pa.record_batch(columns, names=["lang", "source", "term", "n", "docs"])
 
 
 def _known(column: str) -> Column:
@@ -66,8 +99,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_c
     source uses more than its language does. All in integers.
 
     Each kept term is one wide row: its counts in an array indexed by the language's sources. Most terms are absent from most
-    sources, and what two sources without a term add to a pair doesn't depend on the term: it is added once, times the number of terms. A
-    wide row therefore emits only pairs in which one source has the term, as differences from that, and partial
+    sources, and what two sources without a term add to a pair doesn't depend on the term: it is added once, times the number of such terms. A
+    wide row therefore emits only pairs in which one source has the term, and partial
     aggregation sums them before the shuffle, which carries one row for each pair and task. Ranks of terms are cut before their shuffle as well.
 
     Null text, language or source count as ''. A row is a document, repeated rows and ids as well. A source without any kept term, or with only
@@ -79,7 +112,9 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_c
     groups = docs.select(_known(lang_col).alias("lang"), _known(source_col).alias("source")).distinct()
     groups = written(groups.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("source"))), "divergence-groups")
     cell = F.struct("i", "n")
-    wide = counts.join(groups, ["lang", "source"]).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(cell).alias("cells"))
+    # dealt by a number of partitions that small tables keep too: few rows here become many pairs
+    dealt = counts.join(groups, ["lang", "source"]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "term")
+    wide = dealt.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(cell).alias("cells"))
     wide = written(wide.where(F.col("docs") >= min_docs).select("lang", "term", "total", "cells"), "divergence-wide")
 
     terms = wide.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
@@ -91,24 +126,25 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_c
     langs = sized.groupBy("lang", "v", "lang_n").agg(F.array_sort(F.collect_list(F.struct("i", "source", "of", "p0"))).alias("sources"))
     langs = written(langs, "divergence-langs")
 
-    vectors = wide.join(langs, "lang")
-    held = F.map_from_entries("cells")
-    p = F.transform("sources", lambda s: F.struct(s["i"].alias("i"), F.when(F.array_contains(F.map_keys("held"), s["i"]), _share(F.element_at("held", s["i"]), s["of"])).alias("p"), s["p0"].alias("p0")))
-    vectors = vectors.withColumn("held", held).select("lang", p.alias("ps"))
-
-    def moved(a: Column, b: Column) -> Column:
-        """What the pair (a, b) adds beyond what two sources without the term add."""
-        return _term(F.coalesce(a["p"], a["p0"]), F.coalesce(b["p"], b["p0"])) - _term(a["p0"], b["p0"])
-
-    present = F.filter("ps", lambda a: a["p"].isNotNull())
+    # a term's share in each source of its language; null where the source lacks it
+    vectors = wide.join(langs, "lang").select("lang", F.map_from_entries("cells").alias("held"), "sources")
+    own = F.transform("sources", lambda s: _share(F.try_element_at("held", s["i"]), s["of"]))
+    vectors = vectors.select("lang", own.alias("own"), F.col("sources.p0").alias("p0"))
+    vectors = vectors.select("lang", "own", F.zip_with("own", "p0", lambda x, y: F.coalesce(x, y)).alias("ps"), F.size("own").alias("m"))
+    vectors = vectors.select("lang", "own", "ps", "m", F.posexplode_outer("own").alias("a", "pa")).where("pa is not null")
     # from a source that has the term to every other, and back from those that lack it
-    out = F.flatten(F.transform(present, lambda a: F.transform(F.filter("ps", lambda b: b["i"] != a["i"]), lambda b: F.struct(a["i"].alias("a"), b["i"].alias("b"), moved(a, b).alias("f")))))
-    back = F.flatten(F.transform(present, lambda a: F.transform(F.filter("ps", lambda b: b["p"].isNull()), lambda b: F.struct(b["i"].alias("a"), a["i"].alias("b"), moved(b, a).alias("f")))))
-    sums = vectors.select("lang", F.explode(F.concat(out, back)).alias("x")).groupBy("lang", "x.a", "x.b").agg(F.sum("x.f").alias("f"))
+    out = F.transform("ps", lambda q: _term(F.col("pa"), q))
+    back = F.zip_with("own", "ps", lambda x, y: F.when(x.isNull(), _term(y, F.col("pa"))))
+    sums = vectors.select("lang", "m", "a", F.posexplode_outer(F.concat(out, back)).alias("b", "f")).where("f is not null")
+    forth, b = F.col("b") < F.col("m"), F.col("b") % F.col("m")
+    sums = sums.where(b != F.col("a")).select("lang", F.when(forth, F.col("a")).otherwise(b).alias("a"), F.when(forth, b).otherwise(F.col("a")).alias("b"), "f")
+    sums = sums.groupBy("lang", "a", "b").agg(F.sum("f").alias("f"), F.count("*").alias("terms"))
     base = langs.select("lang", "v", "sources", F.explode("sources").alias("a")).select("lang", "v", "a", F.explode("sources").alias("b")).where("a.i <> b.i")
-    base = base.select("lang", "v", F.col("a.i").alias("a"), F.col("b.i").alias("b"), F.col("a.source").alias("source"), F.col("b.source").alias("item"), _term(F.col("a.p0"), F.col("b.p0")).alias("f0"))
+    base = base.select("lang", "v", (F.col("a.i") - 1).alias("a"), (F.col("b.i") - 1).alias("b"), F.col("a.source").alias("source"), F.col("b.source").alias("item"), _term(F.col("a.p0"), F.col("b.p0")).alias("f0"))
     pairs = base.join(sums, ["lang", "a", "b"], "left")
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce(F.col("v") * F.col("f0"), F.lit(0)) + F.coalesce("f", F.lit(0))).cast("bigint").alias("value"))
+    none = F.lit(0).cast("bigint")
+    value = F.coalesce((F.col("v") - F.coalesce("terms", none)) * F.col("f0") + F.coalesce("f", none), none)
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
 
     cells = wide.join(langs, "lang").select("lang", "term", "sources", F.col("lang_n").alias("ln"), "v", "total", F.explode("cells").alias("c"))
     own = F.element_at("sources", F.col("c.i"))

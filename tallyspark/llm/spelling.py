@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -10,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, written
+from .common import cut, documents, pieces, raw_texts, written
 
 #: Letters of a word, once A-Z are lower-cased; code points and occurrences it needs.
 LETTERS, LEAST_LENGTH, LEAST_COUNT = r"[a-zÀ-ÿ]", 6, 5
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that a task counts before it passes them on; the sums don't depend on it.
+COUNTED = 200_000
 #: A near word is a word's form if it occurs so many times as often.
 FORM_TIMES = 5
 #: Words of one trie; a larger group is split by longer prefixes.
@@ -161,16 +165,38 @@ def word_counts(docs: DataFrame, spoil: int | None = None, id_col: str = "doc_id
     """(word, n) of words long and frequent enough.
 
     With ``spoil``, a run whose CRC-32 with its document's id is a multiple of it loses one letter: misspellings at known places.
-    Runs are counted by expressions alone, mostly before the shuffle.
+    Each task sums its counts before they are shuffled.
     """
-    text = F.translate(F.col(text_col).cast("string"), UPPER, LOWER)
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(text, F.lit(LETTERS + "{%d,}" % LEAST_LENGTH), F.lit(0))).alias("run"))
-    word = F.col("run")
-    if spoil:
-        h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
-        at = (h % F.length("run")).cast("int")
-        word = F.when(h % spoil == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
-    counts = runs.select(word.alias("word")).where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n"))
+    runs_of = re.compile(LETTERS + "{%d,}" % LEAST_LENGTH).findall
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        counts: Counter[str] = Counter()
+
+        def out():
+            done = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return done
+
+        for batch in pieces(batches):
+            for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                runs = runs_of(raw.lower().decode("utf-8", "replace"))  # lower() of bytes leaves all but A-Z
+                if spoil:
+                    own, begun = Counter(runs), zlib.crc32(f"{doc}:".encode())
+                    for r, k in [*own.items()]:
+                        h = zlib.crc32(r.encode(), begun)
+                        if h % spoil == 0:
+                            at = h % len(r)
+                            counts[r] -= k
+                            if len(r) > LEAST_LENGTH:
+                                counts[r[:at] + r[at + 1 :]] += k
+                counts.update(runs)
+                if len(counts) > COUNTED:
+                    yield out()
+        if counts:
+            yield out()
+
+    kept = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("t"))
+    counts = kept.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= LEAST_COUNT)
 
 
