@@ -98,9 +98,9 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_c
     floor((p - q)^2 / q), p and q the smoothed shares (parts of 10^9) of the term in the two. Part ``term``: the ``top`` kept terms that the
     source uses more than its language does. All in integers.
 
-    Each kept term is one wide row: its counts in an array indexed by the language's sources. Most terms are absent from most
-    sources, and what two sources without a term add to a pair doesn't depend on the term: it is added once, times the number of such terms. A
-    wide row therefore emits only pairs in which one source has the term, and partial
+    Each kept term is one wide row: its counts in an array by the language's numbered sources, without those that lack it. What two
+    sources without a term add to a pair doesn't depend on the term, and where one has it, on its count there alone: those sums
+    come from counts of counts. A wide row emits only pairs of sources that both have the term, as differences from that, and partial
     aggregation sums them before the shuffle, which carries one row for each pair and task. Ranks of terms are cut before their shuffle as well.
 
     Null text, language or source count as ''. A row is a document, repeated rows and ids as well. A source without any kept term, or with only
@@ -126,24 +126,28 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_c
     langs = sized.groupBy("lang", "v", "lang_n").agg(F.array_sort(F.collect_list(F.struct("i", "source", "of", "p0"))).alias("sources"))
     langs = written(langs, "divergence-langs")
 
-    # a term's share in each source of its language; null where the source lacks it
-    vectors = wide.join(langs, "lang").select("lang", F.map_from_entries("cells").alias("held"), "sources")
-    own = F.transform("sources", lambda s: _share(F.try_element_at("held", s["i"]), s["of"]))
-    vectors = vectors.select("lang", own.alias("own"), F.col("sources.p0").alias("p0"))
-    vectors = vectors.select("lang", "own", F.zip_with("own", "p0", lambda x, y: F.coalesce(x, y)).alias("ps"), F.size("own").alias("m"))
-    vectors = vectors.select("lang", "own", "ps", "m", F.posexplode_outer("own").alias("a", "pa")).where("pa is not null")
-    # from a source that has the term to every other, and back from those that lack it
-    out = F.transform("ps", lambda q: _term(F.col("pa"), q))
-    back = F.zip_with("own", "ps", lambda x, y: F.when(x.isNull(), _term(y, F.col("pa"))))
-    sums = vectors.select("lang", "m", "a", F.posexplode_outer(F.concat(out, back)).alias("b", "f")).where("f is not null")
-    forth, b = F.col("b") < F.col("m"), F.col("b") % F.col("m")
-    sums = sums.where(b != F.col("a")).select("lang", F.when(forth, F.col("a")).otherwise(b).alias("a"), F.when(forth, b).otherwise(F.col("a")).alias("b"), "f")
-    sums = sums.groupBy("lang", "a", "b").agg(F.sum("f").alias("f"), F.count("*").alias("terms"))
+    of = lambda i: F.element_at("sources", i)
+    # both sources of a pair have the term: numbers, shares and shares of an absent term side by side, so that picking one copies nothing
+    by_cell = lambda f: F.transform("cells", f)
+    vectors = wide.join(langs, "lang").select("lang", by_cell(lambda c: c["i"]).alias("is"), by_cell(lambda c: _share(c["n"], of(c["i"])["of"])).alias("ps"), by_cell(lambda c: of(c["i"])["p0"]).alias("p0s"))
+    vectors = vectors.select("lang", "is", "ps", "p0s", F.posexplode_outer("is").alias("k", "a")).select("lang", "is", "ps", "p0s", "a", F.get("ps", F.col("k")).alias("p"), F.get("p0s", F.col("k")).alias("p0"))
+    both = vectors.select("lang", "is", "ps", "p0s", "a", "p", "p0", F.posexplode_outer(F.transform("ps", lambda q: _term(F.col("p"), q))).alias("at", "f"))
+    q, q0 = F.get("ps", F.col("at")), F.get("p0s", F.col("at"))
+    beyond = F.col("f") - _term(F.col("p"), q0) - _term(F.col("p0"), q) + _term(F.col("p0"), q0)
+    both = both.select("lang", "a", F.get("is", F.col("at")).alias("b"), beyond.alias("f")).where("a <> b").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
+    # one of them has it: this depends on its count there alone, so equal counts are taken together
+    ones = wide.select("lang", F.explode("cells").alias("c")).groupBy("lang", "c.i", "c.n").agg(F.count("*").alias("terms")).join(langs, "lang")
+    ones = ones.select("lang", "terms", of(F.col("i")).alias("a"), _share(F.col("n"), of(F.col("i"))["of"]).alias("p"), F.explode("sources").alias("b")).where("a.i <> b.i")
+    f0 = lambda a, b: _term(F.col(f"{a}.p0"), F.col(f"{b}.p0"))
+    forth = F.struct(F.col("a.i").alias("a"), F.col("b.i").alias("b"), (F.col("terms") * (_term(F.col("p"), F.col("b.p0")) - f0("a", "b"))).alias("f"))
+    back = F.struct(F.col("b.i").alias("a"), F.col("a.i").alias("b"), (F.col("terms") * (_term(F.col("b.p0"), F.col("p")) - f0("b", "a"))).alias("f"))
+    ones = ones.select("lang", F.explode(F.array(forth, back)).alias("x")).groupBy("lang", "x.a", "x.b").agg(F.sum("x.f").alias("f"))
+    sums = both.unionByName(ones).groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
     base = langs.select("lang", "v", "sources", F.explode("sources").alias("a")).select("lang", "v", "a", F.explode("sources").alias("b")).where("a.i <> b.i")
-    base = base.select("lang", "v", (F.col("a.i") - 1).alias("a"), (F.col("b.i") - 1).alias("b"), F.col("a.source").alias("source"), F.col("b.source").alias("item"), _term(F.col("a.p0"), F.col("b.p0")).alias("f0"))
+    base = base.select("lang", "v", F.col("a.source").alias("source"), F.col("b.source").alias("item"), f0("a", "b").alias("f0"), F.col("a.i").alias("a"), F.col("b.i").alias("b"))
     pairs = base.join(sums, ["lang", "a", "b"], "left")
     none = F.lit(0).cast("bigint")
-    value = F.coalesce((F.col("v") - F.coalesce("terms", none)) * F.col("f0") + F.coalesce("f", none), none)
+    value = F.coalesce(F.col("v") * F.col("f0"), none) + F.coalesce("f", none)
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
 
     cells = wide.join(langs, "lang").select("lang", "term", "sources", F.col("lang_n").alias("ln"), "v", "total", F.explode("cells").alias("c"))
