@@ -113,13 +113,16 @@ class Renderer:
             self._forget(role, text)
         turns = [*self.turns, (role, text)]
         after = self.template(turns)
-        probe = self.template([*self.turns, (role, PROBE)])
+        mark = PROBE
+        while mark in after:  # a mark that no text holds
+            mark += PROBE
+        probe = self.template([*self.turns, (role, mark)])
         same = after.startswith(self.before)
         if not same and self.cut:
             raise ValueError("the template changes earlier turns of a conversation that is too long to be rendered again as a whole")
         at = len(self.before) if same else _common(self.before, after)
         piece_from = len(self.before) if same and self.started else 0
-        head, found, tail = probe.partition(PROBE)
+        head, found, tail = probe.partition(mark)
         # the turn's own text is what replaces the probe; none if the template does more than put it in
         inside = bool(found) and after.startswith(head) and after.endswith(tail) and len(head) + len(tail) <= len(after)
         lo, hi = (len(head), len(after) - len(tail)) if inside else (-1, -1)
