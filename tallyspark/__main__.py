@@ -1,5 +1,5 @@
 """python -m tallyspark list | run NAME --tables DIR [--out DIR] | explain NAME --tables DIR
-python -m tallyspark stages | stage MODE --tables DIR --folder DIR [--fresh] | status --folder DIR | estimate --tables DIR [--variants N] | clear DIR
+python -m tallyspark stages | stage MODE --tables DIR --folder DIR [--fresh] | status --folder DIR [--tables DIR] | estimate --tables DIR [--variants N] | clear DIR
 
 MODE is full, stage:x, from:x, to:x or range:a:b."""
 
@@ -26,7 +26,9 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--tables", required=True)
     c.add_argument("--folder", required=True)
     c.add_argument("--fresh", action="store_true", help="run stages again whose outputs are there")
-    sub.add_parser("status").add_argument("--folder", required=True)
+    c = sub.add_parser("status")
+    c.add_argument("--folder", required=True)
+    c.add_argument("--tables", help="tell also which outputs were made from other tables")
     c = sub.add_parser("estimate")
     c.add_argument("--tables", required=True)
     c.add_argument("--variants", type=int, default=0)
@@ -37,19 +39,19 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sorted(catalog.QUERIES)))
         return 0
     if a.command == "stages":
-        for stage in analysis.registry("").stages.values():
+        for stage in analysis.registry().stages.values():
             print(f"{stage.name}: {', '.join(stage.requires) or '-'} -> {', '.join(stage.produces)}")
         return 0
     if a.command == "stage":
-        analysis.registry(a.tables).plan(a.mode)  # a wrong mode ends here
+        analysis.registry().plan(a.mode)  # a wrong mode ends here
     spark = session()
     if a.command == "clear":
         return 0 if stages.clear(spark, a.folder) else 1
     if a.command == "stage":
-        stages.run(spark, analysis.registry(a.tables), a.mode, {}, a.folder, resume=not a.fresh)
+        stages.run(spark, analysis.registry(), a.mode, analysis.sources(spark, a.tables), a.folder, resume=not a.fresh)
         return 0
     if a.command == "status":
-        print("\n".join(f"{name}: {state}" for name, state in analysis.status(spark, analysis.registry(""), a.folder)))
+        print("\n".join(f"{name}: {state}" for name, state in analysis.status(spark, a.folder, a.tables)))
         return 0
     if a.command == "estimate":
         analysis.estimate(spark, a.tables, a.variants, a.extra).show(truncate=False)
