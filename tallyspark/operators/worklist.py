@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sequence
+
 KEY = ("model_id", "scenario_id", "intervention", "prompt_hash")
 
 
@@ -64,10 +66,9 @@ def progress(calls: DataFrame, planned: int) -> DataFrame:
 
 
 def milestones(calls: DataFrame, planned: int, step: float = 0.05, order: str = "seq") -> DataFrame:
-    """(model_id, milestone, seq): the call at which each model passes each ``step`` of the planned calls."""
-    w = Window.partitionBy("model_id").orderBy(order)
-    m = F.floor(F.row_number().over(w) / F.lit(planned * step))
-    x = calls.select("model_id", F.col(order).alias("seq"), m.alias("milestone"))
+    """(model_id, milestone, seq): the call at which each model passes each ``step`` of the planned calls; its calls are numbered by ranges of ``order``."""
+    x = sequence.numbered(calls.select("model_id", F.col(order).alias("seq")), "model_id", "seq")
+    x = x.select("model_id", "seq", F.floor(F.col("position") / F.lit(planned * step)).alias("milestone"))
     return x.where("milestone > 0").groupBy("model_id", "milestone").agg(F.min("seq").alias("seq"))
 
 
@@ -77,14 +78,13 @@ def success_rate(calls: DataFrame) -> DataFrame:
 
 
 def circuit_breaker(calls: DataFrame, most: int = 100, order: str = "seq") -> DataFrame:
-    """By model: longest run of consecutive failures, whether that drops it, and the call at which it does."""
-    w = Window.partitionBy("model_id").orderBy(order)
-    island = F.sum(1 - F.col("failed")).over(w)
-    x = calls.withColumn("__island", island).where("failed = 1")
-    x = x.withColumn("__run", F.row_number().over(Window.partitionBy("model_id", "__island").orderBy(order)))
-    runs = x.groupBy("model_id").agg(F.max("__run").alias("longest"), F.min(F.when(F.col("__run") == most, F.col(order))).alias("dropped_at"))
-    out = calls.select("model_id").distinct().join(runs, "model_id", "left")
-    return out.select("model_id", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce(F.col("longest") >= most, F.lit(False)).alias("dropped"), "dropped_at")
+    """By model: longest run of consecutive failures, whether that drops it, and the call at which it does.
+
+    Runs are found in ranges of ``order`` and joined up across them, so no task sees all calls of a model.
+    """
+    x = sequence.runs(calls.select("model_id", F.col(order).alias("seq"), "failed"), "model_id", "seq", "failed")
+    longest = F.max("run").cast("int")
+    return x.groupBy("model_id").agg(longest.alias("longest"), (longest >= most).alias("dropped"), F.min(F.when(F.col("run") == most, F.col("seq"))).alias("dropped_at"))
 
 
 def cost_estimate(config: DataFrame, per_call: float = 0.0008) -> DataFrame:

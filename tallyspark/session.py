@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,14 +21,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as a checkpoint in the folder that spark.checkpoint.dir names, for plans that read it several times.
+    """``df`` computed once, for plans that read it several times and rely on the same rows in the same partitions.
 
-    Where none is named, a local session gets a temporary folder; on a cluster ``df`` stays as it is and is computed as often as it is read.
+    It is a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder. On a
+    cluster where none is named it is persisted on the executors instead: what a lost one held is computed again from the same plan.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            return df
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
