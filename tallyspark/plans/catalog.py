@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, worklist
+from ..operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, splitting, worklist
 from ..sources import arrays
 from ..sources import bindings as B
 from ..sources.bindings import with_views
@@ -743,6 +743,47 @@ SELECT round(max(d0), 6) AS difference, round(avg((abs(d) >= abs(d0) - 1e-12)::i
         return resampling.hash_permutation(rows, "g", "v", "key", "1", "0", statistic=st)
 
 
+#: Statistics and the measure each is taken of, by trees of value counts.
+_TREE = (("mean", "confidence"), ("std", "confidence"), ("median", "latency_ms"))
+_TREE_SQL = {"mean": "avg", "std": "stddev_pop", "median": "median"}
+
+
+def _tree_intervals(s, d, draws):
+    rows, out = B.predictions(s, d), None
+    for st, v in _TREE:
+        x = splitting.value_interval(rows, ["model_id"], v, st, draws).withColumn("statistic", F.lit(st))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _tree_relabelling(s, d, rounds):
+    rows, out = B.predictions(s, d), None
+    for st, v in _TREE:
+        x = splitting.relabelled(rows, "power_relation", v, "peer", "lower_to_higher", st, rounds).withColumn("statistic", F.lit(st))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("tree_intervals")
+def _(s, d):
+    return _tree_intervals(s, d, 200)
+
+
+@query("tree_intervals_exact", PRED + " UNION ALL ".join(f"SELECT model_id, '{st}' AS statistic, round({_TREE_SQL[st]}({v}::double), 4) AS estimate FROM pred GROUP BY model_id" for st, v in _TREE))
+def _(s, d):
+    return _tree_intervals(s, d, 2).select("model_id", "statistic", F.round("estimate", 4).alias("estimate"))
+
+
+@query("tree_relabelling")
+def _(s, d):
+    return _tree_relabelling(s, d, 200)
+
+
+@query("tree_relabelling_exact", PRED + " UNION ALL ".join(f"SELECT '{st}' AS statistic, count(*) FILTER (power_relation = 'peer') AS n_a, count(*) FILTER (power_relation = 'lower_to_higher') AS n_b, round({_TREE_SQL[st]}({v}::double) FILTER (power_relation = 'peer') - {_TREE_SQL[st]}({v}::double) FILTER (power_relation = 'lower_to_higher'), 4) AS difference FROM pred" for st, v in _TREE))
+def _(s, d):
+    return _tree_relabelling(s, d, 2).select("statistic", "n_a", "n_b", F.round("difference", 4).alias("difference"))
+
+
 @query("relabelled_means")
 def _(s, d):
     return resampling.relabelled_means(B.predictions(s, d), "power_relation", "latency_ms", "peer", "lower_to_higher", 200)

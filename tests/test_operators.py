@@ -2,13 +2,15 @@
 
 import math
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import labels as L
 from tallyspark.functions.distributions import chi2_sf, pearson_p, t_sf
-from tallyspark.operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, worklist
+from tallyspark.operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, sequence, splitting, worklist
 from tallyspark.sources import bindings
 
 
@@ -318,12 +320,111 @@ class TestQuality:
         assert names(quality.retry_filter(items, rates, limit=0.9)) == ["a", "b", "c"]
 
 
+class TestSplitting:
+    """Trees of value counts against theory and literal resampling."""
+
+    def test_keys_keep_the_order(self):
+        v = np.array([-math.inf, -3.5, -1e-300, 0.0, 5e-324, 1.0, 1e300, math.inf])
+        k = splitting._keys(v)
+        assert (np.diff(k) > 0).all() and (splitting._values(k) == v).all()
+
+    @pytest.mark.parametrize("leaf", [1024, 2])
+    def test_the_data_itself(self, spark, leaf, monkeypatch):
+        """Draw 0 gives each group's own statistic, in trees of any depth; nulls, negative, equal and single values."""
+        monkeypatch.setattr(splitting, "LEAF", leaf)
+        rng = random.Random(1)
+        rows = [(rng.choice(["a", "b", None]), rng.choice([None, -1.5, 0.0, -0.0, 2.25, rng.gauss(0, 1)])) for _ in range(400)] + [("one", 7.0), ("none", None)]
+        df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+        by = defaultdict(list)
+        for g, v in rows:
+            if v is not None:
+                by[g].append(v)
+        for name, f in (("mean", np.mean), ("std", np.std), ("median", np.median)):
+            boot = splitting.resampled(df, ["g"], "v", name, 20)
+            got = {r.g: r.boot_mean for r in boot.where("draw = 0").collect()}
+            assert set(got) == set(by) and all(math.isclose(got[g], f(x), abs_tol=1e-9) for g, x in by.items())
+            if name != "median":
+                continue
+            again = sorted((str(r.g), r.draw, round(r.boot_mean, 9)) for r in splitting.resampled(df.orderBy("v").repartition(5), ["g"], "v", name, 20).collect())
+            assert again == sorted((str(r.g), r.draw, round(r.boot_mean, 9)) for r in boot.collect()) and len(again) == 21 * len(by)
+
+    def test_widths_of_a_million_rows(self, spark):
+        n = 1_000_000
+        df = spark.range(n).select(((F.col("id") * 7919 % n + 0.5) / n).alias("v"))
+        for name, error in (("mean", math.sqrt(1 / 12 / n)), ("median", 0.5 / math.sqrt(n)), ("std", math.sqrt((1 / 80 - 1 / 144) / (4 / 12) / n))):
+            if name != "median":  # sums meet every value: fewer values, each a thousand times
+                df = spark.range(n).select(((F.col("id") % 1000 + 0.5) / 1000).alias("v"))
+            if name == "median":
+                df = spark.range(n).select(((F.col("id") * 7919 % n + 0.5) / n).alias("v"))
+            r = one(splitting.value_interval(df, [], "v", name, 800))
+            assert math.isclose(r.ci_upper - r.ci_lower, 2 * 1.96 * error, rel_tol=0.15) and r.ci_lower < r.estimate < r.ci_upper
+
+    @pytest.mark.parametrize("statistic", ["mean", "median", "std"])
+    def test_relabelling_against_literal_shuffles(self, spark, statistic):
+        rng = np.random.default_rng(5)
+        a, b = np.round(rng.normal(0.35, 1, 60), 1), np.round(rng.normal(0, 1.3, 45), 1)
+        f = {"mean": np.mean, "median": np.median, "std": np.std}[statistic]
+        both, seen = np.r_[a, b], f(a) - f(b)
+        hits = 0
+        for _ in range(4000):
+            x = rng.permutation(both)
+            hits += abs(f(x[:60]) - f(x[60:])) >= abs(seen) - 1e-12
+        df = spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("c", 9.0), ("a", None)], "g string, v double")
+        r = one(splitting.relabelled(df, "g", "v", "a", "b", statistic, 2000))
+        assert (r.n_a, r.n_b) == (60, 45) and math.isclose(r.difference, seen, abs_tol=1e-9)
+        p = hits / 4000
+        assert abs(r.p_value - p) < 4 * math.sqrt(max(p * (1 - p), 0.002) * (1 / 2000 + 1 / 4000))
+        empty = one(splitting.relabelled(df, "g", "v", "a", "nobody", statistic, 10))
+        assert (empty.n_a, empty.n_b, empty.difference, empty.p_value) == (60, 0, None, None)
+
+    def test_large_counts_by_their_limit(self):
+        x = splitting._half(np.random.default_rng(1), np.full(4000, 3 * 10**9), 4 * 10**9, 6 * 10**9, False)
+        spread = math.sqrt(3e9 * 0.4 * 0.6 * 7 / 10)
+        assert abs(x.mean() - 1.2e9) < 5 * spread / math.sqrt(4000) and math.isclose(x.std(), spread, rel_tol=0.1)
+
+    def test_no_row_is_copied(self, spark):
+        """Nothing between the rows and their counts but one aggregation."""
+        df = spark.range(100).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+        plan = splitting.value_counts(df, F.struct("g"), "v", F.lit(True))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan and "Generate" not in plan and "Window" not in plan and "Join" not in plan
+
+
 class TestWork:
     def test_breaker(self, spark):
         rows = [("m", i, int(i in (2, 3, 4, 8, 9))) for i in range(12)] + [("n", 0, 0)]
         got = {r.model_id: (r.longest, r.dropped, r.dropped_at) for r in worklist.circuit_breaker(spark.createDataFrame(rows, "model_id string, seq int, failed int"), 3).collect()}
         assert got == {"m": (3, True, 4), "n": (0, False, None)}
 
+    @pytest.mark.parametrize("parts", [1, 3, 16])
+    def test_runs_join_up_across_ranges(self, spark, parts):
+        """Long runs over many ranges, one key with nearly all rows, null keys, flags and orders, equal orders."""
+        rng = random.Random(parts)
+        rows = [("hot", i, int(rng.random() < 0.9 or 300 < i < 700)) for i in range(1500)] + [("all", i, 1) for i in range(200)] + [("none", i, 0) for i in range(5)]
+        rows += [(None, i, rng.choice([0, 1, None])) for i in range(30)] + [("tied", 7, f) for f in (1, 0, 1, 1)] + [("tied", None, 1)]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "k string, o int, f int").repartition(5)
+        by = defaultdict(list)
+        for r in rows:
+            by[r[0]].append(r)
+        runs, places = [], []
+        for k, x in by.items():
+            run = 0
+            for i, (_, o, f) in enumerate(sorted(x, key=lambda r: (r[1] is not None, r[1] or 0, bool(r[2])))):
+                run = run + 1 if f else 0
+                runs.append((str(k), str(o), str(f), run))
+                places.append((str(k), str(o), i + 1))
+        got = [(str(r.k), str(r.o), str(r.f), r.run) for r in sequence.runs(df, "k", "o", "f", parts).collect()]
+        assert sorted((k, o, f == "1", n) for k, o, f, n in got) == sorted((k, o, f == "1", n) for k, o, f, n in runs)
+        got = [(str(r.k), str(r.o), r.position) for r in sequence.numbered(df, "k", "o", ("f",), parts).collect()]
+        assert sorted(got) == sorted(places)
+
+    def test_no_window_over_all_calls_of_a_model(self, spark):
+        calls = spark.createDataFrame([("m", i, i % 2) for i in range(40)], "model_id string, seq int, failed int")
+        for df in (worklist.circuit_breaker(calls, 2), worklist.milestones(calls, 100)):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            windows = [line for line in plan.split("\n") if "Window [" in line]
+            assert windows and all("__p#" in line for line in windows)
+
     def test_zip(self, spark):
         a = spark.createDataFrame([(i, f"a{i}") for i in range(0, 50, 2)], "x int, n string").repartition(4)
         b = spark.createDataFrame([(i, f"b{i}") for i in range(20)], "y int, m string").repartition(3)
