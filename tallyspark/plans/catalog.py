@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, splitting, worklist
-from ..sources import arrays
+from ..sources import arrays, files, readers
 from ..sources import bindings as B
 from ..sources.bindings import with_views
 
@@ -913,3 +913,40 @@ def _(s, d):
 @query("mock_predict")
 def _(s, d):
     return worklist.mock_predictions(B.prompts(s, d).select("id", F.col("text").alias("prompt")), L.EMOTIONS).groupBy("emotion").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
+
+
+# --- files: written from the tables, read back by the readers
+
+
+_FILED = """WITH f AS (SELECT *, 'm' || (s_nationkey % 4) AS model_dir, CASE WHEN s_suppkey % 10 = 0 THEN 'trust' WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'joy' WHEN s_suppkey % 3 = 1 THEN 'fear' ELSE 'anger' END AS emotion, CASE WHEN s_suppkey % 7 = 0 THEN 'not JSON' WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN 'no label' END AS problem FROM supplier)
+"""
+
+
+@query("scan_predictions", _FILED + "SELECT model_dir, emotion, count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS succeeded, round(sum((s_suppkey % 100) / 100.0::double), 4) AS confidence, round(sum(s_acctbal::double), 4) AS latency_ms FROM f WHERE problem IS NULL GROUP BY ALL")
+def _(s, d):
+    x = files.scan_predictions(s, B.stored(s, B.prediction_files(s, d), "predictions")).where("problem is null")
+    return x.groupBy("model_dir", "emotion").agg(F.count("*").alias("n"), F.count_if("success").alias("succeeded"), F.round(F.sum("confidence"), 4).alias("confidence"), F.round(F.sum("latency_ms"), 4).alias("latency_ms"))
+
+
+@query("scan_quarantine", _FILED + "SELECT model_dir, 's_' || s_suppkey AS file_stem, problem FROM f WHERE problem IS NOT NULL")
+def _(s, d):
+    return files.quarantined(files.scan_predictions(s, B.stored(s, B.prediction_files(s, d), "predictions")))
+
+
+_GOLD = """WITH g AS (SELECT 'sub' || (s_nationkey % 5) AS subtype, CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_suppkey::varchar END AS id, CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE 'He said "well",' || chr(10) || 'again: ' || s_name END AS utterance, CASE WHEN s_suppkey % 2 = 0 THEN 'joy' ELSE 'anger' END AS gold FROM supplier)
+"""
+
+
+@query("gold_csv", _GOLD + "SELECT subtype || '_' || id AS id, subtype, utterance, 'higher_to_lower' AS power_relation FROM g WHERE id <> '' AND utterance <> ''")
+def _(s, d):
+    return readers.gold_scenarios(s, B.stored(s, B.gold_files(s, d), "gold")).select("id", "subtype", "utterance", "power_relation")
+
+
+@query("gold_csv_labels", _GOLD + "SELECT subtype || '_' || id AS scenario_id, gold FROM g WHERE id <> '' AND utterance <> ''")
+def _(s, d):
+    return readers.gold_labels(readers.gold_scenarios(s, B.stored(s, B.gold_files(s, d), "gold")))
+
+
+@query("gold_csv_quarantine", _GOLD + "SELECT 'aggregate_' || subtype || '.csv' AS file, id, CASE WHEN id = '' THEN 'no id' ELSE 'no utterance' END AS reason FROM g WHERE id = '' OR utterance = ''")
+def _(s, d):
+    return readers.gold_quarantine(s, B.stored(s, B.gold_files(s, d), "gold"))

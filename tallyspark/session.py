@@ -20,16 +20,21 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, for plans that read it several times and rely on the same rows in the same partitions.
-
-    It is a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder. On a
-    cluster where none is named it is persisted on the executors instead: what a lost one held is computed again from the same plan.
-    """
-    sc = df.sparkSession.sparkContext
+def scratch(spark: SparkSession) -> str | None:
+    """The folder that spark.checkpoint.dir names; a local session without one gets a temporary folder, a cluster None."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            return None
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for plans that read it several times and rely on the same rows in the same partitions.
+
+    It is a checkpoint in the session's ``scratch`` folder. On a cluster where none is named it is
+    persisted on the executors instead: what a lost one held is computed again from the same plan.
+    """
+    return df.checkpoint() if scratch(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)

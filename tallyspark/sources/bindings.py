@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from .files import write_files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -130,6 +135,42 @@ SQL = {
 }
 
 
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): a stored prediction for each supplier, some torn, some without a label, one manifest for each model."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").cast("double").alias("balance"))
+    key, model = F.col("s_suppkey"), F.concat(F.lit("m"), (F.col("s_nationkey") % 4).cast("string"))
+    label = F.when(key % 3 == 0, "joy").when(key % 3 == 1, "fear").otherwise("anger")
+    inner = F.struct(F.lit("deflection").alias("subtype"), F.when(key % 5 != 0, label).alias("emotion"), ((key % 100) / 100).alias("confidence"))
+    told = F.to_json(F.struct(F.concat(F.lit("s_"), key.cast("string")).alias("scenario_id"), model.alias("model_id"), (key % 2 == 0).alias("success"), inner.alias("prediction"), F.when(key % 10 == 0, "trust").alias("predicted_emotion"), F.col("balance").alias("latency_ms")))
+    content = F.when(key % 7 == 0, F.substring(told, 1, 20)).otherwise(told)
+    files = s.select(F.concat(model, F.lit("/s_"), key.cast("string"), F.lit(".json")).alias("name"), content.alias("content"))
+    return files.unionByName(s.select(F.concat(model, F.lit("/batch_manifest.json")).alias("name"), F.lit("{}").alias("content")).distinct())
+
+
+def gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): an annotation file for each of five subtypes, a row for each supplier, some without id or utterance; and an answer key."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    key = F.col("s_suppkey")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    utterance = F.when(key % 11 == 0, "  ").otherwise(F.concat(F.lit(" He said \"well\",\nagain: "), "s_name", F.lit(" ")))
+    fields = [F.when(key % 13 == 0, "").otherwise(key.cast("string")), utterance, F.lit("senior manager"), F.lit("intern"), F.when(key % 2 == 0, " Joy ").otherwise("anger")]
+    line = F.concat_ws(",", *[quoted(f) for f in fields])
+    lines = s.groupBy((F.col("s_nationkey") % 5).alias("k")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+    head = F.lit("id,sd_utterance,sd_speaker_role,sd_listener_role,gold_standard\n")
+    files = lines.select(F.concat(F.lit("aggregate_sub"), F.col("k").cast("string"), F.lit(".csv")).alias("name"), F.concat(head, F.array_join("x", "\n"), F.lit("\n")).alias("content"))
+    return files.unionByName(lines.limit(1).select(F.lit("aggregate_answer_key.csv").alias("name"), F.concat(head, F.lit("9,x,a,b,joy\n")).alias("content")))
+
+
+def stored(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """Write rows (name, content) as files of a new folder in the session's scratch folder; its path."""
+    folder = scratch(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    write_files(files, path)
+    return path
+
+
 def with_views(*names: str, more: str = "") -> str:
     """The WITH clause that defines these views (and more CTEs)."""
     return "WITH " + ",\n".join([SQL[n] for n in names] + ([more] if more else [])) + "\n"

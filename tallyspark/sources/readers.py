@@ -47,6 +47,18 @@ def gold_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gold_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, id, reason) of the rows that ``gold_scenarios`` leaves out or can't read: no id, no utterance, or more fields than the header."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("pathGlobFilter", "aggregate_*.csv")
+    columns = reader.csv(folder).columns
+    bad = "__bad"
+    raw = reader.schema(", ".join(f"`{c}` string" for c in [*columns, bad])).option("columnNameOfCorruptRecord", bad).csv(folder)
+    t = lambda c: F.coalesce(F.trim(c), F.lit("")) if c in columns else F.lit("")
+    reason = F.when(F.col(bad).isNotNull(), "malformed").when(t("id") == "", "no id").when(t("sd_utterance") == "", "no utterance")
+    found = raw.select(F.col("_metadata.file_name").alias("file"), t("id").alias("id"), reason.alias("reason"))
+    return found.where("reason is not null").where(~F.col("file").rlike("key|flagged"))
+
+
 def gold_labels(scenarios: DataFrame) -> DataFrame:
     return scenarios.select(F.col("id").alias("scenario_id"), F.lower(F.trim("gold_emotion")).alias("gold")).where("gold <> ''")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import quality
 from tallyspark.plans import catalog, stages
-from tallyspark.sources import arrays, readers
+from tallyspark.sources import arrays, files, readers
 from tallyspark.streaming import breaker
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -97,6 +97,74 @@ def test_stage_modes_and_resume(spark, tmp_path):
     assert stages.clear(spark, folder)
 
 
+class TestFiles:
+    def tree(self, spark, top, models=("a", "b", "c")):
+        good = json.dumps({"scenario_id": "s", "success": True, "prediction": {"emotion": "joy", "confidence": 1, "valence": "high"}, "latency_ms": True})
+        rows = [(f"{m}/s_{i}.json", good) for m in models for i in range(3)]
+        rows += [("a/top.json", '{"predicted_emotion": "fear", "prediction": null}'), ("a/torn.json", '{"prediction": {'), ("b/list.json", "[1]"), ("b/empty.json", None), ("c/none.json", "{}"), ("c/stats.json", "{}"), ("c/notes.txt", "x"), ("d.json", good)]
+        files.write_files(spark.createDataFrame(rows, "name string, content string").repartition(3), top)
+
+    def test_scan(self, spark, tmp_path):
+        top = str(tmp_path / "tree")
+        self.tree(spark, top)
+        assert (tmp_path / "tree/_SUCCESS").exists() and not list((tmp_path / "tree").glob("_staged*"))
+        found = files.scan_predictions(spark, top)
+        rows = {(r.model_dir, r.file_stem): r for r in found.collect()}
+        assert len(rows) == 9 + 5
+        r = rows["a", "s_1"]
+        assert (r.emotion, r.confidence, r.valence, r.latency_ms, r.success, r.problem) == ("joy", 1.0, None, None, True, None) and rows["a", "top"].emotion == "fear"
+        assert {(r.file_stem, r.problem) for r in files.quarantined(found).collect()} == {("torn", "not JSON"), ("list", "not an object"), ("empty", "not JSON"), ("none", "no label")}
+        files.write_files(spark.createDataFrame([("z/s_1.json", "{}")], "name string, content string"), top, "overwrite")
+        assert [r.model_dir for r in files.scan_predictions(spark, top).collect()] == ["z"]
+        (tmp_path / "nothing").mkdir()
+        assert files.scan_predictions(spark, str(tmp_path / "nothing")).count() == 0
+
+    @pytest.mark.parametrize(("condition", "want"), [("model_dir = 'b'", {"b"}), ("model_dir in ('a', 'c', 'x')", {"a", "c"}), ("model_dir in ('a', 'b') and model_dir = 'b' and emotion = 'joy'", {"b"}), ("model_dir > 'a'", {"b", "c"}), ("model_dir = '..'", set())])
+    def test_conditions_on_the_model(self, spark, tmp_path, condition, want):
+        self.tree(spark, str(tmp_path / "t"))
+        found = files.scan_predictions(spark, str(tmp_path / "t")).where(condition)
+        assert {r.model_dir for r in found.collect()} == want
+
+    def test_only_asked_folders_are_listed(self, spark, tmp_path, monkeypatch):
+        from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+        self.tree(spark, str(tmp_path))
+        listed, real = [], files._open
+
+        class Watching:
+            def __init__(self, store):
+                self.store = store
+
+            def __getattr__(self, name):
+                return getattr(self.store, name)
+
+            def get_file_info(self, what):
+                if not isinstance(what, list):
+                    listed.append(what.base_dir.rsplit("/", 1)[-1])
+                return self.store.get_file_info(what)
+
+        monkeypatch.setattr(files, "_open", lambda path: (Watching(real(path)[0]), real(path)[1]))
+        reader = files.PredictionReader(str(tmp_path))
+        other = GreaterThan(("confidence",), 0.5)
+        assert list(reader.pushFilters([In(("model_dir",), ("a", "c")), other, EqualTo(("model_dir",), "c")])) == [other]
+        assert [p.model_dir for p in reader.partitions()] == ["c"] and listed == ["c"]
+        monkeypatch.setattr(files, "FILES", 2)
+        assert [len(p.files) for p in reader.partitions()] == [2, 2]
+
+    def test_writes_are_whole_or_absent(self, spark, tmp_path):
+        top = str(tmp_path / "t")
+        for bad in ("../out.json", "/abs.json", ""):
+            with pytest.raises(Exception, match="not a name"):
+                files.write_files(spark.createDataFrame([("good.json", "1"), (bad, "2")], "name string, content string").coalesce(1), top)
+            assert not (tmp_path / "t/good.json").exists() and not list(tmp_path.glob("t/_staged*")) and not (tmp_path / "t/_SUCCESS").exists()
+
+    def test_gold_quarantine(self, spark, tmp_path):
+        (tmp_path / "aggregate_x.csv").write_text('id,sd_utterance\n1,fine\n,no one\n3,\n4,a,b,c\n"5","two\nlines"\n')
+        (tmp_path / "aggregate_key.csv").write_text("id,sd_utterance\n,x\n")
+        got = sorted((r.file, r.id, r.reason) for r in readers.gold_quarantine(spark, str(tmp_path)).collect())
+        assert got == [("aggregate_x.csv", "", "no id"), ("aggregate_x.csv", "3", "no utterance"), ("aggregate_x.csv", "4", "malformed")]
+
+
 class TestResume:
     """What a stage was made from decides whether it runs again."""
 
