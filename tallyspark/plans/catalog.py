@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, splitting, worklist
-from ..sources import arrays, files, readers
+from ..sources import arrays, files, readers, store
 from ..sources import bindings as B
 from ..sources.bindings import with_views
 
@@ -267,11 +267,33 @@ def _versions(s, d, odd):
     return e.select(F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("model_id"), (F.col("event_id") % 300).alias("scenario_id"), F.when(F.col("event_id") % 3 == 0, "INT-3").alias("intervention"), F.lit(None).cast("string").alias("prompt_hash"), F.col("ts").alias("cached_at"), F.col("event_type").alias("response"))
 
 
-@query("cache_upsert", "SELECT model_id, scenario_id, intervention, NULL::varchar AS prompt_hash, epoch_us(cached_at) AS cached_at, response FROM (SELECT 'm' || (user_id % 5)::varchar AS model_id, event_id % 300 AS scenario_id, CASE WHEN event_id % 3 = 0 THEN 'INT-3' END AS intervention, ts AS cached_at, event_type AS response FROM events) QUALIFY row_number() OVER (PARTITION BY model_id, scenario_id, intervention ORDER BY cached_at DESC, response DESC) = 1")
+_LATEST = "SELECT model_id, scenario_id, intervention, NULL::varchar AS prompt_hash, epoch_us(cached_at) AS cached_at, response FROM (SELECT 'm' || (user_id % 5)::varchar AS model_id, event_id % 300 AS scenario_id, CASE WHEN event_id % 3 = 0 THEN 'INT-3' END AS intervention, ts AS cached_at, event_type AS response FROM events) QUALIFY row_number() OVER (PARTITION BY model_id, scenario_id, intervention ORDER BY cached_at DESC, response DESC) = 1"
+
+
+@query("cache_upsert", _LATEST)
 def _(s, d):
     return worklist.upsert(_versions(s, d, False), _versions(s, d, True)).withColumn("cached_at", F.unix_micros(F.col("cached_at").cast("timestamp")))
 
 
+def _cache_store(s, d):
+    """The cache stored in versions: the even events, then the odd ones in two upserts."""
+    folder, odd = B.new_folder(s, "cache"), _versions(s, d, True)
+    for part in (_versions(s, d, False), odd.where("scenario_id < 100"), odd.where("scenario_id >= 100")):
+        store.upsert(part, folder, worklist.upsert, list(worklist.KEY))
+    return folder
+
+
+@query("cache_store", _LATEST)
+def _(s, d):
+    return store.read(s, _cache_store(s, d)).withColumn("cached_at", F.unix_micros(F.col("cached_at").cast("timestamp")))
+
+
+@query("cache_store_lookup", "SELECT l.* FROM (" + _LATEST + ") l SEMI JOIN (SELECT 'm' || (l_suppkey % 5)::varchar AS model_id, l_orderkey % 400 AS scenario_id, CASE WHEN l_linenumber = 1 THEN 'INT-3' END AS intervention FROM lineitem) w ON l.model_id = w.model_id AND l.scenario_id = w.scenario_id AND l.intervention IS NOT DISTINCT FROM w.intervention")
+def _(s, d):
+    wanted = B.table(s, d, "lineitem").select(F.concat(F.lit("m"), (F.col("l_suppkey") % 5).cast("string")).alias("model_id"), (F.col("l_orderkey") % 400).alias("scenario_id"), F.when(F.col("l_linenumber") == 1, "INT-3").alias("intervention"), F.lit(None).cast("string").alias("prompt_hash"))
+    return store.lookup(wanted, _cache_store(s, d)).withColumn("cached_at", F.unix_micros(F.col("cached_at").cast("timestamp")))
+
+
 @query("repair_join", RESP + "SELECT m.scenario_id, m.model_id, r.scenario_id IS NOT NULL AS found, count(*) AS n FROM (SELECT 's' || (o_orderkey % 1100)::varchar AS scenario_id, 'm' || (o_orderkey % 8)::varchar AS model_id FROM orders) m LEFT JOIN (SELECT DISTINCT scenario_id, model_id FROM responses) r USING (scenario_id, model_id) GROUP BY ALL")
 def _(s, d):
     m = B.table(s, d, "orders").select(F.concat(F.lit("s"), (F.col("o_orderkey") % 1100).cast("string")).alias("scenario_id"), F.concat(F.lit("m"), (F.col("o_orderkey") % 8).cast("string")).alias("model_id"))

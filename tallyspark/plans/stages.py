@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructField
 
+from ..sources.store import drop, exists, get_json, put_json
+
 #: The file beside a stage's outputs that says what they were made from.
 RECORD = "_made_from.json"
 Step = Callable[[SparkSession, dict[str, DataFrame]], dict[str, DataFrame]]
@@ -61,16 +63,6 @@ class Registry:
         return names[a : b + 1]
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
-
-
 def _hashable(f: StructField) -> Column:
     """A column as it can be hashed: maps have no hash and no order, so what holds one goes by its entries or its JSON."""
     c = F.col(f"`{f.name}`")
@@ -92,33 +84,15 @@ def fingerprint(df: DataFrame) -> dict:
 
 def record(spark: SparkSession, folder: str, stage: str) -> dict | None:
     """What is known of a stage's last whole run: fingerprints of its inputs and outputs, its settings and the mode; None if there was none."""
-    fs, p = _path(spark, f"{folder}/{stage}/{RECORD}")
-    if not fs.exists(p):
-        return None
-    stream = spark._jvm.java.util.Scanner(fs.open(p), "UTF-8").useDelimiter("\\A")
-    try:
-        return json.loads(stream.next()) if stream.hasNext() else None
-    except ValueError:
-        return None  # as if it had never run
-    finally:
-        stream.close()
+    return get_json(spark, f"{folder}/{stage}/{RECORD}")
 
 
 def _put_record(spark: SparkSession, folder: str, stage: str, found: dict | None) -> None:
     """The record is there as a whole or not at all: it is renamed into place, after the outputs are written."""
-    fs, p = _path(spark, f"{folder}/{stage}/{RECORD}")
-    if fs.exists(p):
-        fs.delete(p, False)
-    if found is None:
-        return
-    _, part = _path(spark, f"{folder}/{stage}/{RECORD}.part")
-    out = fs.create(part, True)
-    try:
-        out.write(bytearray(json.dumps(found, sort_keys=True).encode()))
-    finally:
-        out.close()
-    if not fs.rename(part, p):
-        raise OSError(f"can't rename {part} to {p}")
+    path = f"{folder}/{stage}/{RECORD}"
+    drop(spark, path)
+    if found is not None:
+        put_json(spark, path, found)
 
 
 def _whole(spark: SparkSession, folder: str, stage: Stage) -> bool:
@@ -199,5 +173,4 @@ def run(spark: SparkSession, registry: Registry, mode: str, inputs: dict[str, Da
 
 def clear(spark: SparkSession, folder: str) -> bool:
     """Remove the checkpoints of a run."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return drop(spark, folder)

@@ -161,12 +161,17 @@ def gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(lines.limit(1).select(F.lit("aggregate_answer_key.csv").alias("name"), F.concat(head, F.lit("9,x,a,b,joy\n")).alias("content")))
 
 
-def stored(spark: SparkSession, files: DataFrame, name: str) -> str:
-    """Write rows (name, content) as files of a new folder in the session's scratch folder; its path."""
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the session's scratch folder."""
     folder = scratch(spark)
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """Write rows (name, content) as files of a new folder; its path."""
+    path = new_folder(spark, name)
     write_files(files, path)
     return path
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import quality
 from tallyspark.plans import catalog, stages
-from tallyspark.sources import arrays, files, readers
+from tallyspark.sources import arrays, files, readers, store
 from tallyspark.streaming import breaker
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -165,6 +165,66 @@ class TestFiles:
         assert got == [("aggregate_x.csv", "", "no id"), ("aggregate_x.csv", "3", "no utterance"), ("aggregate_x.csv", "4", "malformed")]
 
 
+class TestStore:
+    KEY = ["k", "g"]
+
+    def latest(self, old, new):
+        both = old.unionByName(new).groupBy(*self.KEY).agg(F.max(F.struct("at", "v")).alias("x"))
+        return both.select(*self.KEY, "x.at", "x.v")
+
+    def rows(self, spark, n, at, every=1):
+        return spark.range(0, n, every).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "g").alias("g"), F.lit(at).alias("at"), F.concat(F.lit(f"v{at}-"), F.col("id")).alias("v"))
+
+    def test_only_touched_buckets_change(self, spark, tmp_path):
+        folder = str(tmp_path / "s")
+        assert store.upsert(self.rows(spark, 500, 1), folder, self.latest, self.KEY, 16) == 1
+        before = store.manifest(spark, folder)
+        assert len(before["parts"]) == 16
+        two = self.rows(spark, 500, 2).where("k in (7, 9)")
+        assert store.upsert(two, folder, self.latest, self.KEY) == 2
+        after = store.manifest(spark, folder)
+        changed = {b for b in after["parts"] if after["parts"][b] != before["parts"][b]}
+        assert 1 <= len(changed) <= 2
+        got = {r.k: r.v for r in store.read(spark, folder).collect()}
+        assert len(got) == 500 and got[7] == "v2-7" and got[9] == "v2-9" and got[8] == "v1-8"
+        assert {r.v[:3] for r in store.read(spark, folder, 1).collect()} == {"v1-"}  # the version before is still there
+        assert store.upsert(two.where("false"), folder, self.latest, self.KEY) == 2
+        older = self.rows(spark, 520, 0)
+        assert store.upsert(older, folder, self.latest, self.KEY) == 3 and store.read(spark, folder).where("at = 0").count() == 20
+        gone = store.vacuum(spark, folder)
+        assert len(gone) == 16 + len(changed) and store.read(spark, folder).count() == 520 and store.versions(spark, folder) == [3]
+        with pytest.raises(ValueError):
+            store.read(spark, folder, 1)
+        with pytest.raises(ValueError):
+            store.upsert(two, folder, self.latest, ["k"])
+
+    def test_failed_and_rival_commits(self, spark, tmp_path):
+        folder = str(tmp_path / "s")
+        store.commit(self.rows(spark, 50, 1), folder, self.KEY, 4)
+
+        def broken(old, new):
+            return old.unionByName(new).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+
+        with pytest.raises(Exception, match="lost"):
+            store.upsert(self.rows(spark, 50, 2), folder, broken, self.KEY)
+        assert store.versions(spark, folder) == [1] and {r["at"] for r in store.read(spark, folder).collect()} == {1}
+        store.upsert(self.rows(spark, 50, 3), folder, self.latest, self.KEY)
+        with pytest.raises(FileExistsError):
+            store.put_json(spark, f"{folder}/_versions/000000002.json", {})
+        assert store.manifest(spark, folder)["version"] == 2 and not list((tmp_path / "s/_versions").glob("*.part*"))
+
+    def test_lookup(self, spark, tmp_path):
+        folder = str(tmp_path / "s")
+        store.commit(self.rows(spark, 300, 1), folder, self.KEY, 8)
+        wanted = spark.createDataFrame([(3, "g"), (4, None), (5, "g"), (999, None), (4, None), (None, None)], "k long, g string")
+        assert sorted(r.k for r in store.lookup(wanted, folder).collect()) == [3, 4]
+        assert store.lookup(wanted.where("false"), folder).count() == 0
+        one = store.lookup(wanted.where("k = 3"), folder)
+        assert len(one.inputFiles()) == 1  # of eight buckets
+        with pytest.raises(ValueError):
+            store.read(spark, str(tmp_path / "none"))
+
+
 class TestResume:
     """What a stage was made from decides whether it runs again."""
 
