@@ -4,20 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import chi2_sf, pearson_p
+from ..functions import tails
 
 
 def with_p(stats: DataFrame, statistic: str = "chi2", df: str = "df") -> DataFrame:
-    """Adds p_value of a chi-square statistic to aggregated rows."""
-
-    @F.pandas_udf("double")
-    def p(x: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(float(a), int(b)) if a == a and b > 0 else 1.0 for a, b in zip(x, d)])
-
-    return stats.withColumn("p_value", p(F.col(statistic), F.col(df)))
+    """Adds p_value of a chi-square statistic; 1 where there is no statistic or no degree of freedom."""
+    return stats.withColumn("p_value", F.coalesce(tails.chi2_p(statistic, df), F.lit(1.0)))
 
 
 def chi2_contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -110,14 +105,19 @@ def benjamini_hochberg(p_values: DataFrame, alpha: float = 0.05, p: str = "p", t
     return ranked.withColumn("p_adjusted", F.least(down, F.lit(1.0))).withColumn("significant", F.col("p_adjusted") < alpha).drop("__raw")
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where a side is constant."""
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
 def correlations(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """One row: n, pearson, spearman (ranks average over ties). Null under three rows.
+    """One row: n, pearson, spearman (ranks average over ties). Null under three rows and where a side is constant.
 
     Ranks come from value histograms: distinct values and running counts, not a sort of all rows in one task.
     """
     ranks = [_average_ranks(pairs, c) for c in (x, y)]
     ranked = pairs.select(x, y).join(ranks[0], x).join(ranks[1], y)
-    out = ranked.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
+    out = ranked.agg(F.count("*").alias("n"), _correlation(x, y).alias("pearson"), _correlation(f"rank_{x}", f"rank_{y}").alias("spearman"))
     return out.select("n", *[F.when(F.col("n") >= 3, F.col(c)).alias(c) for c in ("pearson", "spearman")])
 
 
@@ -129,16 +129,19 @@ def _average_ranks(rows: DataFrame, c: str) -> DataFrame:
 
 
 def with_correlation_p(row: DataFrame) -> DataFrame:
-    @F.pandas_udf("double")
-    def p(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([pearson_p(float(a), int(b)) if a == a else None for a, b in zip(r, n)])
+    return row.withColumn("pearson_p", tails.correlation_p("pearson", "n")).withColumn("spearman_p", tails.correlation_p("spearman", "n"))
+
 
-    return row.withColumn("pearson_p", p("pearson", "n")).withColumn("spearman_p", p("spearman", "n"))
+def with_slope_p(row: DataFrame) -> DataFrame:
+    """Adds p_value of a regression's slope being other than 0; null under three rows, 0 of points on a line that rises or falls."""
+    t = F.try_divide("slope", "stderr")
+    p = F.when(F.col("stderr") == 0, F.when(F.col("slope") == 0, F.lit(1.0)).otherwise(0.0)).otherwise(tails.t_p(t, F.col("n") - 2))
+    return row.withColumn("p_value", p)
 
 
 def linear_regression(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """One row: n, slope, intercept, r, stderr of the slope. Null under two rows."""
-    out = pairs.agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
+    out = pairs.agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), _correlation(x, y).alias("r"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
     se = F.sqrt(F.try_divide((1 - F.col("r") * F.col("r")) * F.col("syy"), (F.col("n") - 2) * F.col("sxx")))
     return out.select("n", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("slope", "intercept", "r")], F.when(F.col("n") > 2, se).alias("stderr"))
 

@@ -526,6 +526,31 @@ def _(s, d):
     return hypothesis.linear_regression(B.metric_pairs(s, d))
 
 
+#: Sums of series in SQL: of the lower incomplete gamma function, and of the incomplete beta function of (1/2, a) at y.
+_CHI2_P = "SELECT test, round(CASE WHEN df <= 0 THEN 1 WHEN x > 6000 THEN 0 ELSE greatest(0, 1 - (SELECT sum(exp(-x / 2 + (df / 2 + n) * ln(x / 2) - lgamma(df / 2 + n + 1))) FROM range(0, 4500) t(n))) END, 6) AS p_value FROM chi"
+_R_P = "SELECT test, round(CASE WHEN a * y > 700 THEN 0 ELSE greatest(0, 1 - (SELECT sum(exp(0.5 * ln(y) + a * ln(1 - y) + lgamma(a + 0.5 + n) - lgamma(a) - lgamma(1.5 + n) + n * ln(y))) FROM range(0, 4500) t(n))) END, 6) AS p_value FROM cor"
+
+
+def _oracle(name):
+    return ORACLES[name].rstrip()
+
+
+def _tests(s, d):
+    """(test, p_value) of the test statistics."""
+    chi = [("contingency", QUERIES["chi2_contingency"](s, d).select("chi2", "df")), ("yates", QUERIES["chi2_yates"](s, d).select("chi2", "df")), ("fit", QUERIES["chi2_gof"](s, d).select("chi2", "df"))]
+    chi += [("bias", QUERIES["bias_chi2"](s, d).select("chi2", F.lit(1).alias("df"))), ("mcnemar", QUERIES["mcnemar"](s, d).select("chi2", F.lit(1).alias("df")))]
+    out = hypothesis.with_correlation_p(QUERIES["pearson_spearman"](s, d)).select(F.explode(F.array(F.struct(F.lit("pearson").alias("test"), F.col("pearson_p").alias("p_value")), F.struct(F.lit("spearman").alias("test"), F.col("spearman_p").alias("p_value")))).alias("x")).select("x.*")
+    out = out.unionByName(hypothesis.with_slope_p(QUERIES["linreg"](s, d)).select(F.lit("slope").alias("test"), "p_value"))
+    for name, x in chi:
+        out = out.unionByName(hypothesis.with_p(x).select(F.lit(name).alias("test"), "p_value"))
+    return out
+
+
+@query("test_p_values", "WITH chi AS (" + " UNION ALL ".join(f"SELECT '{t}' AS test, chi2::double AS x, {df}::double AS df FROM ({_oracle(q)})" for t, q, df in (("contingency", "chi2_contingency", "df"), ("yates", "chi2_yates", "df"), ("fit", "chi2_gof", "df"), ("bias", "bias_chi2", "1"), ("mcnemar", "mcnemar", "1"))) + "), cor AS (SELECT 'pearson' AS test, (n - 2) / 2.0::double AS a, pearson * pearson AS y FROM (" + _oracle("pearson_spearman") + ") UNION ALL SELECT 'spearman', (n - 2) / 2.0::double, spearman * spearman FROM (" + _oracle("pearson_spearman") + ") UNION ALL SELECT 'slope', (n - 2) / 2.0::double, pow(slope / stderr, 2) / (n - 2 + pow(slope / stderr, 2)) FROM (" + _oracle("linreg") + ")) " + _CHI2_P + " UNION ALL " + _R_P)
+def _(s, d):
+    return _tests(s, d)
+
+
 @query("permutation")
 def _(s, d):
     return hypothesis.permutation_binary(B.predictions(s, d), "power_relation", "correct", "peer", "lower_to_higher")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import labels as L
+from tallyspark.functions import tails
 from tallyspark.functions.distributions import chi2_sf, pearson_p, t_sf
 from tallyspark.operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, sequence, splitting, worklist
 from tallyspark.sources import bindings
@@ -27,6 +28,42 @@ class TestDistributions:
         assert chi2_sf(0, 3) == 1.0 and pearson_p(0.5, 2) == 1.0 and math.isclose(t_sf(-1, 5) + t_sf(1, 5), 1)
 
 
+class TestTails:
+    """Column expressions against the plain functions, and published values."""
+
+    def test_chi2(self, spark):
+        rows = [(x, d) for d in (1, 2, 3, 4, 7, 30, 101, 500) for x in (1e-6, 0.3, 1.0, 3.841459, 20.0, 90.0, 140.0, 600.0, 1461.78)]
+        got = spark.createDataFrame(rows, "x double, d int").select("x", "d", tails.chi2_p("x", "d").alias("p")).collect()
+        for r in got:
+            assert math.isclose(r.p, chi2_sf(r.x, r.d), rel_tol=1e-9, abs_tol=1e-13), r
+        odd = spark.createDataFrame([(None, 1), (math.nan, 1), (-1.0, 2), (0.0, 2), (5.0, 0)], "x double, d int").select(tails.chi2_p("x", "d").alias("p")).collect()
+        assert [r.p for r in odd] == [None, None, 1.0, 1.0, 1.0]
+
+    def test_t_and_correlation(self, spark):
+        rows = [(t, d) for d in (1, 2, 4, 10, 57, 1000, 100_000) for t in (-40.0, -2.776445, -0.01, 0.0, 0.5, 1.96, 8.0)]
+        got = spark.createDataFrame(rows, "t double, d int").select("t", "d", tails.t_p("t", "d").alias("p")).collect()
+        for r in got:
+            assert math.isclose(r.p, 2 * t_sf(abs(r.t), r.d), rel_tol=1e-8, abs_tol=1e-13), r
+        rows = [(-0.3173762747531234, 5), (-0.4, 5), (0.5, 2), (1.0, 9), (0.02, 5000), (0.0, 10), (None, 5)]
+        got = [r.p for r in spark.createDataFrame(rows, "r double, n int").select(tails.correlation_p("r", "n").alias("p")).collect()]
+        assert math.isclose(got[0], 0.6027943, abs_tol=1e-6) and got[2] == got[5] == 1.0 and got[3] == 0.0 and got[6] is None
+        assert all(math.isclose(g, pearson_p(r, n), rel_tol=1e-9) for g, (r, n) in zip(got[:6], rows))
+
+    def test_gamma(self, spark):
+        x = [0.01, 0.5, 1.0, 2.0, 3.7, 10.0, 171.0, 1e6]
+        got = [r.g for r in spark.createDataFrame([(v,) for v in x], "x double").select(tails.log_gamma("x").alias("g")).collect()]
+        assert all(math.isclose(g, math.lgamma(v), rel_tol=1e-12, abs_tol=1e-12) for g, v in zip(got, x))
+
+    def test_slope(self, spark):
+        flat = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)], "x double, y double")
+        line = spark.createDataFrame([(float(i), 2.0 * i) for i in range(9)], "x double, y double")
+        noisy = spark.createDataFrame([(float(i), i + (-1.0) ** i * 3) for i in range(12)], "x double, y double")
+        p = [one(hypothesis.with_slope_p(hypothesis.linear_regression(d))).p_value for d in (flat, line)]
+        assert p[1] < 1e-9 and (p[0] is None or p[0] == 1.0)
+        r = one(hypothesis.with_slope_p(hypothesis.linear_regression(noisy)))
+        assert math.isclose(r.p_value, pearson_p(r.r, 12), rel_tol=1e-9)
+
+
 class TestLabels:
     def test_valence(self, spark):
         rows = [("That's wonderful, thank you!", "positive"), ("I hate this terrible problem.", "negative"), ("The meeting is at 3pm.", "neutral"), ("know", "negative")]
