@@ -59,6 +59,7 @@ _LAYOUT = frozenset(
     "left right top bottom primary secondary global local sticky fixed button buttons btn link links icon icons text title js id new old small large mobile desktop".split()
 )
 _GOOD_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _SPLIT = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 #: Share of the varying text that the content slot holds; a slot is constant below this share of the content's different texts.
 HOLDS, CONSTANT, ENOUGH = 0.9, 0.1, 10
@@ -277,7 +278,10 @@ def different(sketch: list[int]) -> float:
 
 
 def induce(template: list) -> list:
-    """[label, kids, flag] of a template: 1 on the slots that hold content, 2 where enough pages show that and names in doubt don't count."""
+    """[label, kids, flag] of a template: 1 on the slots that hold content, 2 where enough pages show that and names in doubt don't count.
+
+    Constant nodes are template, but for headings of kept text.
+    """
     pages = template[2][0]
 
     def varying(t, bad, good):
@@ -299,12 +303,31 @@ def induce(template: list) -> list:
     root = good[-1] if good else path[-1] if len(path[-1][1]) > 1 or len(path) < 2 else path[-2]
     most = max((different(n[2][4:]) for n in _nodes(root) if n[2][1]), default=0)
 
+    kind = 1 + (pages >= ENOUGH)
+
     def flags(t, inside):
+        """The flagged node; whether kept text lies in it, any text, and text in headings only."""
         inside = inside or t is root
         constant = most >= ENOUGH and t[2][0] >= ENOUGH and t[2][1] and different(t[2][4:]) <= CONSTANT * most
-        return [t[0], [flags(k, inside) for k in t[1] if k[2][0] * RARE >= pages], int(inside and not constant) * (1 + (pages >= ENOUGH))]
-
-    return flags(template, False)
+        kept = inside and not constant
+        kids = [flags(k, inside) for k in t[1] if k[2][0] * RARE >= pages]
+        # a heading that recurs on a host's pages belongs to the article if kept text follows it before the next heading
+        follows = False
+        for flagged, holds, _, heading in reversed(kids):
+            if heading and inside and follows:
+                _keep(flagged, kind)
+            follows = not heading and (follows or holds)
+        own, texts = bool(t[2][1]), [k for k in kids if k[2]]
+        heading = t[0].split(".")[0] in HEADINGS or not own and bool(texts) and all(k[3] for k in texts)
+        return [t[0], [k[0] for k in kids], int(kept) * kind], bool(kept and own) or any(k[1] for k in kids), own or bool(texts), heading
+
+    return flags(template, False)[0]
+
+
+def _keep(flagged: list, kind: int) -> None:
+    flagged[2] = kind
+    for k in flagged[1]:
+        _keep(k, kind)
 
 
 def _nodes(t):

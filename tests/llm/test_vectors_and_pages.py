@@ -221,6 +221,17 @@ class TestWrappers:
         out = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         assert all("Join" not in r.text and r.text.startswith(f"T{r.page_id}\n\nbody") and r.text.count("part") == dict((x[0], x[2].count("part")) for x in rows)[r.page_id] for r in out)
 
+    @pytest.mark.parametrize("tag", ["article", "div"])
+    def test_recurring_headings_of_articles(self, spark, tag):
+        """Headings that all articles of a host share stay where text follows them; a box of a heading and the same words goes."""
+        rng = random.Random(6)
+        box = "<section><h2>Newsletter</h2><p>Join our club today</p></section>"
+        page = "<html><body><{tag}><h1>T{i}</h1><h2>Summary</h2><p>one {a}</p><div><h3>Results</h3></div><div><p>two {b}</p></div>{box}<h2>Sources</h2><p>Printed by the press</p></{tag}></body></html>"
+        rows = [(i, "http://h.example/", page.format(tag=tag, i=i, a="a" * 90 + str(rng.random()), b="b" * 90 + str(rng.random()), box=box)) for i in range(40)]
+        for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+            blocks = r.text.split("\n\n")
+            assert [blocks[i] for i in (0, 1, 3)] == [f"T{r.page_id}", "Summary", "Results"] and blocks[2].startswith("one") and blocks[4].startswith("two") and len(blocks) == 5
+
     def test_simple_tree_matching(self):
         a = ["x", [["p", []], ["q", []], ["p", []]]]
         b = ["x", [["q", []], ["p", []]]]
