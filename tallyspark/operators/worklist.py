@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import labels as L
 from . import sequence
 
 KEY = ("model_id", "scenario_id", "intervention", "prompt_hash")
@@ -102,6 +108,60 @@ def predict(prompts: DataFrame, model, schema: str, provider: str = "provider",
     return dealt.mapInPandas(model, schema)
 
 
+def _delay(attempt: int, base: float, most: float, jitter: float, u: float) -> float:
+    """Seconds before a retry, as ``labels.backoff`` has them; u is a number from 0 to 1."""
+    return max(0.1, min(base * 2.0**attempt, most) * (1 + jitter * (2 * u - 1)))
+
+
+def call_limited(prompts: DataFrame, call: Callable[[dict], str], limits: dict[str, int] | None = None, tries: int = 3, base: float = 2.0, most: float = 60.0, jitter: float = 0.25, give_up: int = 100, provider: str = "provider", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The prompts with response, attempts, waited (seconds) and error of calling ``call`` on each row as a dict.
+
+    A provider's rows are dealt over as many slots as it allows calls at once (``limits``; else its usual ceiling), a slot lies in one partition, and a
+    partition calls one by one: so a provider never has more calls at once than that, however many tasks run. A
+    call that raises is tried again after a growing pause, ``tries`` times in all; then its error is kept and response is null. After
+    ``give_up`` rows in a row have failed for a provider in a partition, its remaining rows there aren't called (error ``circuit open``, no attempts).
+
+    Null providers share one slot. A task that is run again calls again: switch speculation off, and write the result before anything reads it twice.
+    """
+    usual = L.provider_limit(F.coalesce(F.col(provider), F.lit("")))
+    ceiling = usual if limits is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.coalesce(F.col(provider), F.lit(""))), F.lit(1)) if limits else F.lit(1)
+    ceiling = F.when(F.col(provider).isNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), ceiling))
+    hashed = F.xxhash64(*[c for c, t in prompts.dtypes if not t.startswith("map")])
+    parts = sum(limits.values()) + 1 if limits else sum(L.PROVIDER_LIMITS.values()) + 1
+    dealt = prompts.withColumn("__h", hashed).withColumn("__slot", F.pmod("__h", ceiling)).repartition(parts, provider, "__slot")
+    schema = StructType(prompts.schema.fields + StructType.fromDDL("response string, attempts int, waited double, error string").fields)
+
+    def run(batches):
+        failed: dict = {}
+        for b in batches:
+            out = []
+            rows = b.drop_columns(["__h", "__slot"]).to_pylist()
+            for row, h in zip(rows, b.column("__h").to_pylist()):
+                response, error, waited, attempt = None, None, 0.0, 0
+                who = row[provider]
+                if failed.get(who, 0) >= give_up:
+                    error = "circuit open"
+                while error is None or 0 < attempt < tries:
+                    try:
+                        attempt += 1
+                        response, error = call(row), None
+                        break
+                    except Exception as problem:  # whatever the call raises is the row's error
+                        error = f"{type(problem).__name__}: {problem}"
+                        if attempt < tries:
+                            pause = _delay(attempt - 1, base, most, jitter, (h * 31 + attempt) % (1 << 20) / (1 << 20))
+                            sleep(pause)
+                            waited += pause
+                failed[who] = failed.get(who, 0) + 1 if error else 0
+                out.append(row | {"response": response, "attempts": attempt, "waited": waited, "error": error})
+            if out:
+                kept = b.drop_columns(["__h", "__slot"]).schema
+                more = pa.schema([*kept, ("response", pa.string()), ("attempts", pa.int32()), ("waited", pa.float64()), ("error", pa.string())])
+                yield pa.RecordBatch.from_pylist(out, more)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def mock_predictions(prompts: DataFrame, labels: tuple[str, ...], key: str = "prompt") -> DataFrame:
     """A label for each prompt by its hash; the same in every run."""
     i = F.pmod(F.xxhash64(key), F.lit(1000))

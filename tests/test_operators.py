@@ -1,7 +1,9 @@
 """Operators on literal rows: published values, edge cases and properties."""
 
 import math
+import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -477,6 +479,40 @@ class TestWork:
         s = one(worklist.cache_stats(probed))
         assert (s.hits, s.misses, round(s.saved_percent, 4)) == (1, 2, 33.3333)
 
+    def test_calls_under_limits(self, spark, tmp_path):
+        """Calls at once by provider, retries with pauses, kept errors, and a circuit that opens."""
+        log = str(tmp_path)
+
+        def call(row):
+            began = time.time()
+            if row["id"] % 10 == 3 and not os.path.exists(f"{log}/seen-{row['id']}"):
+                open(f"{log}/seen-{row['id']}", "w").close()
+                raise TimeoutError("once")
+            if row["id"] % 10 == 7:
+                raise ValueError("never")
+            time.sleep(0.02)
+            with open(f"{log}/call-{row['id']}", "w") as f:
+                f.write(f"{row['provider']} {began} {time.time()}")
+            return f"r{row['id']}"
+
+        df = spark.range(60).select("id", F.when(F.col("id") % 3 == 0, "one").when(F.col("id") % 3 == 1, "two").alias("provider")).repartition(4)
+        got = {r.id: r for r in worklist.call_limited(df, call, {"one": 1, "two": 2}, sleep=lambda s: None).collect()}
+        assert len(got) == 60
+        for i, r in got.items():
+            want = (None, 3, "ValueError: never") if i % 10 == 7 else (f"r{i}", 2 if i % 10 == 3 else 1, None)
+            assert (r.response, r.attempts, r.error) == want and (r.waited > 0) == (r.attempts > 1)
+            if r.attempts == 3:
+                assert 0.75 * 2 + 0.75 * 4 <= r.waited <= 1.25 * 2 + 1.25 * 4
+        spans = defaultdict(list)
+        for f in tmp_path.glob("call-*"):
+            who, a, b = f.read_text().split()
+            spans[who].append((float(a), float(b)))
+        for who, most in (("one", 1), ("two", 2), ("None", 1)):
+            assert spans[who] and max(sum(a <= t < b for a, b in spans[who]) for t, _ in spans[who]) <= most
+        broken = worklist.call_limited(spark.range(20).select("id", F.lit("x").alias("provider")), lambda row: 1 / 0, {"x": 1}, tries=2, give_up=5, sleep=lambda s: None).collect()
+        assert sorted((r.error, r.attempts) for r in broken) == [("ZeroDivisionError: division by zero", 2)] * 5 + [("circuit open", 0)] * 15
+        assert worklist.call_limited(df.where("false"), call).count() == 0
+
     def test_predict_hook(self, spark):
         df = spark.createDataFrame([("p", "openai", "x")], "id string, provider string, prompt string")
 
