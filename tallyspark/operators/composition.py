@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import power_relation
-from .effects import bucketed
+from . import sequence
 from .hypothesis import mcnemar
 from .resampling import hash_pick
 
@@ -54,14 +54,9 @@ def swap_roles(utterances: DataFrame) -> DataFrame:
 
 
 def _numbered(strata: DataFrame) -> DataFrame:
-    """(subtype, id, i): the place of each numeric id in its stratum, from its place in a bucket of ids and the sizes of those before."""
-    ranged = bucketed(strata.select("subtype", "id"), "id")
-    sizes = ranged.groupBy("subtype", "__b").agg(F.count("*").alias("__m"))
-    earlier = Window.partitionBy("subtype").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    before = sizes.select(F.col("subtype").alias("__s"), F.col("__b").alias("__p"), F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__o"))
-    at = F.row_number().over(Window.partitionBy("subtype", "__b").orderBy("id"))
-    joined = ranged.withColumn("__at", at).join(before, F.col("subtype").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__p")))
-    return joined.select("subtype", "id", (F.col("__at") + F.col("__o") - 1).cast("bigint").alias("i"))
+    """(subtype, id, i): the place of each id in its stratum from 0, numbered by ranges of ids."""
+    numbered = sequence.numbered(strata.select("subtype", "id"), "subtype", "id")
+    return numbered.select("subtype", "id", (F.col("position") - 1).cast("bigint").alias("i"))
 
 
 def stratified_recombinations(strata: DataFrame, per_pair: int = 10, seed: int = 42) -> DataFrame:
