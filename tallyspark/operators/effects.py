@@ -41,8 +41,12 @@ def bucketed(df: DataFrame, value: str, buckets: int = 200) -> DataFrame:
     """Adds __b: which of the table's own quantiles a numeric value lies above, so that buckets are in order of it."""
     at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = df.agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), at, F.lit(10_000))).alias("__bounds"))
-    placed = df.join(F.broadcast(bounds))  # one row
-    return placed.withColumn("__b", F.coalesce(F.size(F.filter("__bounds", lambda x: x < F.col(value))), F.lit(0))).drop("__bounds")
+    placed = df.join(F.broadcast(bounds)).withColumn("__b", F.lit(0))  # one row
+    step = 1 << (buckets.bit_length() - 1)
+    while step:  # bounds below the value, by halving
+        placed = placed.withColumn("__b", F.col("__b") + F.when(F.get("__bounds", F.col("__b") + (step - 1)) < F.col(value), step).otherwise(0))
+        step >>= 1
+    return placed.drop("__bounds")
 
 
 def running_counts(hist: DataFrame, value: str, counts: list[str]) -> DataFrame:
