@@ -997,3 +997,16 @@ def _(s, d):
 @query("gold_csv_quarantine", _GOLD + "SELECT 'aggregate_' || subtype || '.csv' AS file, id, CASE WHEN id = '' THEN 'no id' ELSE 'no utterance' END AS reason FROM g WHERE id = '' OR utterance = ''")
 def _(s, d):
     return readers.gold_quarantine(s, B.stored(s, B.gold_files(s, d), "gold"))
+
+
+@query("response_files_json", _FILED + "SELECT model_dir, count(*) AS files, count(*) FILTER (problem = 'not JSON') AS torn FROM f GROUP BY model_dir")
+def _(s, d):
+    x = readers.response_files(s, B.stored(s, B.prediction_files(s, d), "responses"))
+    torn = F.count_if(F.try_parse_json("value").isNull())
+    return x.groupBy(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("model_dir")).agg(F.count("*").alias("files"), torn.alias("torn"))
+
+
+@query("error_manifest_csv", "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'invalid_emotion' ELSE 'empty_response' END AS error_type, CASE WHEN s_suppkey % 2 = 0 THEN 'emotion' END AS field, count(*) AS n, sum(length('Invalid: \"' || s_name || '\", mostly')) AS chars FROM supplier GROUP BY ALL")
+def _(s, d):
+    x = readers.error_manifest(s, B.stored(s, B.manifest_files(s, d), "manifest"))
+    return x.groupBy("error_type", "field").agg(F.count("*").alias("n"), F.sum(F.length("message")).alias("chars"))

@@ -161,6 +161,17 @@ def gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(lines.limit(1).select(F.lit("aggregate_answer_key.csv").alias("name"), F.concat(head, F.lit("9,x,a,b,joy\n")).alias("content")))
 
 
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): an error manifest for each nation, a line for each of its suppliers."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    even = F.col("s_suppkey") % 2 == 0
+    message = F.concat(F.lit('"Invalid: ""'), "s_name", F.lit('"", mostly"'))
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), F.lit("m"), F.when(even, "invalid_emotion").otherwise("empty_response"), F.lit("medium"), F.when(even, "emotion").otherwise(""), message)
+    lines = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    head = F.lit("scenario_id,model_id,error_type,severity,field,message\n")
+    return lines.select(F.concat(F.lit("manifest-"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("name"), F.concat(head, F.array_join("x", "\n"), F.lit("\n")).alias("content"))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the session's scratch folder."""
     folder = scratch(spark)
