@@ -25,8 +25,9 @@ SEED = 42
 #: Rows a task's group of shards holds; shards of more fingerprints than BLOCK are cut into pairs of blocks.
 GROUP, BLOCK = 40_000, 512
 #: Words of a wide fingerprint, and the most bits in which two may differ: texts whose sets of shingles have a similarity of 0.8
-#: differ in 39 of 256 bits, give or take 6; the shingles decide between pairs.
-WIDE, WIDE_RADIUS = 4, 70
+#: differ in 39 of 256 bits, give or take 6; the shingles decide between pairs. Sets of up to SHORT shingles spread more (four and
+#: five shingles: 48, give or take 6), so they are searched within SHORT_RADIUS.
+WIDE, WIDE_RADIUS, SHORT, SHORT_RADIUS = 4, 70, 80, 90
 #: Shards of a text: its KEYS least shingles that are in at most COMMON texts, looked for among its LOOKED least ones. Two texts of
 #: similarity 0.8 share none of sixteen with a chance of 0.2 ** 16, and not at all if they have few shingles.
 KEYS, LOOKED, COMMON = 16, 48, 512
@@ -129,8 +130,9 @@ class BKTrees:
         order = np.argsort(key, kind="stable")
         self.key, self.node = key[order], node[order]
 
-    def within(self, group: np.ndarray, fp: np.ndarray, radius: int, chunk: int = 4096):
-        """Yield (query index, node index) arrays of all pairs at most ``radius`` bits apart."""
+    def within(self, group: np.ndarray, fp: np.ndarray, radius: int | np.ndarray, chunk: int = 4096):
+        """Yield (query index, node index) arrays of all pairs at most ``radius`` bits apart, which may be a number for each query."""
+        radii = np.broadcast_to(radius, len(fp))
         known = np.searchsorted(self.groups, group)
         ok = (known < len(self.groups)) & (self.groups[np.minimum(known, len(self.groups) - 1)] == group)
         queries = np.flatnonzero(ok)
@@ -139,12 +141,13 @@ class BKTrees:
             node = self.first[known[q]]
             while len(q):
                 d = _distance(fp[q], self.fp[node])
-                near = d <= radius
+                r = radii[q]
+                near = d <= r
                 if near.any():
                     yield q[near], node[near]
                 at = node * (self.bits + 1)
-                lo = np.searchsorted(self.key, at + np.maximum(d - radius, 0))
-                hi = np.searchsorted(self.key, at + np.minimum(d + radius, self.bits), "right")
+                lo = np.searchsorted(self.key, at + np.maximum(d - r, 0))
+                hi = np.searchsorted(self.key, at + np.minimum(d + r, self.bits), "right")
                 n = hi - lo
                 total = int(n.sum())
                 q = np.repeat(q, n)
@@ -268,7 +271,7 @@ def _keys(per: DataFrame) -> DataFrame:
 
 
 def _pairs(pdf: pd.DataFrame, radius: int, similarity: float):
-    """Yield row numbers (a, b) of pairs that a BK-tree of ``pdf`` finds within the radius: of unlike label, of sizes that allow
+    """Yield row numbers (a, b) of pairs that a BK-tree of ``pdf`` finds within the radius of the asking set's size: of unlike label, of sizes that allow
     the similarity, and whose least common key is the shard's, so that no other shard looks at them."""
     tree, fp = pdf["tree"].to_numpy(np.int64), np.ascontiguousarray(pdf[_WORDS].to_numpy(np.int64)).view(np.uint64)
     label, key, n = pdf["label"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
@@ -280,7 +283,8 @@ def _pairs(pdf: pd.DataFrame, radius: int, similarity: float):
     for i, k in enumerate(pdf["keys"]):
         keys[i, : len(k)] = k
     earlier = (keys >= 0) & (keys < key[:, None])
-    for q, v in BKTrees(tree[nodes], fp[nodes]).within(tree[asks], fp[asks], radius):
+    radii = np.where(n[asks] <= SHORT, max(radius, SHORT_RADIUS), radius)
+    for q, v in BKTrees(tree[nodes], fp[nodes]).within(tree[asks], fp[asks], radii):
         a, b = asks[q], nodes[v]
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         ok = (label[a] != label[b]) & (low >= similarity * high)
@@ -355,9 +359,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the members of its least keys' shards in blocks, each with the shard's least node as well, so that large families of near copies
     mostly join at a cost in proportion. The second takes every shard that still holds several groups, and compares all its
     nodes outside its largest group with all the others. In both, BK-trees over wide fingerprints find the
-    pairs within ``radius`` bits, and the sets of shingles decide on each of them; at 0.8 a pair of
-    long texts lies beyond the radius or shares no key with a chance below one in a million. Of texts of four and five shingles, whose
-    distances spread more, about 1.6 pairs in 10,000 lie beyond it and are missed.
+    pairs within ``radius`` bits, or SHORT_RADIUS where the asking set has at most SHORT shingles (a partner of a set of 64 or fewer
+    has no more than that), and the sets of shingles decide on each of them. At 0.8 a pair of long texts lies beyond the radius
+    or shares no key with a chance of about 3 in 10 million; one with a set of 64 or fewer, of any size, with less than one in a billion (for
+    four and five shingles, which spread most, binomial sums give 2 in 10 billion).
 
     Null texts count as empty; texts without a word are one group; texts of under ``shingle_words`` words are
     alike if equal. Very long texts are taken whole. Repeated rows, repeated and null ids, empty tables and other columns are as in ``near_duplicates``.
