@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, pieces, raw_texts, written
@@ -59,12 +59,17 @@ def keys(line: bytes) -> list[tuple[int, int, int, bytes, bool]]:
     return [(*x, False), (exact, exact, x[2], b"", True)]
 
 
+def _tag(id_col: str, text_col: str) -> Column:
+    """0, or where the id is null a hash of the text, so that rows without id are told apart and never gathered as one group."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(F.lit(0).cast("bigint"))
+
+
 def _templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in pieces(batches):
-            ids = batch.column(0)
+            ids = batch.select(["id", "tag"])
             rows, tmpl, leaf, size, sigs, exact = [], [], [], [], [], []
-            for i, t in enumerate(raw_texts(batch.column(1))):
+            for i, t in enumerate(raw_texts(batch.column(2))):
                 seen = set()
                 for line in t.split(b"\n"):
                     for x in keys(line):
@@ -82,10 +87,10 @@ def _templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield out(ids, rows, tmpl, leaf, size, sigs, exact)
 
     def out(ids, rows, tmpl, leaf, size, sigs, exact):
-        return pa.record_batch([ids.take(pa.array(rows, pa.int64())), pa.array(tmpl, pa.int64()), pa.array(leaf, pa.int64()), pa.array(size, pa.int32()), pa.array(sigs, pa.binary()), pa.array(exact, pa.bool_())], names=["id", "tmpl", "leaf", "n", "sig", "exact"])
+        return pa.record_batch([*ids.take(pa.array(rows, pa.int64())).columns, pa.array(tmpl, pa.int64()), pa.array(leaf, pa.int64()), pa.array(size, pa.int32()), pa.array(sigs, pa.binary()), pa.array(exact, pa.bool_())], names=["id", "tag", "tmpl", "leaf", "n", "sig", "exact"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, tmpl bigint, leaf bigint, n int, sig binary, exact boolean")
+    return docs.select(F.col(id_col).alias("id"), _tag(id_col, text_col).alias("tag"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, tag bigint, tmpl bigint, leaf bigint, n int, sig binary, exact boolean")
 
 
 def _sigs(x) -> np.ndarray:
@@ -159,7 +164,7 @@ def _named(leaves: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(id, tmpl, first) of every document and each of its templates that recurs.
+    """(id, tag, tmpl, first) of every document and each of its templates that recurs; rows of null id by ``_tag``.
 
     A cluster recurs in ``min_docs`` different ids, a long line itself in two.
     ``first`` is the smallest id that holds the cluster; its lines stay.
@@ -175,9 +180,9 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     need = F.when(F.col("exact"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
     # a document may hold several templates of a cluster, or rows share an id: the sum only rules clusters out
     total = per.groupBy("name").agg(F.sum("docs").alias("most"), F.min("first").alias("first"), F.first(need).alias("need")).where("most >= need")
-    hits = written(rows.select("id", "tmpl").join(per.select("tmpl", "name").join(total.drop("most"), "name"), "tmpl"), "recurring-lines")
+    hits = written(rows.select("id", "tag", "tmpl").join(per.select("tmpl", "name").join(total.drop("most"), "name"), "tmpl"), "recurring-lines")
     held = hits.select("name", "need", "id").distinct().groupBy("name", "need").agg(F.count("*").alias("ids")).where("ids >= need").select("name")
-    return hits.join(held, "name").select("id", "tmpl", "first")
+    return hits.join(held, "name").select("id", "tag", "tmpl", "first")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -187,13 +192,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is not the smallest id among them; a line of LONG words or more goes as well if two
     documents hold just that line (up to white space). Lines without a word stay. Null text
     stays null, with 0 lines. Rows that share an id are one document here and count
-    once, as do those with a null id. A null id is never the first. An
+    once, as do those with a null id, of which each row still loses its own lines by its own text's templates. A null id is never the first. An
     empty table gives no rows. Other columns keep their names whatever they are.
     """
-    gone = recurring(docs, id_col, text_col, min_docs).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("tmpl").alias("__gone"))
+    gone = recurring(docs, id_col, text_col, min_docs).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set("tmpl").alias("__gone"))
     names = [f"__{i}" for i in range(len(docs.columns))]
     id_, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    wide = docs.toDF(*names).join(gone, F.col(id_).eqNullSafe(F.col("__id")), "left").drop("__id")
+    tagged = docs.toDF(*names).withColumn("__own", _tag(id_, text))
+    wide = tagged.join(gone, F.col(id_).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "left").drop("__id", "__own", "__tag")
     others = [n for n in names if n != text]
 
     def run(batches):
