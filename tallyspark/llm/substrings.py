@@ -6,7 +6,10 @@ PREFIX words within a suffix's window, the one least in a fixed order (rare stre
 first, by counts over all documents) begins a longer suffix, and that suffix's
 first words name the group. Neighbouring suffixes mostly share that stretch,
 so they travel as one piece of text, each word about thrice, and nothing but the words
-themselves is compared. Groups have the size of a task's memory.
+themselves is compared. Groups have the size of a task's memory: a prefix that too many
+suffixes share is lengthened by the next word, then by the next, until they fit (where the
+window ends, by the words before the stretch). Only suffixes equal in all their window can't
+be told apart by any prefix; of these a chunk of CHUNK suffixes sends those of one document.
 
 A group builds the subtree of its suffixes from the top: at each depth suffixes
 are split by their next words, and a branch that holds a single suffix is a leaf and
@@ -106,6 +109,74 @@ def anchors(w: np.ndarray, rank: np.ndarray, window: int, prefix: int) -> tuple[
     return at, h[at]
 
 
+def prefixes(w: np.ndarray, start: np.ndarray, at: np.ndarray, key: np.ndarray, window: int, prefix: int, length: int) -> np.ndarray:
+    """Keys of prefixes one word longer than ``key``: of suffixes ``start`` of the word hashes ``w`` with the stretch at ``at``.
+
+    The words of a prefix are those from the stretch to the window's end, then those before it from the nearest on; ``length`` counts the new one.
+    """
+    after = start + window - at  # words from the stretch to the window's end
+    word = np.where(length <= after, at + length - 1, at - (length - after))
+    return mixed(key * _ODD[length] + w[word])
+
+
+def _bin(key: np.ndarray, bins: int) -> np.ndarray:
+    return (mixed(key + np.uint64(1)) & np.uint64(bins - 1)).astype(np.int64)
+
+
+def lengthened(w: np.ndarray, start: np.ndarray, at: np.ndarray, key: np.ndarray, window: int, prefix: int, crowded: dict[int, np.ndarray], bins: int) -> np.ndarray:
+    """The keys of suffixes after every prefix in a crowded bin has grown until it is in one that isn't, or is the whole window."""
+    key, live = key.copy(), np.arange(len(key))
+    for length in range(prefix + 1, window + 1):
+        over = crowded.get(length - 1)
+        if over is None or not len(live):
+            break
+        live = live[np.isin(_bin(key[live], bins), over)]
+        key[live] = prefixes(w, start[live], at[live], key[live], window, prefix, length)
+    return key
+
+
+def _crowded(rows: DataFrame, chunks, rank: np.ndarray, counts: np.ndarray, window: int, prefix: int, bins: int, fit: int) -> dict[int, np.ndarray]:
+    """The bins of prefixes of each length, from ``prefix`` words on, that more than ``fit`` suffixes share.
+
+    A stretch in n places is in n * (window - prefix + 1) windows at most, so where no bin of ``counts`` allows a crowd, nothing is read.
+    A first pass counts the shortest prefixes, and a second, if some are crowded, all longer ones of the suffixes there. As only one
+    document of a chunk sends equal suffixes, a chunk counts equal windows once. What comes to the driver are crowded bins, at most suffixes / fit a length.
+    """
+    able = counts * (window - prefix + 1) > fit
+    crowded: dict[int, np.ndarray] = {}
+
+    def counted(first: bool):
+        def run(batches):
+            for parts in chunks(batches):
+                keys: dict[int, list] = {}
+                for _, _, words in parts:
+                    w = _word_hashes(words)
+                    at, key = anchors(w, rank, window, prefix)
+                    start = np.flatnonzero(able[(key & np.uint64(BINS - 1)).astype(np.int64)])
+                    at, key = at[start], key[start]
+                    if not first:
+                        some = np.isin(_bin(key, bins), crowded[prefix])
+                        start, at, key = start[some], at[some], key[some]
+                    if not len(start):
+                        continue
+                    found = [key]
+                    for length in range(prefix + 1, window + 1):
+                        found.append(prefixes(w, start, at, found[-1], window, prefix, length))
+                    for length, x in zip(range(prefix, window), found[:1] if first else found[:-1]):
+                        keys.setdefault(length, []).append(np.stack([_bin(x, bins), found[-1].view(np.int64)]))
+                for length, x in keys.items():
+                    each = np.unique(np.concatenate(x, axis=1), axis=1)[0]
+                    at, n = np.unique(each, return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(at), length, np.int32)), pa.array(at), pa.array(n)], names=["length", "bin", "n"])
+
+        return rows.mapInArrow(run, "length int, bin bigint, n bigint").groupBy("length", "bin").agg(F.sum("n").alias("n")).where(F.col("n") > fit).toPandas()
+
+    for first in (True, False):
+        if able.any() and window > prefix and (first or crowded):
+            crowded |= {int(k): np.sort(g["bin"].to_numpy(np.int64)) for k, g in counted(first).groupby("length")}
+    return crowded
+
+
 def subtree(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """The deep internal node each suffix is below, or -1: suffixes ``starts`` of word numbers ``words``, two or more to a node.
 
@@ -129,16 +200,17 @@ def subtree(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, tag, spans array<int>): the word spans [start, end) that windows of smaller ids cover, by document.
+def suffix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(chunk, g, ids, ends, a, b): for each chunk of documents its own table (g below zero), and the suffixes it sends to each group ``g``.
 
-    ``tag`` is xxhash64 of the text, which tells apart rows that share an id.
+    ``b`` of a group's row holds the number of each piece's first suffix in the chunk (as differences), then how many suffixes each piece has.
     """
     prefix = min(PREFIX, window)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("t"))
     counts, whole = _prefix_counts(rows, window, prefix)
     groups = max(1, -(-whole // GROUP))
     rank = np.floor(np.log2(np.maximum(counts, 1)) * 4).astype(np.uint8)  # what is about as rare is taken by hash
+    most = CHUNK
 
     def chunks(batches):
         parts, n = [], 0
@@ -148,12 +220,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 if len(words) >= window:
                     parts.append((i, tag, words))
                     n += len(words) - window + 1
-                if n >= CHUNK:
+                if n >= most:
                     yield parts
                     parts, n = [], 0
         if parts:
             yield parts
 
+    bins = max(BINS, 1 << (16 * groups - 1).bit_length())
+    crowded = _crowded(rows, chunks, rank, counts, window, prefix, bins, GROUP // 4)
+
     def spread(batches):
         for c, parts in enumerate(chunks(batches)):
             name = (TaskContext.get().partitionId() << 24) + c
@@ -164,7 +239,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             long = np.array([len(p[2]) for p in parts], np.int64)
             flat, known = numbered(b" ".join([b" ".join(p[2]) for p in parts]) + b" ")
             del parts
-            hashes = _word_hashes(known.to_pylist())
+            hashes = _word_hashes([x[:-1] for x in known.to_pylist()])  # without its space, as it was counted
             first = np.cumsum(long) - long
             doc = np.repeat(np.arange(len(ids)), sizes)
             starts = np.arange(len(doc)) - np.repeat(ends - sizes, sizes) + first[doc]
@@ -176,16 +251,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             gone = np.zeros(len(doc), bool)
             gone[twice] = ids[doc[twice]] > low[node[twice]]
             yield record(name, -1 - name, planes(ids), planes(ends.astype(np.uint32)), planes(tags), planes(np.flatnonzero(gone).astype(np.uint32)))
-            at, anchor = (np.concatenate(x) for x in zip(*((a + f, h) for f, (a, h) in ((f, anchors(hashes[flat[f : f + n]], rank, window, prefix)) for f, n in zip(first, long)))))
+            found = []
+            for f, n in zip(first, long):
+                w = hashes[flat[f : f + n]]
+                at, key = anchors(w, rank, window, prefix)
+                found.append((at + f, lengthened(w, np.arange(len(at)), at, key, window, prefix, crowded, bins) if crowded else key))
+            at, key = (np.concatenate(x) for x in zip(*found))
             sent = np.flatnonzero(~gone)
             if not len(sent):
                 continue
-            # pieces: runs of suffixes one after the other that share an anchor
-            new = np.r_[True, (np.diff(sent) != 1) | (np.diff(at[sent]) != 0) | (np.diff(doc[sent]) != 0)]
+            # pieces: runs of suffixes one after the other that share a stretch and a prefix
+            new = np.r_[True, (np.diff(sent) != 1) | (np.diff(at[sent]) != 0) | (key[sent][1:] != key[sent][:-1]) | (np.diff(doc[sent]) != 0)]
             head = np.flatnonzero(new)
             many = np.diff(np.r_[head, len(sent)])
             head = sent[head]
-            group = (mixed(anchor[head] + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
+            group = (mixed(key[head] + np.uint64(1)) % np.uint64(groups)).astype(np.int64)
             by = np.argsort(group, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(group[by]) != 0, True])
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -198,6 +278,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     def record(name, g, ids, ends, a, b):
         return pa.record_batch([pa.array([name], pa.int64()), pa.array([g], pa.int64()), *[pa.array([x], pa.binary()) for x in (ids, ends, a, b)]], names=["chunk", "g", "ids", "ends", "a", "b"])
 
+    return rows.mapInArrow(spread, "chunk bigint, g bigint, ids binary, ends binary, a binary, b binary")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, tag, spans array<int>): the word spans [start, end) that windows of smaller ids cover, by document.
+
+    ``tag`` is xxhash64 of the text, which tells apart rows that share an id.
+    """
+
     def nodes(key, pdf):
         """Deep internal nodes of one group's subtree: what lies below them but in their smallest id goes."""
         if key[0] < 0:  # a chunk's own table passes
@@ -243,7 +332,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 out.append((int(ids[k]), int(tags[k]), np.ravel(np.column_stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + window])).tolist()))
         return pd.DataFrame(out, columns=["id", "tag", "spans"])
 
-    found = rows.mapInArrow(spread, "chunk bigint, g bigint, ids binary, ends binary, a binary, b binary").groupBy("g").applyInPandas(nodes, "chunk bigint, ids binary, ends binary, tags binary, gone binary")
+    found = suffix_groups(docs, id_col, text_col, window).groupBy("g").applyInPandas(nodes, "chunk bigint, ids binary, ends binary, tags binary, gone binary")
     found = written(found, "substring-nodes")
     return found.groupBy("chunk").applyInPandas(spans, "id bigint, tag bigint, spans array<int>")
 
