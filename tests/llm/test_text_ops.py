@@ -170,6 +170,19 @@ class TestSimHash:
         assert got == dict(enumerate(label))
         assert {r.doc_id for r in simhash.one_of_each(df, find=simhash.similar_documents).collect()} == set(got.values())
 
+    def test_short_texts(self, spark):
+        """10,000 pairs of 5 to 20 words, one changed at an end, at a similarity of 0.8 or more: none is lost."""
+        rng = np.random.default_rng(12)
+        rows, like = [], []
+        for pair in range(10_000):
+            n = int(rng.integers(8, 21))
+            words = [f"{pair}w{x}" for x in rng.integers(0, 10**6, n + 1)]
+            rows += [(2 * pair, " ".join(words[:n])), (2 * pair + 1, " ".join(words))]
+            like.append(n - 4 >= 0.8 * (n - 3))
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert sum(like) == 10_000
+        assert [p for p in range(10_000) if got[2 * p + 1] != 2 * p] == []
+
     def test_similarity_of_nothing(self, empty):
         assert simhash.similar_documents(empty).count() == 0
 
@@ -320,6 +333,44 @@ class TestSubstrings:
         got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect())
         assert got == self.brute(docs.collect())
 
+    def test_prefixes_grow(self, spark, monkeypatch):
+        """A passage in every document: groups stay within twice their size, which four-word prefixes alone exceed; and results are right."""
+        rng = np.random.default_rng(8)
+        passage = " ".join(f"p{x}" for x in rng.integers(0, 5000, 60))
+        rows = []
+        for i in range(900):
+            own = [f"w{x}" for x in rng.integers(0, 5000, 40)]
+            at = int(rng.integers(0, 40))
+            rows.append((i, " ".join([*own[:at], passage, *own[at:]])))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        monkeypatch.setattr(substrings, "GROUP", 600)
+        monkeypatch.setattr(substrings, "CHUNK", 1500)  # some 50 chunks, each of which sends the passage once
+
+        def largest():
+            sizes = Counter()
+            for r in substrings.suffix_groups(df).where("g >= 0").select("g", "b").collect():
+                sizes[r.g] += int(np.split(substrings.unplanes(r.b, np.int32), 2)[1].sum())
+            return max(sizes.values())
+
+        assert largest() <= 2 * 600
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(df).collect())
+        assert got == self.brute(df.collect())
+        monkeypatch.setattr(substrings, "_crowded", lambda *_: {})
+        fixed = largest()
+        assert fixed > 800, fixed
+
+    def test_prefixes_are_of_the_window(self):
+        """Equal windows have equal keys wherever they stand, at every length."""
+        rng = np.random.default_rng(4)
+        w = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+        twice = np.r_[w, rng.integers(0, 1 << 62, 9).astype(np.uint64), w]
+        at, key = substrings.anchors(twice, np.zeros(substrings.BINS, np.uint8), 13, 4)
+        for over in (4, 7, 12):
+            bins = {n: np.arange(16) for n in range(4, over + 1)}
+            got = substrings.lengthened(twice, np.arange(len(at)), at, key, 13, 4, bins, 16)
+            assert (got[:28] == got[49:77]).all() and len(set(got[:28].tolist())) >= len(set(key[:28].tolist()))
+        assert len(set(got.tolist())) == len(got) - 28
+
     def test_subtree(self):
         rng = np.random.default_rng(3)
         words = np.r_[rng.integers(0, 3, 400), rng.integers(0, 50, 100)].astype(np.int32)
@@ -438,6 +489,17 @@ class TestLines:
         out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert out == dict(rows) | {2: "own\nshort line"}
 
+    def test_half_without_id(self, spark):
+        """Rows without id count as one document, and each loses its own lines; none gathers the others' templates."""
+        rows = [(i if i % 2 else None, f"{chr(97 + i % 26) * (1 + i // 26)} alone here\ncommon line that returns\n" + "".join(f"row {chr(97 + j)} of {chr(97 + i % 26) * (1 + i // 26)}\n" for j in range(5))) for i in range(400)]
+        rows += [(None, rows[0][1]), (None, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        first = min(i for i, _ in rows if i is not None)
+        want = Counter((i, t if i == first or t is None else t.replace("common line that returns\n", "")) for i, t in rows)
+        assert Counter((r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()) == want
+        gone = linededup.recurring(df).where("id is null").groupBy("tag").count()
+        assert {r["count"] for r in gone.collect()} <= {1, 2}
+
     @pytest.mark.parametrize("leaf", [4000, 5])
     def test_brute_force(self, spark, leaf, monkeypatch):
         """All outputs against the rule in plain loops, with leaves of any size."""
