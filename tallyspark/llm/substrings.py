@@ -71,6 +71,11 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def _known_hashes(known: pa.Array) -> np.ndarray:
+    """Hashes of words that each end in a space, without it, as they were counted."""
+    return _word_hashes([x[:-1] for x in known.to_pylist()])
+
+
 def _prefix_counts(rows: DataFrame, window: int, prefix: int) -> tuple[np.ndarray, int]:
     """How many prefixes of all documents fall into each bin, and how many suffixes there are."""
 
@@ -149,8 +154,16 @@ def _crowded(rows: DataFrame, chunks, rank: np.ndarray, counts: np.ndarray, wind
         def run(batches):
             for parts in chunks(batches):
                 keys: dict[int, list] = {}
-                for _, _, words in parts:
-                    w = _word_hashes(words)
+                flat, known = numbered(b" ".join([b" ".join(p[2]) for p in parts]) + b" ")
+                hashes = _known_hashes(known)[flat]
+                ends = np.cumsum([len(p[2]) for p in parts])
+                del parts
+                # texts without a stretch that may be crowded have nothing to count; a stretch over two texts only lets one in
+                seen = np.r_[0, np.cumsum(able[(_runs(hashes, prefix) & np.uint64(BINS - 1)).astype(np.int64)])]
+                for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                    if seen[hi - prefix + 1] == seen[lo]:
+                        continue
+                    w = hashes[lo:hi]
                     at, key = anchors(w, rank, window, prefix)
                     start = np.flatnonzero(able[(key & np.uint64(BINS - 1)).astype(np.int64)])
                     at, key = at[start], key[start]
@@ -239,7 +252,7 @@ def suffix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             long = np.array([len(p[2]) for p in parts], np.int64)
             flat, known = numbered(b" ".join([b" ".join(p[2]) for p in parts]) + b" ")
             del parts
-            hashes = _word_hashes([x[:-1] for x in known.to_pylist()])  # without its space, as it was counted
+            hashes = _known_hashes(known)
             first = np.cumsum(long) - long
             doc = np.repeat(np.arange(len(ids)), sizes)
             starts = np.arange(len(doc)) - np.repeat(ends - sizes, sizes) + first[doc]
