@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from . import sequence
 
 
 def with_p(stats: DataFrame, statistic: str = "chi2", df: str = "df") -> DataFrame:
@@ -98,11 +99,23 @@ def bonferroni(p_values: DataFrame, alpha: float = 0.05, p: str = "p") -> DataFr
 
 
 def benjamini_hochberg(p_values: DataFrame, alpha: float = 0.05, p: str = "p", tie: str = "id") -> DataFrame:
-    """p * m / rank, cumulated downwards from the largest p, at most 1. One row for each test, so one window holds them."""
-    w = Window.orderBy(p, tie)
-    ranked = p_values.withColumn("rank", F.row_number().over(w)).withColumn("__raw", F.col(p) * F.count("*").over(Window.partitionBy()) / F.col("rank"))
-    down = F.min("__raw").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return ranked.withColumn("p_adjusted", F.least(down, F.lit(1.0))).withColumn("significant", F.col("p_adjusted") < alpha).drop("__raw")
+    """p * m / rank, cumulated downwards from the largest p, at most 1.
+
+    Tests are cut into ranges of (p, tie), each ranked by itself from what the ranges before it hold; the least of a range
+    is carried down to those before it. Within a range the running minimum goes from the largest p, so each row is seen once.
+    """
+    ranged = sequence.segmented(p_values, p, tie)
+    sizes = ranged.groupBy(F.col("__p").alias("__q")).agg(F.count(F.lit(1)).alias("__k"))
+    before = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = sizes.select("__q", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__o"), F.sum("__k").over(Window.partitionBy()).alias("__m"))
+    up = Window.partitionBy("__p").orderBy(p, tie)
+    ranked = ranged.join(F.broadcast(sizes), F.col("__p") == F.col("__q")).drop("__q").withColumn("rank", (F.row_number().over(up) + F.col("__o")).cast("int"))
+    ranked = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("rank"))
+    after = Window.orderBy(F.desc("__q")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy(F.col("__p").alias("__q")).agg(F.min("__raw").alias("__least")).select("__q", F.min("__least").over(after).alias("__after"))
+    down = F.min("__raw").over(Window.partitionBy("__p").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranked.join(F.broadcast(least), F.col("__p") == F.col("__q")).withColumn("p_adjusted", F.least(down, "__after", F.lit(1.0)))
+    return out.withColumn("significant", F.col("p_adjusted") < alpha).select(*[F.col(f"`{c}`") for c in p_values.columns], "rank", "p_adjusted", "significant")
 
 
 def _correlation(x: str, y: str) -> Column:
