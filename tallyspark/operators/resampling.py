@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+from . import sequence
+
 
 def hash_pick(seed, draw, i, n) -> Column:
     """A number below n from the md5 of seed|draw|i; the same in every engine."""
@@ -14,18 +17,37 @@ def hash_pick(seed, draw, i, n) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n
 
 
+#: Picks that one task draws.
+PICKS = 2_000_000
 STATISTICS = {"mean": F.avg, "median": F.median, "std": F.stddev_pop}
 
 
+def _medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, name): the median of each group, by counts of its values and running sums over them, which spill; no group is held in memory."""
+    counts = rows.groupBy(*by, value).agg(F.count(value).alias("__c"))  # 0 of nulls
+    w = Window.partitionBy(*by)
+    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(w)})
+    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col(value)))
+    return placed.groupBy(*by).agg(((at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2).alias(name))
+
+
 def hash_bootstrap(rows: DataFrame, group: str, value: str, key: str, draws: int = 100, seed: int = 42, statistic: str = "mean") -> DataFrame:
-    """(group, draw, boot_mean): mean, median or std of literal resamples chosen by hash; for small groups and parity checks.
+    """(group, draw, boot_mean): mean, median or std of literal resamples chosen by hash; for parity checks.
 
-    Rows of a group are numbered by ``key``, which must be unique in it.
+    Rows of a group are numbered by ``key``, which must be unique in it. Groups of any size are cut into ranges to be numbered; the
+    picks, draws x rows of them, meet the values in hash joins of partitions: neither is broadcast.
     """
-    numbered = rows.select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("i"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    picks = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(group, "draw", hash_pick(seed, F.col("draw"), F.col("i"), F.col("n")).alias("pick"))
-    values = numbered.select(F.col(group).alias("__g"), F.col("i").cast("bigint").alias("j"), "v")
-    return picks.join(values, (F.col(group) == F.col("__g")) & (F.col("pick") == F.col("j"))).groupBy(group, "draw").agg(STATISTICS[statistic]("v").alias("boot_mean"))
+    placed = kept(sequence.numbered(rows.select(group, key, F.col(value).cast("double").alias("v")), group, key).select(group, "v", (F.col("position") - 1).cast("bigint").alias("i")))
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    # few rows become many picks, so tasks are counted by picks
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() * draws // PICKS))
+    picks = placed.select(group, "i").join(sizes, group).repartition(tasks).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(group, "draw", hash_pick(seed, F.col("draw"), F.col("i"), F.col("n")).alias("pick"))
+    values = placed.select(F.col(group).alias("__g"), F.col("i").alias("j"), "v").hint("shuffle_hash")
+    drawn = picks.join(values, (F.col(group) == F.col("__g")) & (F.col("pick") == F.col("j"))).select(group, "draw", "v")
+    if statistic == "median":
+        return _medians(drawn, [group, "draw"], "v", "boot_mean")
+    return drawn.groupBy(group, "draw").agg(STATISTICS[statistic]("v").alias("boot_mean"))
 
 
 def hash_permutation(rows: DataFrame, group: str, value: str, key: str, a: str, b: str, rounds: int = 100, seed: int = 42, statistic: str = "mean") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on literal rows: published values, edge cases and properties."""
 
+import hashlib
 import math
 import os
 import random
@@ -164,6 +165,33 @@ class TestTests:
         assert [round(bh[i], 6) for i in (1, 3, 2, 4)] == [0.04, 0.053333, 0.053333, 0.9]
         assert {r.id: r.significant for r in hypothesis.bonferroni(df).collect()} == {1: True, 2: False, 3: False, 4: False}
 
+    def test_benjamini_hochberg_in_ranges(self, spark):
+        p = [((i * 37) % 50 + 1) / 60 for i in range(400)]
+        df = spark.createDataFrame(list(enumerate(p)), "id int, p double").repartition(5)
+        out = hypothesis.benjamini_hochberg(df)
+        order, low, want = sorted(range(400), key=lambda i: (p[i], i)), 1.0, {}
+        for rank in range(400, 0, -1):
+            low = min(low, p[order[rank - 1]] * 400 / rank)
+            want[order[rank - 1]] = (rank, round(low, 12))
+        assert {r.id: (r.rank, round(r.p_adjusted, 12)) for r in out.collect()} == want
+        # a frame that is open towards the end is computed anew for each row
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().replace(" ", "").replace("unboundedpreceding$(),unboundedfollowing$()", "").lower()
+
+    def test_hash_bootstrap_at_size(self, spark):
+        rows = [(g, i, float(i * i % 7)) for g, n in (("a", 40), ("b", 1), ("c", 25)) for i in range(n)] + [("d", i, None) for i in range(2)]
+        df = spark.createDataFrame(rows, "g string, k int, v double").repartition(3)
+
+        def picked(g, d):
+            own = [v for h, _, v in rows if h == g]
+            return [own[int(hashlib.md5(f"42|{d}|{i}".encode()).hexdigest()[:8], 16) % len(own)] for i in range(len(own))]
+
+        for statistic, f in (("mean", np.mean), ("median", np.median), ("std", np.std)):
+            boot = resampling.hash_bootstrap(df, "g", "v", "k", 6, statistic=statistic)
+            got = {(r.g, r.draw): r.boot_mean for r in boot.collect()}
+            assert len(got) == 24 and got["d", 0] is None
+            assert all(math.isclose(x, f(picked(*at)), abs_tol=1e-9) for at, x in got.items() if at[0] != "d")
+            assert "rightHint=(strategy=shuffle_hash)" in boot._jdf.queryExecution().optimizedPlan().toString()  # values of any number are not broadcast
+
     def test_correlations(self, spark):
         df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (2.0, 5.0), (4.0, 1.0)], "x double, y double")
         r = one(hypothesis.with_correlation_p(hypothesis.correlations(df)))
