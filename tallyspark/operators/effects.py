@@ -30,7 +30,11 @@ def power_gap(scored: DataFrame) -> DataFrame:
 
     higher_to_lower rows are left out, as in the definition this follows.
     """
-    t = _two(scored, "power_relation", "correct", "peer", "lower_to_higher")
+    return gap_of(_two(scored, "power_relation", "correct", "peer", "lower_to_higher"))
+
+
+def gap_of(t: DataFrame) -> DataFrame:
+    """``power_gap`` of two groups' sizes, means and population variances (n_a, m_a, vp_a, n_b, m_b, vp_b)."""
     s = F.sqrt(F.try_divide((F.col("n_a") - 1) * F.col("vp_a") + (F.col("n_b") - 1) * F.col("vp_b"), F.col("n_a") + F.col("n_b") - 2))
     gap = F.coalesce("m_a", F.lit(0.0)) - F.coalesce("m_b", F.lit(0.0))
     d = F.coalesce(F.try_divide(gap, s), F.lit(0.0))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .effects import power_gap
+from ..session import kept
+from .effects import gap_of
 from .resampling import binary_bootstrap, difference_bootstraps
 
 
@@ -37,11 +38,14 @@ def calibration_bins(n: int) -> list[float]:
     return [i * (1.0 / n) if i < n else 1.0 for i in range(n + 1)]
 
 
+def _bin(conf: Column, n_bins: int) -> Column:
+    return sum(((conf > F.lit(e)).cast("int") for e in calibration_bins(n_bins)), F.lit(0)) - 1
+
+
 def calibration(scored: DataFrame, n_bins: int = 10) -> DataFrame:
     """One row a filled bin (lo, hi]: n, accuracy, mean confidence, gap. A missing confidence is 1; 0 is in no bin."""
-    edges = calibration_bins(n_bins)
     conf = F.coalesce(F.col("confidence"), F.lit(1.0))
-    b = sum(((conf > F.lit(e)).cast("int") for e in edges), F.lit(0)) - 1
+    b = _bin(conf, n_bins)
     x = scored.select("correct", conf.alias("conf"), b.alias("bin")).where((F.col("conf") > 0) & (F.col("conf") <= 1))
     return x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("conf").alias("mean_confidence")).withColumn("gap", F.abs(F.col("accuracy") - F.col("mean_confidence")))
 
@@ -53,10 +57,11 @@ def expected_calibration_error(scored: DataFrame, n_bins: int = 10) -> DataFrame
     return total.join(F.broadcast(s)).select("n", F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("ece"))
 
 
-def power_stratified(scored: DataFrame) -> DataFrame:
-    """Accuracy overall, by power and by power x subtype, in one pass; rows of unknown power are dropped."""
+def power_stratified(scored: DataFrame, n: str | None = None) -> DataFrame:
+    """Accuracy overall, by power and by power x subtype, in one pass; rows of unknown power are dropped. A row stands for ``n`` equal ones, if that is named."""
     known = scored.where(F.col("power_relation").isin("peer", "higher_to_lower", "lower_to_higher"))
-    cells = known.groupBy("power_relation", "subtype").agg(F.count("*").alias("__n"), F.sum("correct").alias("__k"))
+    many = F.lit(1).cast("long") if n is None else F.col(n)
+    cells = known.groupBy("power_relation", "subtype").agg(F.sum(many).alias("__n"), F.sum(F.col("correct") * many).alias("__k"))
     g = cells.groupingSets([["power_relation"], ["power_relation", "subtype"], []], "power_relation", "subtype")
     out = g.agg(F.grouping_id("power_relation", "subtype").alias("gset"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.sum("__k").alias("__k"))
     return out.select("gset", "power_relation", "subtype", "n", F.try_divide("__k", "n").alias("accuracy"))
@@ -76,13 +81,30 @@ def relative_layers(layers: DataFrame) -> DataFrame:
     return best.select("model_id", (-F.col("b.l")).alias("peak_layer"), F.col("b.accuracy").alias("accuracy"), F.coalesce(F.try_divide(-F.col("b.l").cast("double"), F.col("b.__last")), F.lit(0.0)).alias("position"))
 
 
-def all_metrics(scored: DataFrame, human: float = 0.82) -> DataFrame:
+def all_metrics(scored: DataFrame, human: float = 0.82, n_bins: int = 10) -> DataFrame:
     """(metric, value, n): efficiency ratio, calibration error, power gap with d, and accuracy by power and subtype, in one long table."""
     row = lambda df, metric, value, n="n": df.select(F.lit(metric).alias("metric"), F.col(value).alias("value"), F.col(n).alias("n"))
-    gap = power_gap(scored).withColumn("n", F.col("n_a") + F.col("n_b"))
-    cells = power_stratified(scored)
-    named = cells.select(F.concat_ws("/", F.lit("accuracy"), F.coalesce("power_relation", F.lit("all")), "subtype").alias("metric"), F.col("accuracy").alias("value"), "n")
-    out = row(efficiency_ratio(scored, human), "efficiency_ratio", "ratio").unionByName(row(expected_calibration_error(scored), "ece", "ece"))
+    conf = F.coalesce(F.col("confidence"), F.lit(1.0))
+    # every metric is one of these counts, for which the rows are read once; a confidence in no bin has none
+    held = F.when((conf > 0) & (conf <= 1), _bin(conf, n_bins)).alias("bin")
+    x = scored.select("power_relation", "subtype", "correct", held, F.col("correct").alias("hit"), conf.alias("conf"))
+    sets = x.groupingSets([["power_relation", "subtype", "correct"], ["bin"]], "power_relation", "subtype", "correct", "bin")
+    both = kept(sets.agg(F.grouping("bin").alias("whole"), F.count("*").alias("n"), F.avg("hit").alias("accuracy"), F.avg("conf").alias("mean_confidence")))
+    cells, bins = both.where("whole = 1"), both.where("whole = 0 and bin is not null")
+    hits, told = F.col("correct") * F.col("n"), F.when(F.col("correct").isNotNull(), F.col("n"))
+    mean = lambda k, n: F.try_divide(F.sum(k).cast("double"), F.sum(n))
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), mean(hits, told).alias("accuracy"))
+    ratio = total.select("n", (F.col("accuracy") / human if human else F.lit(0.0)).alias("ratio"))
+    off = bins.agg(F.coalesce(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))), F.lit(0.0)).alias("off"))
+    error = total.join(F.broadcast(off)).select("n", F.coalesce(F.try_divide("off", "n"), F.lit(0.0)).alias("ece"))
+    two = []
+    for g, power in (("a", "peer"), ("b", "lower_to_higher")):
+        here = F.col("power_relation") == power
+        k, n, squares = F.when(here, hits), F.when(here, told), F.when(here, F.col("correct") * hits)
+        two += [F.coalesce(F.sum(n), F.lit(0)).alias(f"n_{g}"), mean(k, n).alias(f"m_{g}"), (mean(squares, n) - mean(k, n) * mean(k, n)).alias(f"vp_{g}")]
+    gap = gap_of(cells.agg(*two)).withColumn("n", F.col("n_a") + F.col("n_b"))
+    named = power_stratified(cells, "n").select(F.concat_ws("/", F.lit("accuracy"), F.coalesce("power_relation", F.lit("all")), "subtype").alias("metric"), F.col("accuracy").alias("value"), "n")
+    out = row(ratio, "efficiency_ratio", "ratio").unionByName(row(error, "ece", "ece"))
     return out.unionByName(row(gap, "power_gap", "gap")).unionByName(row(gap, "power_gap_d", "d")).unionByName(named)
 
 
