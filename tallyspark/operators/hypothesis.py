@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..session import kept
 from . import sequence
 
 
@@ -16,9 +17,9 @@ def with_p(stats: DataFrame, statistic: str = "chi2", df: str = "df") -> DataFra
     return stats.withColumn("p_value", F.coalesce(tails.chi2_p(statistic, df), F.lit(1.0)))
 
 
-def chi2_contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n, df, chi2, v. Yates' correction holds where df is 1; cells without rows count."""
-    cells = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("o"))
+def chi2_contingency(rows: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:
+    """One row: n, df, chi2, v. Yates' correction holds where df is 1; cells without rows count. A row stands for ``n`` equal ones, if that is named."""
+    cells = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg((F.count("*") if n is None else F.sum(n)).alias("o"))
     left, right = cells.groupBy("x").agg(F.sum("o").alias("nx")), cells.groupBy("y").agg(F.sum("o").alias("ny"))
     shape = left.agg(F.count("*").alias("r"), F.sum("nx").alias("n")).join(F.broadcast(right.agg(F.count("*").alias("c"))))
     # the grid of margins is categories x categories, never rows x rows
@@ -50,14 +51,15 @@ def chi2_bonferroni(counts: DataFrame, expected: str, n_comparisons: int, alpha:
     return out.withColumn("alpha_corrected", F.lit(alpha / n_comparisons))
 
 
-def bias_test(scored: DataFrame, label: str, n_labels: int) -> DataFrame:
+def bias_test(scored: DataFrame, label: str, n_labels: int, n: str | None = None) -> DataFrame:
     """Whether wrong predictions fall on ``label`` more than one time in n_labels - 1.
 
-    Wrong rows whose gold is the label itself count only in total_wrong.
+    Wrong rows whose gold is the label itself count only in total_wrong. A row stands for ``n`` equal ones, if that is named.
     """
+    many = F.lit(1).cast("long") if n is None else F.col(n)
     wrong = scored.where("correct = 0")
     k = n_labels - 1
-    agg = wrong.agg(F.count("*").alias("total_wrong"), F.sum((F.col("gold") != label).cast("int")).alias("n"), F.sum(((F.col("gold") != label) & (F.col("predicted") == label)).cast("int")).alias("hits"))
+    agg = wrong.agg(F.coalesce(F.sum(many), F.lit(0)).alias("total_wrong"), F.sum((F.col("gold") != label).cast("int") * many).alias("n"), F.sum(((F.col("gold") != label) & (F.col("predicted") == label)).cast("int") * many).alias("hits"))
     o1, n = F.col("hits").cast("double"), F.col("n").cast("double")
     e1, e2 = n / k, n * (k - 1) / k
     chi = F.try_divide((o1 - e1) * (o1 - e1), e1) + F.try_divide((n - o1 - e2) * (n - o1 - e2), e2)
@@ -128,6 +130,7 @@ def correlations(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
     Ranks come from value histograms: distinct values and running counts, not a sort of all rows in one task.
     """
+    pairs = kept(pairs.select(x, y))  # read for both ranks and their correlation
     ranks = [_average_ranks(pairs, c) for c in (x, y)]
     ranked = pairs.select(x, y).join(ranks[0], x).join(ranks[1], y)
     out = ranked.agg(F.count("*").alias("n"), _correlation(x, y).alias("pearson"), _correlation(f"rank_{x}", f"rank_{y}").alias("spearman"))

@@ -36,10 +36,17 @@ def _values(keys: np.ndarray) -> np.ndarray:
     return np.where(keys < 0, keys ^ np.int64(0x7FFFFFFFFFFFFFFF), keys).view(np.float64)
 
 
-def value_counts(rows: DataFrame, group: Column, value: str, first: Column) -> DataFrame:
-    """(g, key, m, ma): rows of each value and how many of them are ``first``. Null values are left out, -0.0 is 0.0, NaN the largest value."""
-    x = rows.select(group.alias("g"), (F.col(value).cast("double") + F.lit(0.0)).alias("v"), first.cast("long").alias("f")).where("v is not null")
-    counts = x.groupBy("g", "v").agg(F.count(F.lit(1)).alias("m"), F.sum("f").alias("ma"))
+def _weight(n: str | None) -> Column:
+    return F.lit(1).cast("long") if n is None else F.col(n)
+
+
+def value_counts(rows: DataFrame, group: Column, value: str, first: Column, n: str | None = None) -> DataFrame:
+    """(g, key, m, ma): rows of each value and how many of them are ``first``. Null values are left out, -0.0 is 0.0, NaN the largest value.
+
+    A row stands for ``n`` equal ones, if that is named.
+    """
+    x = rows.select(group.alias("g"), (F.col(value).cast("double") + F.lit(0.0)).alias("v"), _weight(n).alias("n"), first.cast("long").alias("f")).where("v is not null")
+    counts = x.groupBy("g", "v").agg(F.sum("n").alias("m"), F.sum(F.col("f") * F.col("n")).alias("ma"))
     schema = StructType([counts.schema["g"]]).add("key", LongType()).add("m", LongType()).add("ma", LongType())
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -170,14 +177,14 @@ def _centre(key_sum: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide(key_sum, n), F.lit(0.0))
 
 
-def resampled(rows: DataFrame, by: list[str], value: str, statistic: str = "mean", draws: int = 1000, seed: int = 42) -> DataFrame:
+def resampled(rows: DataFrame, by: list[str], value: str, statistic: str = "mean", draws: int = 1000, seed: int = 42, n: str | None = None) -> DataFrame:
     """(by, draw, boot_mean): mean, median or population deviation of ``draws`` resamples of each group; draw 0 is the data itself.
 
-    Null values are left out; a group without others gives no rows.
+    Null values are left out; a group without others gives no rows. A row stands for ``n`` equal ones, if that is named.
     """
     _checked(statistic)
-    counts = kept(value_counts(rows, _group(by), value, F.lit(True)))
-    means = rows.select(_group(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null").groupBy("g").agg(F.avg("v").alias("c"))
+    counts = kept(value_counts(rows, _group(by), value, F.lit(True), n))
+    means = rows.select(_group(by).alias("g"), F.col(value).cast("double").alias("v"), _weight(n).alias("n")).where("v is not null").groupBy("g").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("c"))
     totals = counts.groupBy("g").agg(F.sum("m").alias("n"), F.sum("ma").alias("na")).join(means, "g")
     leaves = _tree(counts, _start(totals, statistic, draws, False), seed, True)
     if statistic == "median":
@@ -189,23 +196,23 @@ def resampled(rows: DataFrame, by: list[str], value: str, statistic: str = "mean
     return found.select(*[F.col(f"g.{c}").alias(c) for c in by], "draw", "boot_mean")
 
 
-def value_interval(rows: DataFrame, by: list[str], value: str, statistic: str = "mean", draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def value_interval(rows: DataFrame, by: list[str], value: str, statistic: str = "mean", draws: int = 1000, alpha: float = 0.05, seed: int = 42, n: str | None = None) -> DataFrame:
     """(by, estimate, ci_lower, ci_upper): the statistic of each group and its percentile interval."""
-    boot = resampled(rows, by, value, statistic, draws, seed)
+    boot = resampled(rows, by, value, statistic, draws, seed, n)
     drawn = F.when(F.col("draw") > 0, F.col("boot_mean"))
     return boot.groupBy(*by).agg(F.max(F.when(F.col("draw") == 0, F.col("boot_mean"))).alias("estimate"), F.percentile(drawn, F.lit(alpha / 2)).alias("ci_lower"), F.percentile(drawn, F.lit(1 - alpha / 2)).alias("ci_upper"))
 
 
-def relabelled(rows: DataFrame, group: str, value: str, a: str, b: str, statistic: str = "mean", rounds: int = 1000, seed: int = 42) -> DataFrame:
+def relabelled(rows: DataFrame, group: str, value: str, a: str, b: str, statistic: str = "mean", rounds: int = 1000, seed: int = 42, n: str | None = None) -> DataFrame:
     """One row: n_a, n_b, difference of the two groups' statistic, and p: the share of ``rounds`` relabellings, each of exactly n_a rows, that reach it.
 
-    Null values are left out. A group without values gives a null difference and p.
+    Null values are left out. A group without values gives a null difference and p. A row stands for ``n`` equal ones, if that is named.
     """
     _checked(statistic)
     two = rows.where(F.col(group).isin(a, b))
-    counts = kept(value_counts(two, _group([]), value, F.col(group) == a))
-    v = F.col(value).cast("double")
-    whole = two.where(v.isNotNull()).agg(_centre(F.sum(v), F.count(v)).alias("c"))
+    counts = kept(value_counts(two, _group([]), value, F.col(group) == a, n))
+    v, many = F.col(value).cast("double"), _weight(n)
+    whole = two.where(v.isNotNull()).agg(_centre(F.sum(v * many), F.sum(many)).alias("c"))
     totals = counts.groupBy("g").agg(F.sum("m").alias("n"), F.sum("ma").alias("na")).join(F.broadcast(whole))
     usable = totals.where("na > 0 and na < n")
     leaves = _tree(counts, _start(usable, statistic, rounds, True), seed, False)
@@ -213,7 +220,7 @@ def relabelled(rows: DataFrame, group: str, value: str, a: str, b: str, statisti
         sides = leaves.groupBy("draw").agg(F.avg(F.when(F.col("side") == 0, F.col("s1"))).alias("x"), F.avg(F.when(F.col("side") == 1, F.col("s1"))).alias("y"))
     else:
         # what the first group doesn't take is the second's
-        powers = two.where(v.isNotNull()).join(F.broadcast(whole)).agg(F.count(v).alias("t0"), F.sum(v - F.col("c")).alias("t1"), F.sum((v - F.col("c")) * (v - F.col("c"))).alias("t2"))
+        powers = two.where(v.isNotNull()).join(F.broadcast(whole)).agg(F.sum(many).alias("t0"), F.sum((v - F.col("c")) * many).alias("t1"), F.sum((v - F.col("c")) * (v - F.col("c")) * many).alias("t2"))
         sums = leaves.groupBy("draw").agg(*[F.sum(s).alias(s) for s in ("s0", "s1", "s2")]).join(F.broadcast(powers))
 
         def of(n, s, q):

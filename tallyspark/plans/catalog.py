@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..operators import accuracy, agreement, composition, effects, efficiency, hypothesis, listeners, quality, resampling, splitting, worklist
 from ..sources import arrays, files, readers, store
 from ..sources import bindings as B
+from ..session import kept
 from ..sources.bindings import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -537,10 +538,14 @@ def _oracle(name):
 
 def _tests(s, d):
     """(test, p_value) of the test statistics."""
-    chi = [("contingency", QUERIES["chi2_contingency"](s, d).select("chi2", "df")), ("yates", QUERIES["chi2_yates"](s, d).select("chi2", "df")), ("fit", QUERIES["chi2_gof"](s, d).select("chi2", "df"))]
-    chi += [("bias", QUERIES["bias_chi2"](s, d).select("chi2", F.lit(1).alias("df"))), ("mcnemar", QUERIES["mcnemar"](s, d).select("chi2", F.lit(1).alias("df")))]
-    out = hypothesis.with_correlation_p(QUERIES["pearson_spearman"](s, d)).select(F.explode(F.array(F.struct(F.lit("pearson").alias("test"), F.col("pearson_p").alias("p_value")), F.struct(F.lit("spearman").alias("test"), F.col("spearman_p").alias("p_value")))).alias("x")).select("x.*")
-    out = out.unionByName(hypothesis.with_slope_p(QUERIES["linreg"](s, d)).select(F.lit("slope").alias("test"), "p_value"))
+    # one pass over the predictions, one over the customers' pairs: each test is of these counts
+    cells = kept(B.predictions(s, d).groupBy("subtype", "power_relation", "gold", "predicted", "correct").agg(F.count("*").alias("n")))
+    pairs = kept(B.metric_pairs(s, d))
+    fit = cells.groupBy("subtype").agg(F.sum("n").alias("observed"))
+    chi = [("contingency", rounded(hypothesis.chi2_contingency(cells, "subtype", "power_relation", "n")).select("chi2", "df")), ("yates", QUERIES["chi2_yates"](s, d).select("chi2", "df")), ("fit", rounded(hypothesis.chi2_fit(fit)).select("chi2", "df"))]
+    chi += [("bias", rounded(hypothesis.bias_test(cells, "F", 3, "n")).select("chi2", F.lit(1).alias("df"))), ("mcnemar", QUERIES["mcnemar"](s, d).select("chi2", F.lit(1).alias("df")))]
+    out = hypothesis.with_correlation_p(rounded(hypothesis.correlations(pairs))).select(F.explode(F.array(F.struct(F.lit("pearson").alias("test"), F.col("pearson_p").alias("p_value")), F.struct(F.lit("spearman").alias("test"), F.col("spearman_p").alias("p_value")))).alias("x")).select("x.*")
+    out = out.unionByName(hypothesis.with_slope_p(rounded(hypothesis.linear_regression(pairs))).select(F.lit("slope").alias("test"), "p_value"))
     for name, x in chi:
         out = out.unionByName(hypothesis.with_p(x).select(F.lit(name).alias("test"), "p_value"))
     return out
@@ -795,18 +800,24 @@ _TREE = (("mean", "confidence"), ("std", "confidence"), ("median", "latency_ms")
 _TREE_SQL = {"mean": "avg", "std": "stddev_pop", "median": "median"}
 
 
+def _measured(s, d, by):
+    """(by, measure, v, n): rows of each value of each measure, from one pass over the predictions that all statistics share."""
+    each = F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in sorted({v for _, v in _TREE})])
+    return kept(B.predictions(s, d).select(by, F.explode(each).alias("x")).groupBy(by, "x.measure", "x.v").agg(F.count("*").alias("n")))
+
+
 def _tree_intervals(s, d, draws):
-    rows, out = B.predictions(s, d), None
+    rows, out = _measured(s, d, "model_id"), None
     for st, v in _TREE:
-        x = splitting.value_interval(rows, ["model_id"], v, st, draws).withColumn("statistic", F.lit(st))
+        x = splitting.value_interval(rows.where(F.col("measure") == v), ["model_id"], "v", st, draws, n="n").withColumn("statistic", F.lit(st))
         out = x if out is None else out.unionByName(x)
     return out
 
 
 def _tree_relabelling(s, d, rounds):
-    rows, out = B.predictions(s, d), None
+    rows, out = _measured(s, d, "power_relation"), None
     for st, v in _TREE:
-        x = splitting.relabelled(rows, "power_relation", v, "peer", "lower_to_higher", st, rounds).withColumn("statistic", F.lit(st))
+        x = splitting.relabelled(rows.where(F.col("measure") == v), "power_relation", "v", "peer", "lower_to_higher", st, rounds, n="n").withColumn("statistic", F.lit(st))
         out = x if out is None else out.unionByName(x)
     return out
 

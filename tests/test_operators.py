@@ -192,6 +192,37 @@ class TestTests:
             assert all(math.isclose(x, f(picked(*at)), abs_tol=1e-9) for at, x in got.items() if at[0] != "d")
             assert "rightHint=(strategy=shuffle_hash)" in boot._jdf.queryExecution().optimizedPlan().toString()  # values of any number are not broadcast
 
+    def test_metrics_read_the_rows_once(self, spark):
+        rows = [(i % 3, i % 2, (i % 12) / 10.0 if i % 7 else None, i % 5 % 2) for i in range(300)]
+        seen = spark.sparkContext.accumulator(0)
+
+        def told(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        df = spark.createDataFrame([(("peer", "lower_to_higher", "higher_to_lower")[a], f"s{b}", c, k) for a, b, c, k in rows], "power_relation string, subtype string, confidence double, correct int")
+        got = {r.metric: (r.value, r.n) for r in efficiency.all_metrics(df.mapInArrow(told, df.schema)).collect()}
+        assert seen.value == 300
+        ece, gap = one(efficiency.expected_calibration_error(df)), one(effects.power_gap(df))
+        want = {"ece": (ece.ece, 300), "power_gap": (gap.gap, gap.n_a + gap.n_b), "power_gap_d": (gap.d, gap.n_a + gap.n_b), "efficiency_ratio": (one(efficiency.efficiency_ratio(df)).ratio, 300)}
+        assert all(got[m][1] == n and math.isclose(got[m][0], v, abs_tol=1e-12) for m, (v, n) in want.items()) and len(got) == 14
+
+    def test_counted_rows_stand_for_equal_ones(self, spark):
+        df = spark.createDataFrame([("ab"[i % 2], float(i * i % 11)) for i in range(200)], "g string, v double")
+        counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+        for st in splitting.STATISTICS:
+            a, b = (splitting.relabelled(x, "g", "v", "a", "b", st, 30, n=n).collect()[0] for x, n in ((df, None), (counted, "n")))
+            assert (a.n_a, a.n_b, a.p_value) == (b.n_a, b.n_b, b.p_value) and math.isclose(a.difference, b.difference, abs_tol=1e-9)
+            a, b = (splitting.value_interval(x, ["g"], "v", st, 30, n=n).orderBy("g").collect() for x, n in ((df, None), (counted, "n")))
+            assert all(math.isclose(x, y, abs_tol=1e-9) for r, s in zip(a, b) for x, y in zip(r[1:], s[1:]))
+
+    def test_predictions_shuffle_lineitem_once(self, spark):
+        plan = bindings.predictions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # customers meet orders before lineitem does: their join lies deeper in the plan than lineitem's with orders
+        depth = lambda part: next(len(x) - len(x.lstrip(" :+-")) for x in plan.splitlines() if "Join" in x and part in x)
+        assert depth("o_custkey") > depth("l_orderkey") and depth("l_suppkey") > depth("l_orderkey")
+
     def test_correlations(self, spark):
         df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (2.0, 5.0), (4.0, 1.0)], "x double, y double")
         r = one(hypothesis.with_correlation_p(hypothesis.correlations(df)))
