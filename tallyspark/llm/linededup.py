@@ -170,11 +170,12 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     ``first`` is the smallest id that holds the cluster; its lines stay.
     """
     rows = written(_templates(docs, id_col, text_col), "line-templates")
-    per = rows.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.first("leaf").alias("leaf"), F.first("sig").alias("sig"), F.first("exact").alias("exact"))
+    per = rows.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.min("leaf").alias("leaf"), F.max(F.length("sig") > 0).alias("signed"), F.max("exact").alias("exact"))
     per = written(per, "templates")
-    # only leaves that hold several templates can generalise
-    shared = per.where(F.length("sig") > 0).groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1")
-    leaves = per.where(F.length("sig") > 0).join(shared, "leaf")
+    # only leaves that hold several templates can generalise; signatures, most of the bytes, are moved once, and go on from here for those alone
+    shared = per.where("signed").groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1")
+    sigs = rows.where(F.length("sig") > 0).groupBy("tmpl").agg(F.first("sig").alias("sig"))
+    leaves = written(per.where("signed").select("tmpl", "leaf").join(shared, "leaf").join(sigs, "tmpl").select("tmpl", "leaf", "sig", "m"), "shared-leaves")
     merged = _named(leaves).where("tmpl <> name")
     per = per.select("tmpl", "docs", "first", "exact").join(merged, "tmpl", "left").withColumn("name", F.coalesce("name", "tmpl"))
     need = F.when(F.col("exact"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
