@@ -95,6 +95,18 @@ def metric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.round(F.avg("l_discount"), 6).alias("x"), F.round(F.avg("l_quantity"), 6).alias("y")).select("x", "y")
 
 
+def exact_metric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As metric_pairs, with exact sums of values of at most six decimals: equal means stay equal in any order of rows, so they tie in ranks."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_quantity")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+
+    def mean(c):
+        total = F.sum(F.round(F.col(c) * 1_000_000).cast("long")).cast("decimal(20,0)")
+        return (F.round(F.try_divide(total, F.count(c).cast("decimal(12,0)")), 0).cast("double") / 1_000_000).alias("x" if c == "l_discount" else "y")
+
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(mean("l_discount"), mean("l_quantity")).select("x", "y")
+
+
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, p = 1 / (1 + events of the user)."""
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg((F.lit(1.0) / (1 + F.count("*"))).alias("p"))

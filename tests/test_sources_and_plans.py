@@ -2,8 +2,10 @@
 
 import csv
 import json
+import random
 import subprocess
 import sys
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
 import duckdb
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import quality
 from tallyspark.plans import catalog, stages
-from tallyspark.sources import arrays, files, readers, store
+from tallyspark.sources import arrays, bindings, files, readers, store
 from tallyspark.streaming import breaker
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -400,3 +402,27 @@ def test_array_codec_and_side_store(spark, tmp_path):
     assert arrays.read_side_store(spark, folder, key).columns == [*key, "response"]
     got = sorted(tuple(r)[3:] for r in arrays.read_side_store(spark, folder, key, ["hidden", "logits"]).collect())
     assert got == [("r1", [1.0, 2.0], [0.5]), ("r2", None, [0.25]), ("r3", None, None)]
+
+
+def test_equal_means_tie_in_any_order(spark, tmp_path):
+    """Customers with the same 32 discounts, whose mean lies on a rounding tie, have one x however their rows are ordered."""
+    rng, cents = random.Random(0), [c % 11 for c in range(32)]
+    cents[0] += (sum(cents) + 1) % 2
+    lines, floats = [], set()
+    for k in range(40):
+        rng.shuffle(cents)
+        lines += [(k, c / 100, float(k + 1)) for c in cents]
+        floats.add(sum_in_order(c / 100 for c in cents) / 32)
+    assert len(floats) > 1
+    spark.createDataFrame(lines, "l_orderkey long, l_discount double, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k) for k in range(40)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {(r.x, r.y) for r in bindings.exact_metric_pairs(spark, str(tmp_path)).collect()} == {(float((Decimal(sum(cents)) / 3200).quantize(Decimal("1e-6"), ROUND_HALF_UP)), k + 1.0) for k in range(40)}
+    row = catalog.QUERIES["pearson_spearman"](spark, str(tmp_path)).first()
+    assert (row.n, row.pearson, row.spearman) == (40, None, None)
+
+
+def sum_in_order(xs):
+    total = 0.0
+    for x in xs:
+        total += x
+    return total
