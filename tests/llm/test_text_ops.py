@@ -618,6 +618,30 @@ class TestScores:
         base, score, n = out.agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
         assert score / n > base / n + 0.1
 
+    def test_mixer_learns_from_all_tokens(self, spark, monkeypatch):
+        """Counts and the map are of every bit of every training occurrence, and each shard gives weights."""
+        rows = [(i, f"word{i} other{i % 7} same same") for i in range(300)]
+        seen = {}
+        draw, average = mixlm.Mixer.draw_map, mixlm.Mixer.average
+        monkeypatch.setattr(mixlm, "SHARD", 50)
+        monkeypatch.setattr(mixlm.Mixer, "draw_map", lambda m, ones, all_: (seen.update(ones=ones.sum(), all=all_.sum()), draw(m, ones, all_))[1])
+        monkeypatch.setattr(mixlm.Mixer, "average", lambda m, mixers: (seen.update(mixers=len(mixers)), average(m, mixers))[1])
+        vocab = mixlm.vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+        train = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 10 for x in mixlm.tokens(t.encode()))
+        mixlm.scored_vocabulary(vocab, sum(train.values()))
+        closed = {x: x if x == mixlm.END else x + b" " for x in train}
+        assert seen == {"ones": sum(c * sum(b.bit_count() for b in closed[x]) for x, c in train.items()), "all": sum(8 * c * len(closed[x]) for x, c in train.items()), "mixers": -(-len(train) // 50)}
+
+    def test_prefixes(self):
+        """A prefix stands for all tokens that share it: its bits are those of bits_of, in any order of tokens."""
+        for toks in (sorted([b"the", b"then", b"there", b"a", b"the", mixlm.END, b"\x01x", b"x" * 300]), [b"b", b"ab", b"b", b"abc", b"ab\x01"]):
+            a, contexts, token, number = mixlm.prefixes(toks)
+            slots, bits, of = mixlm.bits_of(toks)
+            own, own_bits = mixlm._slots(a, contexts)
+            at = (number[:, None] * 8 + np.arange(8)).ravel()
+            assert (own[at] == slots).all() and (own_bits[at] == bits).all() and (np.repeat(token, 8) == of).all()
+        assert len(mixlm.prefixes([b"the", b"then"])[0]) == 6
+
     def test_history_sums_to_one(self):
         """What a text has shown and the rest share one at every place."""
         which = np.array([0, 1, 0, 1, 2, 0, 1, 1, 3])
